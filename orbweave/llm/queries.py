@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import chat, decontam, mixing, quality, simhash, tokenbin, tokencount
+from orbweave.llm import ann, chat, decontam, mixing, pii, quality, simhash, tokenbin, tokencount, toxicity
 from orbweave.storage import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = quality.held_out(5, 0)
+    return toxicity.score(docs, toxicity.fit(docs, labels, ~held)).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -37,6 +47,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_token_files(spark, folder)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("uid")
 
@@ -53,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_token_counts, op5_mixing, op6_token_files, op8_decontamination, op9_chat, op10_simhash)
+        for f in (op1_quality, op2_token_counts, op3_nearest_neighbours, op4_toxicity, op5_mixing, op6_token_files, op7_personal_data, op8_decontamination, op9_chat, op10_simhash)
     }
 
 
