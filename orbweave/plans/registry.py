@@ -1,15 +1,637 @@
-"""The queries of the library and the SQL that each is held against."""
+"""The queries of the library, each on the tables of a data folder, and the SQL that each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orbweave.functions.scalars import consensus, disagreement, feature_columns, fusion, human_bytes, rounded, static_features, utc_iso
+from orbweave.operators import bins as B
+from orbweave.operators import features as X
+from orbweave.operators import inventory as I
+from orbweave.operators import models as M
+from orbweave.operators import peers as P
+from orbweave.operators import policies as D
+from orbweave.operators import stats as S
+from orbweave.operators import stress as Z
+from orbweave.plans import sql as Q
+from orbweave.plans.jobs import robustness_evaluation
+from orbweave.sources import bindings, logs
+from orbweave.storage import shared_path
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+COMPARISONS = [("consensus_vs_temporal", "predictive_consensus_greedy", "predictive_greedy"), ("consensus_vs_graph", "predictive_consensus_greedy", "predictive_graph_greedy"), ("consensus_vs_reactive", "predictive_consensus_greedy", "reactive_greedy")]
+KEY = "relative_path bin_epoch"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name; its doubles are rounded as the SQL rounds them."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            SQL[key] = sql
+        return f
+
+    return add
+
+
+def day_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.time_bins(bindings.observations(spark, sf_dir), bindings.DAY)
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.session_bin_index(day_bins(spark, sf_dir))
+
+
+def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.chronological_split(X.forecast_table(indexed(spark, sf_dir)))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.snapshot_features(forecast(spark, sf_dir))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows with the rolling mean and the peers' mean as the two experts, and two scenarios by day."""
+    test = graph(spark, sf_dir).where("split = 'test'")
+    marked = test.withColumns({
+        "pred_forecast": F.col("latency_mean_ms_roll_mean_3"), "pred_graph": F.col("peer_latency_mean"), "stress_applied": (F.col("latency_jump_ratio") > 1.2).cast("int"),
+        "stress_scenario": F.when(F.col("bin_epoch") % 172800 == 0, "even").otherwise("odd"),
+    })
+    return D.add_scores(marked)
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.policy_decisions(candidates(spark, sf_dir))
+
+
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.disagreement_bins(D.window_context(candidates(spark, sf_dir)))
+
+
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.paired_policies(decisions(spark, sf_dir), COMPARISONS)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = graph(spark, sf_dir).where("split = 'test'")
+    kinds = [("persistence", "temporal", "latency_mean_ms"), ("rolling_mean", "temporal", "latency_mean_ms_roll_mean_3"), ("peer_mean", "graph", "peer_latency_mean")]
+    models = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(f).alias("family"), F.col(c).alias("y_pred")) for n, f, c in kinds])
+    return test.select("relative_path", "bin_epoch", F.col("target_next").alias("y_true"), F.explode(models).alias("m")).select("relative_path", "bin_epoch", "m.model_name", "m.family", "y_true", "m.y_pred")
+
+
+# --- sources and sinks
+
+
+@query()
+def file_listing(spark, sf_dir):
+    return logs.file_listing(spark, sf_dir, "*.parquet")
+
+
+@query(Q.query("SELECT u::VARCHAR AS session, count(*) AS line_count, min(event_id) AS first_event FROM o GROUP BY u", "o"))
+def read_ping_logs(spark, sf_dir):
+    """Events written as a tree of logs, one file per session, and read back line by line."""
+    root = shared_path(spark, "logs")
+    o = bindings.observations(spark, sf_dir)
+    line = F.concat_ws(" ", F.lit("event"), F.col("event_id").cast("string"))
+    session = F.regexp_extract("relative_path", r"-u0*(\d+)\.txt$", 1)
+    o.select(session.alias("session"), line.alias("line")).repartition("session").write.partitionBy("session").text(root)
+    lines = logs.read_log_lines(spark, root, "part-*").where("line <> ''")
+    return lines.groupBy(F.regexp_extract("path", r"session=(\d+)/", 1).alias("session")).agg(F.count("*").alias("line_count"), F.min(F.regexp_extract("line", r"(\d+)$", 1).cast("long")).alias("first_event"))
+
+
+BIN_DOUBLES = "latency_mean_ms latency_std_ms latency_min_ms latency_max_ms ttl_mean"
+BIN_OTHERS = "relative_path path_state location session_date target_hint bin_seconds bin_epoch bin_start_utc observed_replies ttl_min ttl_max icmp_seq_min icmp_seq_max"
+
+
+@query(Q.columns("idx", BIN_DOUBLES, "relative_path bin_epoch session_bin_index observed_replies").replace("SELECT relative_path, bin_epoch, session_bin_index", "SELECT relative_path, bin_epoch, session_bin_index, day(session_date::DATE)::INT AS session_day, epoch(bin_start_utc::TIMESTAMP)::BIGINT AS bin_start", 1))
+def load_time_bins(spark, sf_dir):
+    """Bins written as CSV and loaded with a schema."""
+    made = day_bins(spark, sf_dir)
+    path = shared_path(spark, "bins-csv")
+    made.write.csv(path, header=True)
+    loaded = logs.load_time_bins(spark.read.schema(made.schema).csv(path, header=True))
+    return loaded.select("relative_path", "bin_epoch", "session_bin_index", F.dayofmonth("session_date").alias("session_day"), F.unix_timestamp("bin_start_utc").alias("bin_start"), "observed_replies", *BIN_DOUBLES.split())
+
+
+@query(Q.query("SELECT session_date, count(*) AS bin_count, sum(observed_replies)::BIGINT AS replies FROM bins GROUP BY session_date", "bins"))
+def write_tables(spark, sf_dir):
+    """Bins written as Parquet, a folder per day, and read back."""
+    path = shared_path(spark, "bins")
+    day_bins(spark, sf_dir).repartition("session_date").write.partitionBy("session_date").parquet(path)
+    return spark.read.parquet(path).groupBy(F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("bin_count"), F.sum("observed_replies").alias("replies"))
+
+
+MANIFEST = "relative_path, suffix, size_bytes, candidate_score, sampled, row_sample_count, measurement_family, path_state, location, session_date, window_duration"
+
+
+@query(Q.query(f"SELECT {MANIFEST}, array_to_string(columns, '|') AS columns, notes FROM scored ORDER BY candidate_score DESC, size_bytes DESC, relative_path LIMIT 25", "scored"))
+def write_manifest(spark, sf_dir):
+    """The best 25 candidates written as JSON, read back and flattened."""
+    best = I.candidate_scores(bindings.inventory(spark, sf_dir)).orderBy(F.desc("candidate_score"), F.desc("size_bytes"), "relative_path").limit(25)
+    path = shared_path(spark, "manifest")
+    best.write.json(path)
+    return I.manifest_rows(spark.read.schema(best.schema).json(path))
+
+
+@query(Q.query("SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, count(*) FILTER (WHERE split = 'val') AS val_rows, count(*) FILTER (WHERE split = 'test') AS test_rows, count(DISTINCT relative_path) AS session_count FROM fc", "fc"))
+def write_run_metadata(spark, sf_dir):
+    counts = [F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "val", "test")]
+    return forecast(spark, sf_dir).agg(*counts, F.count_distinct("relative_path").alias("session_count"))
+
+
+# --- scalar functions
+
+
+@query(Q.query("SELECT relative_path AS path, round(epoch, 6) + 0.0::DOUBLE AS epoch, icmp_seq, ttl, latency_ms, '2605:59c8::' || (event_id % 97) AS reply_ip FROM obs", "obs"))
+def parse_log_lines(spark, sf_dir):
+    return logs.parse_replies(bindings.log_lines(spark, sf_dir)).drop("line_no")
+
+
+@query(Q.query("SELECT relative_path AS path, min(target_hint) AS header_target, '100.64.0.1' AS header_target_ip, '192.168.1.7' AS header_source_ip, min(location) AS interface FROM obs WHERE target_hint IS NOT NULL GROUP BY relative_path", "obs"))
+def parse_headers(spark, sf_dir):
+    return logs.parse_headers(bindings.log_lines(spark, sf_dir))
+
+
+@query(Q.query("SELECT relative_path, target_hint, probe_interval, window_duration, window_start FROM named", "named"))
+def parse_file_names(spark, sf_dir):
+    return bindings.inventory(spark, sf_dir).select("relative_path", *logs.file_name_parts())
+
+
+@query(Q.query("SELECT relative_path, measurement_family, path_state, location, session_date FROM named", "named"))
+def parse_path_parts(spark, sf_dir):
+    return bindings.inventory(spark, sf_dir).select("relative_path", *logs.path_parts())
+
+
+@query(Q.query("SELECT event_id, (floor(epoch / 60) * 60)::BIGINT AS bin_epoch, strftime(make_timestamp((floor(epoch / 60) * 60)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S') AS bin_start_utc FROM obs", "obs"))
+def epoch_to_utc(spark, sf_dir):
+    from orbweave.functions.scalars import bucket
+
+    return bindings.observations(spark, sf_dir).select("event_id", bucket("epoch", 60).alias("bin_epoch")).withColumn("bin_start_utc", utc_iso("bin_epoch"))
+
+
+@query(Q.query("SELECT relative_path, CASE WHEN size_bytes < 1024 THEN printf('%.1f B', size_bytes::DOUBLE) WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0::DOUBLE) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0::DOUBLE) ELSE printf('%.1f GB', size_bytes / 1073741824.0::DOUBLE) END AS size FROM (SELECT relative_path, size_bytes + 1 AS size_bytes FROM files)", "files"), "human_bytes")
+def human_sizes(spark, sf_dir):
+    return bindings.inventory(spark, sf_dir).select("relative_path", human_bytes(F.col("size_bytes") + 1).alias("size"))
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, (path_state = 'active')::INT AS path_state_flag, replace(window_duration, 'h', '')::DOUBLE AS window_duration_hours, replace(probe_interval, 'ms', '')::DOUBLE AS probe_interval_ms, day(session_date::DATE)::INT AS session_day_of_month FROM bins", "bins"), "static_features")
+def static_numbers(spark, sf_dir):
+    return static_features(day_bins(spark, sf_dir)).select(*KEY.split(), "path_state_flag", "window_duration_hours", "probe_interval_ms", "session_day_of_month")
+
+
+RATIOS = "latency_delta_1 latency_delta_roll3 latency_jump_ratio latency_volatility_ratio reply_gap_roll3 reply_pressure_score burst_indicator"
+
+
+@query(Q.columns("fc", RATIOS, f"{KEY} reply_delta_1"))
+def ratio_features(spark, sf_dir):
+    return forecast(spark, sf_dir).select(*KEY.split(), "reply_delta_1", *RATIOS.split())
+
+
+for _name, _column in (("fusion_scores", "pred_simple_fusion"), ("consensus_scores", "pred_consensus"), ("prediction_disagreement", "pred_disagreement")):
+
+    def _scores(spark, sf_dir, column=_column):
+        made = {"pred_simple_fusion": fusion(), "pred_consensus": consensus(), "pred_disagreement": disagreement()}[column]
+        return candidates(spark, sf_dir).select(*KEY.split(), made.alias(column))
+
+    query(Q.columns("cand", _column, KEY), _name)(_scores)
+
+
+@query()
+def feature_list(spark, sf_dir):
+    """The explicit feature lists of the two model families, as rows."""
+    frame = graph(spark, sf_dir)
+    names = feature_columns(frame)
+    return frame.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("feature"))
+
+
+# --- inventory and selection
+
+
+@query(Q.query("SELECT path AS relative_path, suffix, sampled, row_sample_count FROM (SELECT relative_path AS path, '.txt' AS suffix, true AS sampled, least(count(*), 25)::INT AS row_sample_count FROM obs GROUP BY relative_path UNION ALL SELECT DISTINCT 'inside-out/noise/' || source || '/x/note-' || doc_id || '.txt', '.txt', false, 0 FROM documents)", "obs"))
+def file_summary(spark, sf_dir):
+    return B.file_summary(bindings.log_lines(spark, sf_dir), logs.REPLY).select("relative_path", "suffix", "sampled", "row_sample_count")
+
+
+@query(Q.query("SELECT 'sales-' || o_orderpriority || '.csv' AS path, ['orderkey', 'total'] AS columns, least(count(*), 25) AS row_sample_count FROM orders GROUP BY o_orderpriority", "o"))
+def csv_schema_sample(spark, sf_dir):
+    """Delimited files made from orders: a header line, then a line per order."""
+    from orbweave.storage import read_table
+
+    orders = read_table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("sales-"), "o_orderpriority", F.lit(".csv"))
+    rows = orders.select(path.alias("path"), (F.col("o_orderkey") + 1).cast("long").alias("line_no"), F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("line"))
+    heads = orders.select(path.alias("path"), F.lit(-1).cast("long").alias("line_no"), F.lit("orderkey,total").alias("line")).distinct()
+    return B.csv_schema_sample(rows.union(heads))
+
+
+@query(Q.query("SELECT suffix, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes FROM files GROUP BY suffix UNION ALL SELECT '*', count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM files", "files"))
+def inventory_stats(spark, sf_dir):
+    return I.inventory_stats(bindings.inventory(spark, sf_dir))
+
+
+@query(Q.query("SELECT relative_path, candidate_score FROM scored", "scored"))
+def candidate_score(spark, sf_dir):
+    return I.candidate_scores(bindings.inventory(spark, sf_dir)).select("relative_path", "candidate_score")
+
+
+@query(Q.query("SELECT relative_path, candidate_score, place::INT AS place FROM ranked", "ranked"))
+def candidate_ranking(spark, sf_dir):
+    return I.candidate_ranking(I.candidate_scores(bindings.inventory(spark, sf_dir))).select("relative_path", "candidate_score", "place")
+
+
+@query()
+def diverse_selection(spark, sf_dir):
+    return I.diverse_selection(I.candidate_scores(bindings.inventory(spark, sf_dir))).select("rank", "relative_path", "candidate_score", "location", "session_date")
+
+
+@query(Q.query("SELECT relative_path, place::BIGINT AS round FROM ranked ORDER BY place, top DESC, location, path_state, CASE WHEN window_duration = '' THEN '<unknown>' ELSE window_duration END LIMIT 25", "ranked"))
+def round_robin_selection(spark, sf_dir):
+    return I.round_robin(I.candidate_scores(bindings.inventory(spark, sf_dir)))
+
+
+# --- aggregation
+
+
+@query(Q.query("SELECT relative_path, count(*) AS observation_count, round(arg_min(epoch, event_id), 6) + 0.0::DOUBLE AS epoch_start, round(arg_max(epoch, event_id), 6) + 0.0::DOUBLE AS epoch_end, round(avg(latency_ms), 6) + 0.0::DOUBLE AS latency_mean_ms, round(stddev_pop(latency_ms), 6) + 0.0::DOUBLE AS latency_std_ms, min(ttl) AS ttl_min, max(ttl) AS ttl_max, CASE WHEN count(*) > 20 THEN greatest(1, count(*) // 20) ELSE 1 END::BIGINT AS sample_stride FROM obs GROUP BY relative_path", "obs"))
+def session_summary(spark, sf_dir):
+    o = bindings.observations(spark, sf_dir)
+    files = o.groupBy("relative_path").agg(F.lit(0).cast("long").alias("file_size_bytes"))
+    made = B.session_summary(files, o, "event_id", 20)
+    return made.select("relative_path", "observation_count", "epoch_start", "epoch_end", "latency_mean_ms", "latency_std_ms", "ttl_min", "ttl_max", "sample_stride")
+
+
+@query(Q.query("SELECT relative_path, event_id FROM (SELECT *, CASE WHEN n > 20 THEN greatest(1, n // 20) ELSE 1 END AS stride FROM (SELECT relative_path, event_id, row_number() OVER (PARTITION BY relative_path ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY relative_path) AS n FROM obs)) WHERE place % stride = 0 AND place // stride < 20", "obs"))
+def observation_sample(spark, sf_dir):
+    return B.observation_sample(bindings.observations(spark, sf_dir), 20, ("event_id",)).select("relative_path", "event_id")
+
+
+@query(Q.columns("bins", BIN_DOUBLES, BIN_OTHERS))
+def time_bins(spark, sf_dir):
+    return day_bins(spark, sf_dir).select(*BIN_OTHERS.split(), *BIN_DOUBLES.split())
+
+
+@query(Q.columns("ctx", "mean_candidate_disagreement max_candidate_disagreement stressed_candidate_fraction", "session_bin_index candidate_count"))
+def window_context(spark, sf_dir):
+    return D.window_context(candidates(spark, sf_dir))
+
+
+SUMMARY = "avg(realized_next_latency_ms) AS mean_realized_latency_ms, avg(regret_ms) AS mean_regret_ms, avg(best_path_match) AS best_path_match_rate, avg(success_under_budget) AS success_rate_under_60ms"
+SUMMARY_DOUBLES = "mean_realized_latency_ms mean_regret_ms best_path_match_rate success_rate_under_60ms"
+
+
+def _rounded(columns: str, doubles: str, source: str, last: str) -> str:
+    return Q.query(f"SELECT {', '.join([*columns.split(), *[f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in doubles.split()]])} FROM ({source})", last)
+
+
+@query(_rounded("disagreement_bin policy_name decision_count", f"{SUMMARY_DOUBLES} mean_chosen_disagreement", f"SELECT disagreement_bin, policy_name, count(*) AS decision_count, {SUMMARY}, avg(chosen_disagreement) AS mean_chosen_disagreement FROM decx GROUP BY ALL", "decx"))
+def disagreement_summary(spark, sf_dir):
+    return D.disagreement_summary(D.decision_context(decisions(spark, sf_dir), context(spark, sf_dir)))
+
+
+@query(Q.columns("metrics", "mae rmse mape", "family model_name row_count"))
+def forecast_metrics(spark, sf_dir):
+    return S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name"))
+
+
+@query(_rounded("policy_name decision_count", SUMMARY_DOUBLES, f"SELECT policy_name, count(*) AS decision_count, {SUMMARY} FROM dec GROUP BY ALL", "dec"))
+def policy_summary(spark, sf_dir):
+    return D.policy_summary(decisions(spark, sf_dir))
+
+
+@query(Q.query("SELECT family, arg_min(model_name, mae) AS model_name, round(min(mae), 6) + 0.0::DOUBLE AS mae FROM metrics GROUP BY family", "metrics"))
+def best_model(spark, sf_dir):
+    return S.best_model(S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name")))
+
+
+@query(Q.query("SELECT family, " + ", ".join(f"round(max(mae) FILTER (WHERE model_name = '{m}'), 6) + 0.0::DOUBLE AS {m}" for m in ("persistence", "rolling_mean", "peer_mean")) + " FROM metrics GROUP BY family", "metrics"))
+def scenario_pivot(spark, sf_dir):
+    return S.scenario_pivot(S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name")), "family", "model_name", ["persistence", "rolling_mean", "peer_mean"], "mae")
+
+
+BOOT = """
+  SELECT policy_name, b, avg(v) AS v FROM (SELECT d.policy_name, b, p.v FROM (SELECT policy_name, n, b, ('0x' || substr(md5('42|' || b || '|' || place), 1, 8))::BIGINT % n AS pick FROM placed, range(1, 41) r(b)) d JOIN placed p ON p.policy_name = d.policy_name AND p.place = d.pick) GROUP BY ALL"""
+PLACED = "SELECT policy_name, regret_ms AS v, row_number() OVER (PARTITION BY policy_name ORDER BY session_bin_index) - 1 AS place, count(*) OVER (PARTITION BY policy_name) AS n FROM dec"
+
+
+@query(Q.query(f"SELECT policy_name, 'regret_ms' AS metric_name, round(m, 6) + 0.0::DOUBLE AS mean_value, round(lo, 6) + 0.0::DOUBLE AS ci_lower, round(hi, 6) + 0.0::DOUBLE AS ci_upper, sample_count FROM (SELECT policy_name, avg(v) AS m, count(*) AS sample_count FROM ({PLACED}) GROUP BY 1) JOIN (WITH placed AS ({PLACED}) SELECT policy_name, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM ({BOOT}) GROUP BY 1) USING (policy_name)", "dec"))
+def bootstrap_intervals(spark, sf_dir):
+    return S.bootstrap_intervals(decisions(spark, sf_dir), ("regret_ms",), rounds=40)
+
+
+@query()
+def interval_pivot(spark, sf_dir):
+    made = decisions(spark, sf_dir)
+    return S.interval_pivot(S.bootstrap_intervals(made, rounds=40), D.policy_summary(made))
+
+
+# --- windows
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, session_bin_index FROM idx", "idx"))
+def session_bin_index(spark, sf_dir):
+    return indexed(spark, sf_dir).select(*KEY.split(), "session_bin_index")
+
+
+LAGGED = " ".join(f"latency_mean_ms_lag_{k}" for k in X.LAGS)
+ROLLED = "latency_mean_ms_roll_mean_3 latency_mean_ms_roll_std_3 latency_mean_ms_roll_mean_5 latency_mean_ms_roll_std_5"
+
+
+@query(Q.columns("lags", LAGGED, KEY))
+def lag_features(spark, sf_dir):
+    return X.lag_features(indexed(spark, sf_dir)).select(*KEY.split(), *LAGGED.split())
+
+
+@query(Q.columns("lags", ROLLED, KEY))
+def rolling_features(spark, sf_dir):
+    return X.rolling_features(indexed(spark, sf_dir)).select(*KEY.split(), *ROLLED.split())
+
+
+@query(Q.columns("lags", "observed_replies_roll_mean_3 observed_replies_roll_std_3", f"{KEY} observed_replies_lag_1"))
+def reply_features(spark, sf_dir):
+    return X.reply_features(indexed(spark, sf_dir)).select(*KEY.split(), "observed_replies_lag_1", "observed_replies_roll_mean_3", "observed_replies_roll_std_3")
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, round(target_next, 6) + 0.0::DOUBLE AS target_next, target_next_bin_epoch FROM lags WHERE target_next IS NOT NULL", "lags"))
+def next_bin_target(spark, sf_dir):
+    return X.next_bin_target(indexed(spark, sf_dir)).where("target_available = 1").select(*KEY.split(), "target_next", "target_next_bin_epoch")
+
+
+FORECAST = f"{BIN_DOUBLES} {LAGGED} {ROLLED} observed_replies_roll_mean_3 observed_replies_roll_std_3 {RATIOS} target_next window_duration_hours probe_interval_ms"
+FORECAST_OTHERS = f"{BIN_OTHERS} session_bin_index path_state_flag session_day_of_month observed_replies_lag_1 reply_delta_1 target_next_bin_epoch target_available"
+
+
+@query(Q.columns("fc0", FORECAST, FORECAST_OTHERS))
+def forecast_table(spark, sf_dir):
+    return X.forecast_table(indexed(spark, sf_dir)).select(*FORECAST_OTHERS.split(), *FORECAST.split())
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, split FROM fc", "fc"))
+def chronological_split(spark, sf_dir):
+    return forecast(spark, sf_dir).select(*KEY.split(), "split")
+
+
+PEERS = "peer_latency_mean peer_latency_std peer_reply_mean peer_reply_std peer_burst_indicator_mean peer_burst_indicator_std peer_latency_gap"
+
+
+@query(Q.columns("graph", PEERS, f"{KEY} snapshot_candidate_count"))
+def peer_features(spark, sf_dir):
+    return P.peer_features(forecast(spark, sf_dir)).select(*KEY.split(), "snapshot_candidate_count", *PEERS.split())
+
+
+@query(Q.columns("graph", "state_peer_latency_mean state_peer_latency_std", KEY))
+def state_peer_features(spark, sf_dir):
+    return P.state_peer_features(forecast(spark, sf_dir)).select(*KEY.split(), "state_peer_latency_mean", "state_peer_latency_std")
+
+
+@query(Q.columns("graph", "target_peer_latency_mean target_peer_latency_std", KEY))
+def target_peer_features(spark, sf_dir):
+    return P.target_peer_features(forecast(spark, sf_dir)).select(*KEY.split(), "target_peer_latency_mean", "target_peer_latency_std")
+
+
+@query(Q.query("SELECT session_bin_index, location_node, target_node FROM edges", "edges"))
+def graph_edges(spark, sf_dir):
+    return P.graph_edges(forecast(spark, sf_dir))
+
+
+@query(Q.query("SELECT session_bin_index, location_node AS node, location_degree AS degree FROM ldeg UNION ALL SELECT session_bin_index, target_node, target_degree FROM tdeg", "tdeg"))
+def graph_degrees(spark, sf_dir):
+    a, b = P.graph_degrees(P.graph_edges(forecast(spark, sf_dir)))
+    return a.toDF("session_bin_index", "node", "degree").union(b.toDF("session_bin_index", "node", "degree"))
+
+
+@query(Q.columns("graph", f"{PEERS} state_peer_latency_mean state_peer_latency_std target_peer_latency_mean target_peer_latency_std", f"{KEY} snapshot_candidate_count location_degree target_degree"))
+def snapshot_features(spark, sf_dir):
+    return graph(spark, sf_dir).select(*KEY.split(), "snapshot_candidate_count", "location_degree", "target_degree", *PEERS.split(), "state_peer_latency_mean", "state_peer_latency_std", "target_peer_latency_mean", "target_peer_latency_std")
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, random_score FROM rand", "rand"))
+def pseudo_random_score(spark, sf_dir):
+    return D.pseudo_random_score(candidates(spark, sf_dir)).select(*KEY.split(), "random_score")
+
+
+@query(Q.columns("terciles", "max_candidate_disagreement", "session_bin_index disagreement_bin"))
+def disagreement_bins(spark, sf_dir):
+    return context(spark, sf_dir).select("session_bin_index", "disagreement_bin", "max_candidate_disagreement")
+
+
+# --- decisions and joins
+
+
+DECIDED = "reactive_latency_ms realized_next_latency_ms hindsight_best_latency_ms regret_ms pred_consensus pred_disagreement pred_forecast pred_graph pred_simple_fusion"
+DECIDED_OTHERS = "policy_name session_bin_index chosen_relative_path chosen_location chosen_path_state best_path_match success_under_budget"
+
+
+@query(Q.columns("dec", DECIDED, DECIDED_OTHERS))
+def policy_decisions(spark, sf_dir):
+    return decisions(spark, sf_dir).select(*DECIDED_OTHERS.split(), *DECIDED.split())
+
+
+@query(Q.columns("best", "hindsight_best_latency_ms", "session_bin_index hindsight_path"))
+def hindsight_best(spark, sf_dir):
+    return D.hindsight_best(candidates(spark, sf_dir))
+
+
+@query(Q.columns("cand", "pred_forecast pred_graph target_next", KEY))
+def candidate_frame(spark, sf_dir):
+    temporal = forecast(spark, sf_dir).where("split = 'test'").select(*KEY.split(), "target_next", F.col("latency_mean_ms_roll_mean_3").alias("pred_forecast"))
+    other = graph(spark, sf_dir).where("split = 'test'").select(*KEY.split(), F.col("peer_latency_mean").alias("pred_graph"))
+    return D.candidate_frame(temporal, other)
+
+
+@query(Q.columns("decx", "chosen_disagreement mean_candidate_disagreement max_candidate_disagreement stressed_candidate_fraction", "policy_name session_bin_index candidate_count disagreement_bin"))
+def decision_context(spark, sf_dir):
+    made = D.decision_context(decisions(spark, sf_dir), context(spark, sf_dir))
+    return made.select("policy_name", "session_bin_index", "candidate_count", "disagreement_bin", "chosen_disagreement", "mean_candidate_disagreement", "max_candidate_disagreement", "stressed_candidate_fraction")
+
+
+@query(Q.columns("deltas", "delta", "comparison_name metric_name session_bin_index"))
+def paired_policies(spark, sf_dir):
+    return deltas(spark, sf_dir)
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, observed_replies FROM bins SEMI JOIN (SELECT DISTINCT relative_path FROM bins WHERE path_state = 'inactive' AND window_duration = '2h') USING (relative_path)", "bins"))
+def manifest_restriction(spark, sf_dir):
+    made = day_bins(spark, sf_dir)
+    manifest = made.where("path_state = 'inactive' and window_duration = '2h'").select("relative_path").distinct()
+    return I.manifest_restriction(made, manifest).select("relative_path", "bin_epoch", "observed_replies")
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, split, target_available FROM fc WHERE split IN ('train', 'val')", "fc"))
+def train_plus_val(spark, sf_dir):
+    return forecast(spark, sf_dir).where("split in ('train', 'val')").select(*KEY.split(), "split", "target_available")
+
+
+# --- tuning and statistics
+
+
+GRADED = """
+  SELECT i, w, p, stress_scenario, session_bin_index, relative_path, target_next FROM (SELECT *, row_number() OVER (PARTITION BY i, stress_scenario, session_bin_index ORDER BY w * pred_forecast + g * pred_graph + p * abs(pred_graph - pred_forecast), relative_path, bin_epoch) AS r FROM cand, grid) WHERE r = 1"""
+GRID = "SELECT row_number() OVER () - 1 AS i, w, 1.0::DOUBLE - w AS g, p FROM (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8])::DOUBLE AS w), (SELECT unnest([0.0, 0.1, 0.2, 0.25, 0.3])::DOUBLE AS p) ORDER BY w, p"
+BESTS = "SELECT stress_scenario, session_bin_index, relative_path AS hp, target_next AS ht FROM (SELECT *, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY target_next, relative_path, bin_epoch) AS r FROM cand) WHERE r = 1"
+
+
+@query(Q.query(f"""SELECT w AS temporal_weight, 1.0::DOUBLE - w AS graph_weight, p AS disagreement_penalty, round(gap, 6) + 0.0::DOUBLE AS validation_gap_ms FROM (
+  WITH grid AS ({GRID}), h AS (SELECT w, p, stress_scenario, avg(target_next) AS hybrid FROM ({GRADED}) GROUP BY ALL),
+  one AS (SELECT stress_scenario, k, avg(target_next) AS one FROM (SELECT stress_scenario, 't' AS k, target_next, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY pred_forecast, relative_path, bin_epoch) AS r FROM cand
+    UNION ALL SELECT stress_scenario, 'g', target_next, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY pred_graph, relative_path, bin_epoch) FROM cand) WHERE r = 1 GROUP BY ALL)
+  SELECT w, p, avg(hybrid - single) AS gap FROM h JOIN (SELECT stress_scenario, min(one) AS single FROM one GROUP BY ALL) USING (stress_scenario) GROUP BY ALL) ORDER BY round(gap, 9), w, p LIMIT 1""", "cand"))
+def consensus_tuning(spark, sf_dir):
+    return D.consensus_tuning(candidates(spark, sf_dir))
+
+
+@query(_rounded("stress_scenario decision_count", f"disagreement_penalty {SUMMARY_DOUBLES}", f"WITH grid AS (SELECT row_number() OVER () AS i, 0.65::DOUBLE AS w, 0.35::DOUBLE AS g, p FROM (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5])::DOUBLE AS p)), bests AS ({BESTS}) SELECT stress_scenario, p AS disagreement_penalty, count(*) AS decision_count, avg(target_next) AS mean_realized_latency_ms, avg(target_next - ht) AS mean_regret_ms, avg((relative_path = hp)::INT) AS best_path_match_rate, avg((target_next <= 60.0)::INT) AS success_rate_under_60ms FROM ({GRADED}) JOIN bests USING (stress_scenario, session_bin_index) GROUP BY ALL", "cand"))
+def penalty_sweep(spark, sf_dir):
+    return D.penalty_sweep(candidates(spark, sf_dir))
+
+
+@query(_rounded("comparison_name metric_name sample_count", "mean_delta median_delta", "SELECT comparison_name, metric_name, count(*) AS sample_count, avg(delta) AS mean_delta, median(delta) AS median_delta FROM deltas GROUP BY ALL", "deltas"))
+def paired_deltas(spark, sf_dir):
+    return S.paired_deltas(deltas(spark, sf_dir))
+
+
+RANKS = """
+  SELECT comparison_name, metric_name, count(*) AS nz, least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS w, sum(t * t - 1)::DOUBLE AS tie_sum FROM (
+    SELECT *, rank() OVER (PARTITION BY comparison_name, metric_name ORDER BY abs(d)) + (t - 1) / 2.0::DOUBLE AS r FROM (
+      SELECT comparison_name, metric_name, round(delta, 9) AS d, count(*) OVER (PARTITION BY comparison_name, metric_name, abs(round(delta, 9))) AS t FROM deltas WHERE round(delta, 9) <> 0)) GROUP BY ALL"""
+
+
+@query(_rounded("comparison_name metric_name sample_count nonzero_count", "statistic z_score tie_sum", f"""
+  SELECT comparison_name, metric_name, sample_count, coalesce(nz, 0) AS nonzero_count, coalesce(w, 0)::DOUBLE AS statistic, coalesce(tie_sum, 0) AS tie_sum,
+    CASE WHEN coalesce(nz, 0) > 0 AND nz * (nz + 1) * (2 * nz + 1) / 24.0::DOUBLE - tie_sum / 48.0 > 0 THEN (w - nz * (nz + 1) / 4.0::DOUBLE) / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24.0::DOUBLE - tie_sum / 48.0) ELSE 0 END AS z_score
+  FROM (SELECT comparison_name, metric_name, count(*) AS sample_count FROM deltas GROUP BY ALL) LEFT JOIN ({RANKS}) USING (comparison_name, metric_name)""", "deltas"))
+def signed_ranks(spark, sf_dir):
+    return S.signed_ranks(deltas(spark, sf_dir))
+
+
+@query()
+def signed_rank_test(spark, sf_dir):
+    return S.signed_rank_test(deltas(spark, sf_dir))
+
+
+# --- stress
+
+
+STRESSED = "latency_mean_ms latency_std_ms latency_max_ms"
+STRESSED_OTHERS = f"{KEY} observed_replies stress_applied stress_scenario"
+
+
+@query(Q.columns("burst", STRESSED, STRESSED_OTHERS))
+def burst_stress(spark, sf_dir):
+    return Z.burst_stress(indexed(spark, sf_dir)).select(*STRESSED_OTHERS.split(), *STRESSED.split())
+
+
+@query(Q.columns("outage", STRESSED, STRESSED_OTHERS))
+def outage_stress(spark, sf_dir):
+    return Z.outage_stress(indexed(spark, sf_dir)).select(*STRESSED_OTHERS.split(), *STRESSED.split())
+
+
+@query(Q.columns("structural", STRESSED, STRESSED_OTHERS))
+def structural_stress(spark, sf_dir):
+    return Z.structural_stress(indexed(spark, sf_dir)).select(*STRESSED_OTHERS.split(), *STRESSED.split())
+
+
+@query(_rounded("relative_path bin_epoch observed_replies stress_applied stress_scenario", "latency_mean_ms target_next", """
+  SELECT relative_path, bin_epoch, hit::INT AS stress_applied, 'structural' AS stress_scenario, CASE WHEN hit THEN latency_mean_ms + s ELSE latency_mean_ms END AS latency_mean_ms, CASE WHEN hit THEN target_next + 0.85 * s ELSE target_next END AS target_next,
+    CASE WHEN hit THEN greatest(1, floor(observed_replies * 0.8::DOUBLE))::BIGINT ELSE observed_replies END AS observed_replies
+  FROM (SELECT *, location IN (FROM floc) AND session_bin_index IN (FROM fwin) AS hit, (28.0 + 0.25 * latency_std_ms) * (0.90 + 0.25 * U(44, relative_path || '|' || bin_epoch, 'severity')) AS s FROM fc)""", "floc"))
+def structural_forecast_stress(spark, sf_dir):
+    return Z.structural_forecast_stress(forecast(spark, sf_dir)).select("relative_path", "bin_epoch", "observed_replies", "stress_applied", "stress_scenario", "latency_mean_ms", "target_next")
+
+
+UNION = " UNION ALL ".join([f"SELECT {STRESSED_OTHERS.replace(' ', ', ')}, latency_mean_ms FROM {s}" for s in ("burst", "outage", "structural")] + ["SELECT relative_path, bin_epoch, observed_replies, 0::INT, 'base', latency_mean_ms FROM idx"])
+
+
+@query(_rounded(STRESSED_OTHERS, "latency_mean_ms", UNION, "structural"))
+def stress_scenarios(spark, sf_dir):
+    return Z.stress_scenarios(indexed(spark, sf_dir)).select(*STRESSED_OTHERS.split(), "latency_mean_ms")
+
+
+@query(Q.query(f"SELECT stress_scenario AS scenario_name, count(*) AS row_count, sum(stress_applied)::BIGINT AS stressed FROM ({UNION}) GROUP BY ALL", "structural"))
+def scenario_union(spark, sf_dir):
+    return Z.stress_scenarios(indexed(spark, sf_dir)).groupBy(F.col("stress_scenario").alias("scenario_name")).agg(F.count("*").alias("row_count"), F.sum("stress_applied").alias("stressed"))
+
+
+# --- models
+
+
+@query(Q.query("SELECT relative_path, bin_epoch, model_name, round(y_true, 6) + 0.0::DOUBLE AS y_true, round(y_pred, 6) + 0.0::DOUBLE AS y_pred FROM preds WHERE model_name = 'persistence'", "preds"))
+def persistence_forecast(spark, sf_dir):
+    return M.persistence_forecast(forecast(spark, sf_dir).where("split = 'test'"))
+
+
+@query(Q.query("SELECT round(regr_slope(target_next, latency_mean_ms), 6) + 0.0::DOUBLE AS slope, round(regr_intercept(target_next, latency_mean_ms), 6) + 0.0::DOUBLE AS intercept FROM fc WHERE split <> 'test'", "fc"))
+def single_feature_ols(spark, sf_dir):
+    return M.single_feature_ols(forecast(spark, sf_dir).where("split <> 'test'"))
+
+
+@query(name="run_forecast_baselines")
+def ols_baseline(spark, sf_dir):
+    """Persistence and least squares on test rows: errors of both."""
+    table = forecast(spark, sf_dir)
+    model = M.ols_fit(table.where("split <> 'test'"), feature_columns(table))
+    test = table.where("split = 'test'")
+    return S.forecast_metrics(M.persistence_forecast(test).union(M.ols_predict(test, model)))
+
+
+@query()
+def ols_predict(spark, sf_dir):
+    table = forecast(spark, sf_dir)
+    return M.ols_predict(table.where("split = 'test'"), M.ols_fit(table.where("split <> 'test'"), feature_columns(table)))
+
+
+@query(name="run_graph_baseline")
+def boosted_baseline(spark, sf_dir):
+    """Boosted trees with peer context on test rows (few rounds here; the job's default is 300)."""
+    table = graph(spark, sf_dir).cache()
+    features = feature_columns(table)
+    model = M.boosted_fit(table.where("split <> 'test'"), features, rounds=5, depth=4)
+    return S.forecast_metrics(M.boosted_predict(table.where("split = 'test'"), model, features))
+
+
+def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = graph(spark, sf_dir)
+    every = feature_columns(table)
+    return M.session_holdout(table, {"temporal": feature_columns(forecast(spark, sf_dir)), "graph_context": every})
+
+
+@query()
+def session_holdout(spark, sf_dir):
+    return _folds(spark, sf_dir)
+
+
+@query()
+def session_holdout_summary(spark, sf_dir):
+    return M.holdout_summary(_folds(spark, sf_dir))
+
+
+@query()
+def feature_ablation(spark, sf_dir):
+    """Least squares on temporal, graph and all columns as three policies."""
+    table = graph(spark, sf_dir)
+    temporal = feature_columns(forecast(spark, sf_dir))
+    every = feature_columns(table)
+    test = table.where("split = 'test'")
+    for name, columns in (("temporal", temporal), ("graph", [c for c in every if c not in temporal]), ("all", every)):
+        one = M.ols_predict(test, M.ols_fit(table.where("split <> 'test'"), columns)).select(*KEY.split(), F.col("y_pred").alias(f"pred_{name}"))
+        test = test.join(one, KEY.split())
+    return D.policy_summary(D.policy_decisions(test, {f"{n}_only": f"pred_{n}" for n in ("temporal", "graph", "all")}))
+
+
+@query(name="robustness_evaluation")
+def robustness(spark, sf_dir):
+    return robustness_evaluation(indexed(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
