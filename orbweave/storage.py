@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (any path that Spark can read)."""
@@ -26,9 +28,22 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/orbweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    Unless ``keep`` is set, ``release`` may delete the table.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
+    if not keep:
+        _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that earlier steps materialised; to be called once what they returned has been written."""
+    for path in _scratch:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _scratch.clear()
