@@ -1,8 +1,8 @@
 """Token ids of many short texts: each distinct word is encoded once per Python worker.
 
 The vocabulary's pre-tokenizer never lets a token span white space and its normaliser works word by word, so the ids of
-a text are the ids of its white-space-separated words, one after another. ``WordEncoder`` proves this for the file it is
-given (``splits_at_space``) and encodes whole texts where it does not hold.
+a text are the ids of its white-space-separated words, one after another. ``splits_at_space`` proves this for the file
+that ``WordEncoder`` is given; where it does not hold, whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 MEMO = 700_000  # distinct words remembered in a Python worker
 BLOCK = 200_000  # words of one text that are looked up at once
+RUN = 512  # new cores encoded as one text
+PARTED = re.compile("([A-Za-zÀ-ÖØ-öø-\\u012f\\u0131-\\u017e]+)([.,;:!?]*)").fullmatch  # without U+0130, which lower-cases to two characters
 
 
 def splits_at_space(config: dict) -> bool:
@@ -50,7 +52,12 @@ def words_of(text: str):
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer file; ``words`` maps a word to its ids as little-endian unsigned 32-bit bytes."""
+    """Encodes texts with a tokenizer file, each distinct word once; ids come as little-endian unsigned integers.
+
+    A word is a core of letters and the punctuation behind it, which the pre-tokenizer always parts. Cores that are new
+    are encoded many at a time, spaced out in one text, and told apart by the vocabulary's end-of-word mark; whenever the
+    marks don't add up, or a word has another form, it is encoded alone.
+    """
 
     _open: dict[str, WordEncoder] = {}
 
@@ -58,11 +65,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
+            config = json.load(f)
+        self.by_word = splits_at_space(config)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        suffix = config["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -71,41 +86,93 @@ class WordEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, unseen: list[str]) -> None:
-        for e, w in zip(self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), unseen, strict=True):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def pack(self, ids) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_cores(self, new: list[str]) -> None:
+        runs = [new[i : i + RUN] for i in range(0, len(new), RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(run) or len(ids) != stops[-1]:
+                self.cores.update(zip(run, self._alone(run), strict=True))
+                continue
+            packed, at = ids.tobytes(), 0
+            for core, stop in zip(run, (stops * self.dtype.itemsize).tolist(), strict=True):
+                self.cores[core] = packed[at:stop]
+                at = stop
+
+    def learn(self, words: set[str]) -> None:
+        """Add words to ``self.words``."""
+        parted, alone = [], []
+        for w in words:
+            if m := PARTED(w):
+                core, tail = m.groups()
+                parted.append((w, core.lower(), tail))
+            else:
+                alone.append(w)
+        new = {c for _, c, _ in parted}.difference(self.cores)
+        if new:
+            if len(self.cores) + len(new) > MEMO:
+                self.cores.clear()
+                new = {c for _, c, _ in parted}
+            self._learn_cores(list(new))
+        tails = list({t for _, _, t in parted if t})
+        of_tail = dict(zip(tails, self._alone(tails), strict=True))
+        for w, core, tail in parted:
+            self.words[w] = self.cores[core] + of_tail[tail] if tail else self.cores[core]
+        self.words.update(zip(alone, self._alone(alone), strict=True))
 
     def pieces(self, text: str | None):
         """The ids of a whole text as byte strings, in order; a very long text is looked up block by block."""
         if not text:
             return
         if not self.by_word:
-            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            yield self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
             return
         words = words_of(text)
         while block := list(islice(words, BLOCK)):
-            if len(self.words) > MEMO:
-                self.words.clear()
-            known = self.words
-            unseen = list({w for w in block if w not in known})
+            unseen = set(block).difference(self.words)
             if unseen:
-                self._learn(unseen)
-            yield b"".join(map(known.__getitem__, block))
+                if len(self.words) + len(unseen) > MEMO:
+                    self.words.clear()
+                    unseen = set(block)
+                self.learn(unseen)
+            yield b"".join(map(self.words.__getitem__, block))
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(self.pieces(text))
 
-    def prepare(self, texts: list[str | None]) -> None:
-        """Encode the unseen words of a batch of texts in one call."""
-        if not self.by_word:
-            return
-        if len(self.words) > MEMO:
-            self.words.clear()
-        known, unseen = self.words, set()
-        for t in texts:
-            if t and len(t) <= 8 * BLOCK:
-                unseen.update(w for w in words_of(t) if w not in known)
-            if len(unseen) > BLOCK:
-                break
+    def encode(self, texts: list[str | None]):
+        """(text's place, its ids) of the texts in order; the words of many short texts are looked up together."""
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+        for i, t in enumerate(texts):
+            if not self.by_word or (t and len(t) > 8 * BLOCK):
+                yield from self._flush(held)
+                held, n = [], 0
+                yield i, self.pieces(t)
+                continue
+            words = list(words_of(t)) if t else []
+            held.append((i, words))
+            n += len(words)
+            if n > 2 * BLOCK:
+                yield from self._flush(held)
+                held, n = [], 0
+        yield from self._flush(held)
+
+    def _flush(self, held: list[tuple[int, list[str]]]):
+        every: set[str] = set()
+        for _, words in held:
+            every.update(words)
+        unseen = every.difference(self.words)
         if unseen:
-            self._learn(list(unseen))
+            if len(self.words) + len(unseen) > MEMO:
+                self.words.clear()
+                unseen = every
+            self.learn(unseen)
+        for i, words in held:
+            yield i, (b"".join(map(self.words.__getitem__, words)),)

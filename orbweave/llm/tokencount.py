@@ -70,12 +70,11 @@ def spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, ma
     yield ids[starts >= since]
 
 
-def count(encoder: WordEncoder, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    if not text:
-        return 0
-    if len(text) > chunk:
-        return sum(map(len, spliced(encoder.tokenizer, text, chunk, overlap)))
-    return sum(len(piece) for piece in encoder.pieces(text)) // 4
+def counts(encoder: WordEncoder, texts: list[str | None], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The number of tokens of each text."""
+    short = [t if t and len(t) <= chunk else None for t in texts]
+    found = [sum(map(len, pieces)) // encoder.dtype.itemsize for _, pieces in encoder.encode(short)]
+    return [sum(map(len, spliced(encoder.tokenizer, t, chunk, overlap))) if t and len(t) > chunk else n for t, n in zip(texts, found, strict=True)]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -87,9 +86,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, chunk
         encoder = WordEncoder.of(tokenizer_path)
         for b in batches:
             texts = b.column(1).to_pylist()
-            encoder.prepare([t for t in texts if t and len(t) <= chunk])
             n_bytes = pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64())
-            n_tokens = pa.array([count(encoder, t, chunk, overlap) for t in texts], pa.int64())
+            n_tokens = pa.array(counts(encoder, texts, chunk, overlap), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, n_tokens], ["doc_id", "n_bytes", "n_tokens"])
 
     return source.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
