@@ -12,8 +12,8 @@ table lookup per letter and most words leave the automaton after two or three le
 stands before it; otherwise as abuse. A logistic regression on the exact, beginning and misspelled hits
 (which count half), as abuse and as quotation, gives the score.
 
-Edge cases: null and empty texts have no hits and score the regression's constant; without labelled rows (or without any
-term that stands out) every text scores the base rate; repeated rows are scored each; empty tables give an empty result.
+Edge cases: null and empty texts have no hits and score the regression's constant; without any term that stands out every
+text scores the base rate, without labelled rows 0.047; repeated rows are scored each; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, rows: int = TRAIN_ROWS) -> Tox
 
 def _newton(seen, ridge: float = 0.05) -> np.ndarray:
     if not seen:
-        return np.zeros(5)
+        return np.array([-3.0, 0.0, 0.0, 0.0, 0.0])  # nothing is known to be toxic
     x, y, n = np.array([r.x for r in seen]), np.array([r.label for r in seen], float), np.array([r["count"] for r in seen], float)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
