@@ -164,7 +164,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
 def fit(docs: DataFrame, labels: DataFrame, keep, p: QualityParams = QualityParams()) -> np.ndarray:
     """Weights learnt from the labelled rows for which ``keep`` (a condition on doc_id) holds."""
     spark = docs.sparkSession
-    sample = materialise(labelled_sample(docs, labels, "quality", keep, p.train_rows), "quality-sample")
+    sample = materialise(labelled_sample(docs, labels, "quality", keep, p.train_rows).repartition(p.shards), "quality-sample")
     size = 2**p.bits
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.rounds):
@@ -179,14 +179,15 @@ def fit(docs: DataFrame, labels: DataFrame, keep, p: QualityParams = QualityPara
                 seen += b.num_rows
             if seen:
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], ["slot", "z", "n"])
+                # slot -1 counts the shards
+                yield pa.RecordBatch.from_arrays([pa.array([-1, *at]), pa.array([1.0, *z[at]]), pa.array([0.0, *n[at]])], ["slot", "z", "n"])
 
-        shards = sample.repartition(p.shards, "doc_id").sortWithinPartitions(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text")
-        mixed = shards.mapInArrow(train, "slot long, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+        # the sample's files are the shards: no shuffle of texts between rounds
+        mixed = sample.coalesce(p.shards).mapInArrow(train, "slot long, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+        slots, z_sum, n_sum = (mixed.column(c).to_numpy() for c in ("slot", "z", "n"))
+        at, shards = slots[slots >= 0], max(1.0, z_sum[slots < 0].sum())
         z, n = np.zeros(size), np.zeros(size)
-        at = mixed.column("slot").to_numpy()
-        z[at] = mixed.column("z").to_numpy() / p.shards
-        n[at] = mixed.column("n").to_numpy() / p.shards
+        z[at], n[at] = z_sum[slots >= 0] / shards, n_sum[slots >= 0] / shards
         state.destroy()
     return _weights(z, n, p, np.arange(size) == 0)
 
