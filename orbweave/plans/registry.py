@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions.scalars import consensus, disagreement, feature_columns, fusion, human_bytes, rounded, static_features, utc_iso
+from orbweave.functions.scalars import bucket, consensus, disagreement, feature_columns, fusion, human_bytes, rounded, static_features, utc_iso
 from orbweave.operators import bins as B
 from orbweave.operators import features as X
 from orbweave.operators import inventory as I
@@ -19,7 +19,7 @@ from orbweave.operators import stress as Z
 from orbweave.plans import sql as Q
 from orbweave.plans.jobs import robustness_evaluation
 from orbweave.sources import bindings, logs
-from orbweave.storage import shared_path
+from orbweave.storage import materialise, read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,8 +171,6 @@ def parse_path_parts(spark, sf_dir):
 
 @query(Q.query("SELECT event_id, (floor(epoch / 60) * 60)::BIGINT AS bin_epoch, strftime(make_timestamp((floor(epoch / 60) * 60)::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S') AS bin_start_utc FROM obs", "obs"))
 def epoch_to_utc(spark, sf_dir):
-    from orbweave.functions.scalars import bucket
-
     return bindings.observations(spark, sf_dir).select("event_id", bucket("epoch", 60).alias("bin_epoch")).withColumn("bin_start_utc", utc_iso("bin_epoch"))
 
 
@@ -203,12 +201,13 @@ for _name, _column in (("fusion_scores", "pred_simple_fusion"), ("consensus_scor
     query(Q.columns("cand", _column, KEY), _name)(_scores)
 
 
-@query()
+@query(name="feature_columns")
 def feature_list(spark, sf_dir):
-    """The explicit feature lists of the two model families, as rows."""
+    """Each feature of the graph models: in how many rows it is there, and whether the temporal models have it too."""
     frame = graph(spark, sf_dir)
-    names = feature_columns(frame)
-    return frame.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("feature"))
+    names, temporal = feature_columns(frame), feature_columns(forecast(spark, sf_dir))
+    counts = frame.agg(*[F.count(c).alias(c) for c in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in temporal).alias("temporal"), F.col(c).alias("row_count")) for c in names])).alias("x")).select("x.*")
 
 
 # --- inventory and selection
@@ -222,8 +221,6 @@ def file_summary(spark, sf_dir):
 @query(Q.query("SELECT 'sales-' || o_orderpriority || '.csv' AS path, ['orderkey', 'total'] AS columns, least(count(*), 25) AS row_sample_count FROM orders GROUP BY o_orderpriority", "o"))
 def csv_schema_sample(spark, sf_dir):
     """Delimited files made from orders: a header line, then a line per order."""
-    from orbweave.storage import read_table
-
     orders = read_table(spark, sf_dir, "orders")
     path = F.concat(F.lit("sales-"), "o_orderpriority", F.lit(".csv"))
     rows = orders.select(path.alias("path"), (F.col("o_orderkey") + 1).cast("long").alias("line_no"), F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("line"))
@@ -580,19 +577,32 @@ def ols_baseline(spark, sf_dir):
     return S.forecast_metrics(M.persistence_forecast(test).union(M.ols_predict(test, model)))
 
 
+@query()
+def ols_fit(spark, sf_dir):
+    """Coefficients of least squares on the temporal features, a row each ("" is the intercept)."""
+    table = forecast(spark, sf_dir)
+    model = M.ols_fit(table.where("split <> 'test'"), feature_columns(table))
+    return spark.createDataFrame(sorted(model.items()), "feature string, coefficient double")
+
+
 @query()
 def ols_predict(spark, sf_dir):
     table = forecast(spark, sf_dir)
     return M.ols_predict(table.where("split = 'test'"), M.ols_fit(table.where("split <> 'test'"), feature_columns(table)))
 
 
-@query(name="run_graph_baseline")
-def boosted_baseline(spark, sf_dir):
-    """Boosted trees with peer context on test rows (few rounds here; the job's default is 300)."""
-    table = graph(spark, sf_dir).cache()
+@query()
+def boosted_predict(spark, sf_dir):
+    """Boosted trees with peer context on test rows (few rounds here; the operator's default is 300)."""
+    table = materialise(graph(spark, sf_dir), "graph-table")
     features = feature_columns(table)
     model = M.boosted_fit(table.where("split <> 'test'"), features, rounds=5, depth=4)
-    return S.forecast_metrics(M.boosted_predict(table.where("split = 'test'"), model, features))
+    return M.boosted_predict(table.where("split = 'test'"), model, features)
+
+
+@query(name="run_graph_baseline")
+def boosted_baseline(spark, sf_dir):
+    return S.forecast_metrics(boosted_predict(spark, sf_dir))
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
