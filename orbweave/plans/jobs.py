@@ -1,28 +1,104 @@
-"""Jobs that compose the operators."""
+"""Jobs that compose the operators: logs to tables, tables to forecasts, forecasts to decisions under stress.
+
+    python -m orbweave.plans tables LOGS OUT
+    python -m orbweave.plans forecasts BINS OUT
+    python -m orbweave.plans robustness BINS OUT
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import feature_columns
-from orbweave.operators import features, models, peers, policies, stress
+from orbweave.operators import bins, features, inventory, models, peers, policies, stats, stress
+from orbweave.sources import logs
+from orbweave.sources.bindings import META
 from orbweave.storage import materialise
 
+COMPARISONS = [
+    ("consensus_vs_temporal", "predictive_consensus_greedy", "predictive_greedy"),
+    ("consensus_vs_graph", "predictive_consensus_greedy", "predictive_graph_greedy"),
+    ("consensus_vs_reactive", "predictive_consensus_greedy", "reactive_greedy"),
+]
+
+
+def build_tables(spark: SparkSession, root: str, bin_seconds: int = 60, sample_rows: int = 1000, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Session summaries, a strided sample and time bins of all logs below ``root``, or of a manifest's."""
+    inside = F.regexp_replace("path", rf"^.*?{root.rstrip('/').split('/')[-1]}/", "")
+    files = logs.file_listing(spark, root, "ping-*.txt").select(inside.alias("relative_path"), F.col("length").alias("file_size_bytes"))
+    lines = logs.read_log_lines(spark, root).withColumn("relative_path", inside).drop("path")
+    if manifest is not None:
+        files, lines = inventory.manifest_restriction(files, manifest), inventory.manifest_restriction(lines, manifest)
+    headers = logs.parse_headers(lines, "relative_path")
+    sessions = logs.session_metadata(files, headers)
+    replies = logs.parse_replies(lines)
+    named = replies.select("*", *logs.path_parts(), *logs.file_name_parts())
+    return {
+        "session_summary": bins.session_summary(sessions, replies, "line_no", sample_rows),
+        "observation_sample": bins.observation_sample(named, sample_rows),
+        "time_bins": bins.time_bins(named, bin_seconds, META),
+    }
+
+
+def evaluate_forecasts(table: DataFrame, boosting_rounds: int = 300) -> dict[str, DataFrame]:
+    """Predictions on the test rows of a graph table with ``split``, and errors, of persistence, least squares and boosted trees."""
+    every = feature_columns(table)
+    temporal = [c for c in every if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
+    train, test = table.where("split <> 'test'"), table.where("split = 'test'")
+    made = models.persistence_forecast(test).union(models.ols_predict(test, models.ols_fit(train, temporal)))
+    made = made.union(models.boosted_predict(test, models.boosted_fit(train, every, boosting_rounds), every))
+    made = materialise(made, "predictions")
+    return {"predictions": made, "metrics": stats.forecast_metrics(made)}
+
 
-def robustness_evaluation(bins: DataFrame, budget: float = policies.BUDGET_MS) -> DataFrame:
-    """Train both experts on base bins, test every policy under every scenario.
+def graph_table(time_bins: DataFrame, horizon: int = 1) -> DataFrame:
+    indexed = features.session_bin_index(time_bins)
+    return peers.snapshot_features(features.chronological_split(features.forecast_table(indexed, horizon=horizon)))
 
-    All scenarios are one table keyed by ``stress_scenario``, so features, peers, predictions and decisions are made once.
+
+def _scored_scenarios(time_bins: DataFrame) -> DataFrame:
+    """Test rows of all scenarios with both experts' predictions, learnt from base bins.
+
+    All scenarios are one table keyed by ``stress_scenario``, so features, peers and predictions are made once.
     """
     keys, window = ("stress_scenario", "relative_path"), ("stress_scenario", "session_bin_index")
-    table = features.forecast_table(stress.stress_scenarios(bins), keys=keys)
+    table = features.forecast_table(stress.stress_scenarios(time_bins), keys=keys)
     table = materialise(peers.snapshot_features(features.chronological_split(table, keys=keys), window), "scenarios")
     every = feature_columns(table)
     temporal = [c for c in every if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
     train = table.where("stress_scenario = 'base' and split <> 'test'")
-    test = table.where("split = 'test'")
     predict = lambda columns, model: sum([F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in model.items() if c], F.lit(model[""]))
-    scored = test.withColumns({"pred_forecast": predict(temporal, models.ols_fit(train, temporal)), "pred_graph": predict(every, models.ols_fit(train, every))})
-    decided = policies.policy_decisions(policies.add_scores(scored), budget=budget, window=window)
-    return policies.policy_summary(decided, ("stress_scenario", "policy_name"))
+    test = table.where("split = 'test'").withColumns({"pred_forecast": predict(temporal, models.ols_fit(train, temporal)), "pred_graph": predict(every, models.ols_fit(train, every))})
+    return materialise(policies.add_scores(test), "scored")
+
+
+def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS) -> dict[str, DataFrame]:
+    """Every policy under every scenario: errors, decisions, summaries by policy and by disagreement, tuning, sweep, tests, intervals.
+
+    ``time_bins`` has session_bin_index.
+    """
+    key, window = ("stress_scenario",), ("stress_scenario", "session_bin_index")
+    scored = _scored_scenarios(time_bins)
+    experts = F.array(*[F.struct(F.lit(n).alias("model_name"), F.col(c).alias("y_pred")) for n, c in (("persistence", "latency_mean_ms"), ("temporal", "pred_forecast"), ("graph", "pred_graph"))])
+    errors = scored.select("stress_scenario", F.col("target_next").alias("y_true"), F.explode(experts).alias("m")).select("stress_scenario", "y_true", "m.*")
+    decided = materialise(policies.policy_decisions(scored, budget=budget, window=window), "decisions")
+    context = policies.disagreement_bins(policies.window_context(scored, window), key)
+    in_context = policies.decision_context(decided, context, window)
+    base = decided.where("stress_scenario = 'base'")
+    return {
+        "metrics": stats.forecast_metrics(errors, ("stress_scenario", "model_name")),
+        "decisions": in_context,
+        "policy_summary": policies.policy_summary(decided, ("stress_scenario", "policy_name")),
+        "disagreement_summary": policies.disagreement_summary(in_context, ("stress_scenario", "disagreement_bin", "policy_name")),
+        "tuning": policies.consensus_tuning(scored),
+        "penalty_sweep": policies.penalty_sweep(scored, budget=budget),
+        "significance": stats.signed_rank_test(stats.paired_policies(base, COMPARISONS)),
+        "intervals": stats.bootstrap_intervals(base),
+    }
+
+
+def robustness_evaluation(time_bins: DataFrame, budget: float = policies.BUDGET_MS) -> DataFrame:
+    """The summary by scenario and policy alone."""
+    window = ("stress_scenario", "session_bin_index")
+    return policies.policy_summary(policies.policy_decisions(_scored_scenarios(time_bins), budget=budget, window=window), ("stress_scenario", "policy_name"))

@@ -16,15 +16,15 @@ from orbweave.operators import peers as P
 from orbweave.operators import policies as D
 from orbweave.operators import stats as S
 from orbweave.operators import stress as Z
+from orbweave.plans import jobs
 from orbweave.plans import sql as Q
-from orbweave.plans.jobs import robustness_evaluation
 from orbweave.sources import bindings, logs
 from orbweave.storage import materialise, read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-COMPARISONS = [("consensus_vs_temporal", "predictive_consensus_greedy", "predictive_greedy"), ("consensus_vs_graph", "predictive_consensus_greedy", "predictive_graph_greedy"), ("consensus_vs_reactive", "predictive_consensus_greedy", "reactive_greedy")]
+COMPARISONS = jobs.COMPARISONS
 KEY = "relative_path bin_epoch"
 
 
@@ -636,7 +636,7 @@ def feature_ablation(spark, sf_dir):
 
 @query(name="robustness_evaluation")
 def robustness(spark, sf_dir):
-    return robustness_evaluation(indexed(spark, sf_dir))
+    return jobs.robustness_evaluation(indexed(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
