@@ -218,14 +218,14 @@ def file_summary(spark, sf_dir):
     return B.file_summary(bindings.log_lines(spark, sf_dir), logs.REPLY).select("relative_path", "suffix", "sampled", "row_sample_count")
 
 
-@query(Q.query("SELECT 'sales-' || o_orderpriority || '.csv' AS path, ['orderkey', 'total'] AS columns, least(count(*), 25) AS row_sample_count FROM orders GROUP BY o_orderpriority", "o"))
+@query(Q.query("SELECT 'sales-' || o_orderpriority || '.csv' AS path, 'orderkey|total' AS columns, least(count(*), 25) AS row_sample_count FROM orders GROUP BY o_orderpriority", "o"))
 def csv_schema_sample(spark, sf_dir):
     """Delimited files made from orders: a header line, then a line per order."""
     orders = read_table(spark, sf_dir, "orders")
     path = F.concat(F.lit("sales-"), "o_orderpriority", F.lit(".csv"))
     rows = orders.select(path.alias("path"), (F.col("o_orderkey") + 1).cast("long").alias("line_no"), F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("line"))
     heads = orders.select(path.alias("path"), F.lit(-1).cast("long").alias("line_no"), F.lit("orderkey,total").alias("line")).distinct()
-    return B.csv_schema_sample(rows.union(heads))
+    return B.csv_schema_sample(rows.union(heads)).withColumn("columns", F.array_join("columns", "|"))
 
 
 @query(Q.query("SELECT suffix, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes FROM files GROUP BY suffix UNION ALL SELECT '*', count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM files", "files"))
