@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: list[str] = []
+_recorders: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,22 +29,30 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/orbweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
-
-    Unless ``keep`` is set, ``release`` may delete the table.
-    """
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    if not keep:
-        _scratch.append(path)
+    for paths in _recorders:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that earlier steps materialised; to be called once what they returned has been written."""
-    for path in _scratch:
+@contextlib.contextmanager
+def recording():
+    """The paths of the tables that are materialised inside the block, for ``release``."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete materialised tables; to be called once all that was made of them has been written."""
+    for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _scratch.clear()
+    paths.clear()
