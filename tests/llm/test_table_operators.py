@@ -122,6 +122,35 @@ def test_personal_data_against_plain_rules(spark):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_loosely_written_personal_data_is_added(spark):
+    rng = random.Random(5)
+    numbers = lambda n: "".join(str(rng.randint(0, 9)) for _ in range(n))
+
+    def card():
+        d = "4" + numbers(14)
+        return next(d + c for c in "0123456789" if sum(int(x) if i % 2 == 0 else int(x) * 2 - 9 * (int(x) > 4) for i, x in enumerate(reversed(d + c))) % 10 == 0)
+
+    def fours(d):
+        return [d[i : i + 4] for i in range(0, 16, 4)]
+
+    texts = []
+    for i in range(150):
+        texts += [f"some words +1 ({rng.randint(200, 999)}) 555-{numbers(4)} and more", f"he has {card()} in a note", f"seen {'.'.join(str(rng.randint(1, 255)) for _ in range(4))} there", f"ask name{i}.x@host{i % 7}.example.com today"]
+    phone, mine, two = f"1 (743) 555-{numbers(4)}", ".".join(fours(card())), [card(), card()]
+    planted = {"phone": phone, "card": mine, "email": "jo.doe (at) host3 dot org"}
+    texts += [f"the words {said} and so on" for said in planted.values()]
+    texts += [f"numbers {' '.join(two)} here", "1 2 " * 30 + f"555-123-{numbers(4)} end"]
+    clean = ["on 2024-10-05 11 we met", "look at example.com for more", "in all 1.234.567.890 of them", "release 2.0 of 12 parts", "id 839201748392 was lost", f"token 1eb9c654e721{numbers(10)}a"]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")).collect()}
+    at = 600
+    for k, (kind, said) in enumerate(planted.items()):
+        start = texts[at + k].index(said)
+        assert f"{kind}:{start}:{start + len(said)}" == got[at + k], (texts[at + k], got[at + k])
+    assert got[603] == "card:8:24,card:25:41"
+    assert got[604].startswith("phone:") and got[604].endswith(":132")
+    assert [got[i] for i in range(605, 605 + len(clean))] == [""] * len(clean)
+
+
 def test_personal_data_edge_cases(spark):
     df = spark.createDataFrame([(1, "no data here")], "doc_id long, text string")
     assert pii.find_personal_data(df.limit(0)).isEmpty()
