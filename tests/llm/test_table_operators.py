@@ -31,6 +31,20 @@ def test_mix_comes_near_its_targets(spark):
     assert rows[rows.times > 0].position.between(0, 1).all()
 
 
+def test_a_giant_document_does_not_shut_out_others(spark):
+    counts = [1625, 408, 1000, 1625, 408, 1, 1625, 408, 1]
+    rows = [(10_000 * k + i, "w " * (6 + i % 5), f"s{k}") for k, n in enumerate(counts) for i in range(n)]
+    first = min(range(100_000, 110_000), key=lambda i: hashlib.md5(f"mix|{i}".encode()).hexdigest())
+    # at the front of the third source, more than twice what is wanted of it
+    df = spark.createDataFrame([*rows, (first, "w " * 12_000, "s2")], "doc_id long, text string, source string")
+    for over in (True, False):
+        got = mixing.mix(df, over=over).join(df.select("doc_id", "source"), "doc_id").where("source = 's2'").toPandas()
+        assert 5_000 < got.target.iloc[0] < 6_000
+        assert abs(got.taken.sum() - got.target.iloc[0]) <= 10
+        taken = got[got.times > 0]
+        assert taken.position.nunique() > 0.9 * len(taken)  # spread over the source's demand
+
+
 def test_mix_runs_no_python(spark, sf_dir):
     plan = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
