@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import wraps
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +60,19 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(docs)
 
 
+def in_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with the place of each row: ``__file`` and ``__row`` of the Parquet files that it is read from, else its number."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # not read from files
+        return docs.select("*", F.lit("").alias("__file"), F.monotonically_increasing_id().alias("__row"))
+
+
 @tidy
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left; doc_id, start, n_tokens and ids_crc32 of each document as read back from them."""
+    """Token files of what is left, in training order; doc_id, start, n_tokens and ids_crc32 of each document as read back from them."""
     folder = shared_path(spark, "token-files")
-    tokenbin.write_token_files(docs, folder, public_tokenizers.path(TOKENIZER), END_ID)
+    tokenbin.write_token_files(in_place(docs), folder, public_tokenizers.path(TOKENIZER), END_ID, by=("__file", "__row"))
     return tokenbin.read_token_files(spark, folder)
 
 

@@ -1,6 +1,6 @@
 """Token ids as flat binary files: unsigned integers, 64-bit document offsets, memory-mapped on reading.
 
-A data set is a folder of shards in ascending document order. Shard k has three files, all little-endian:
+A data set is a folder of shards in the order of given columns (by default ascending doc_id). Shard k has three files, all little-endian:
 
 * ``shard-k.bin``: the ids of its documents, one after another, each document followed by the end id; two bytes an id if
   the vocabulary and the end id fit, else four (the manifest tells);
@@ -11,8 +11,8 @@ Shards are range partitions of the documents, so no task needs to know the ones
 the whole sequence is the prefix sum of the shards' token counts (one row per shard), kept in the folder ``manifest``.
 A task writes under a name of its own attempt and renames at the end, so a retried or doubled task leaves whole files.
 
-Edge cases: a null text is an empty one (the end id alone); a null doc_id sorts first; rows of the same doc_id are
-ordered by text; repeated rows are written each; an empty table makes a folder without shards and an empty result.
+Edge cases: a null text is an empty one (the end id alone); a null doc_id sorts first; rows of the same place
+are ordered by text; repeated rows are written each; an empty table makes a folder without shards and an empty result.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ class _ShardWriter:
             self.fs.move(self.temp[kind], self.final[kind])
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int | None = None) -> list[tuple[int, int, int, int]]:
-    """Write ``docs`` (doc_id, text) as a data set; (shard, documents, tokens, first token) of each shard, in order."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int | None = None, by: tuple[str, ...] = ("doc_id",)) -> list[tuple[int, int, int, int]]:
+    """Write ``docs`` (doc_id, text) as a data set in the order of ``by``; (shard, documents, tokens, first token) of each shard, in order."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dtype = np.dtype("<u2" if WordEncoder.of(tokenizer_path).dtype == "<u2" and end_id < 1 << 16 else "<u4")
@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n_docs": [out.docs], "n_tokens": [out.tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in by if c not in ("doc_id", "text"))).repartitionByRange(shards, *by).sortWithinPartitions(*by, "text")
     stats = sorted(tuple(r) for r in ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long").collect())  # a row per shard
     bases = np.concatenate([[0], np.cumsum([n for _, _, n in stats])]).astype(int).tolist()
     shape = [(k, d, n, base) for (k, d, n), base in zip(stats, bases, strict=False)]

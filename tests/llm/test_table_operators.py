@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orbweave.llm import ann, chat, decontam, mixing, pii, queries
+from orbweave.storage import materialise
 
 MIDDLE = "/root/testdata/sf0.01"
 
@@ -219,6 +220,16 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(rows) == held.count() and sum(r[2] for r in rows) == max(r[1] + r[2] for r in rows)
 
 
+def test_token_files_keep_the_training_order(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = materialise(corpus_pipeline.mix_sources(spark, docs, sf_dir), "mixed")
+    wanted = [r.doc_id for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    got = [r.doc_id for r in corpus_pipeline.write_token_ids(spark, mixed, sf_dir).orderBy("start").collect()]
+    assert got == wanted and got != sorted(got)
+    loose = spark.createDataFrame([(i, f"text {i}") for i in (5, 3, 9, 1, 7)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.write_token_ids(spark, loose, sf_dir).orderBy("start").collect()] == [5, 3, 9, 1, 7]
+
+
 def test_pipeline_on_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
