@@ -4,9 +4,11 @@ Every text becomes a sparse vector: word unigrams, word bigrams and n-grams of w
 of punctuation, "same as the word before"), hashed into ``2 ** bits`` slots. A score is the sparse dot product of that
 vector with the weights, through the logistic function.
 
-Training is distributed. The labelled sample is dealt over ``shards`` tasks; each runs FTRL-proximal over its rows from
-the current state, the states are averaged slot by slot, and ``rounds`` such rounds are made. The state has a fixed size
-(``2 ** bits`` slots), so what is broadcast or brought to the driver does not grow with the data.
+Training is distributed. The features of the labelled sample are written once. A row's shard is a hash of its doc_id;
+each shard runs FTRL-proximal over its rows, in the order of another hash, from the current state; the states are added
+up slot by slot in the order of the shards and averaged, and ``rounds`` such rounds are made. So the weights depend on the
+rows alone, not on files, partitions or the number of cores. The state has a fixed size (``2 ** bits`` slots), so what is
+broadcast or brought to the driver does not grow with the data.
 
 Edge cases: a null or empty text has no n-grams and scores the bias alone; a document without a label is scored but
 never learnt from; repeated rows are scored each on their own; empty tables give an empty result; a label table without
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbweave.storage import materialise
 
@@ -161,29 +164,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
+def training_rows(sample: DataFrame, p: QualityParams) -> DataFrame:
+    """shard, place, tie (the order inside a shard), label, and the slots and values of each row's features, as bytes."""
+    doc = F.col("doc_id").cast("string")
+    keyed = sample.select(F.pmod(F.xxhash64(doc, F.lit(1)), F.lit(p.shards)).cast("int").alias("shard"), F.xxhash64(doc).alias("place"), F.xxhash64("doc_id", "text").alias("tie"), "label", "text")
+
+    def run(batches):
+        for b in batches:
+            found = [features(t, p.bits) for t in b.column("text").to_pylist()]
+            packed = [pa.array([x[k].astype(t).tobytes() for x in found], pa.binary()) for k, t in ((0, "<i4"), (1, "<f8"))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *packed], ["shard", "place", "tie", "label", "slots", "values"])
+
+    return keyed.mapInArrow(run, "shard int, place long, tie long, label int, slots binary, values binary")
+
+
+def ordered_rows(table: pa.Table):
+    """The (slots, values, label) rows of a shard in their order."""
+    for r in table.sort_by([("place", "ascending"), ("tie", "ascending")]).select(["slots", "values", "label"]).to_batches(256):
+        for slots, values, label in zip(*(c.to_pylist() for c in r.columns), strict=True):
+            yield np.frombuffer(slots, "<i4").astype(np.int64), np.frombuffer(values, "<f8"), label
+
+
 def fit(docs: DataFrame, labels: DataFrame, keep, p: QualityParams = QualityParams()) -> np.ndarray:
     """Weights learnt from the labelled rows for which ``keep`` (a condition on doc_id) holds."""
     spark = docs.sparkSession
-    sample = materialise(labelled_sample(docs, labels, "quality", keep, p.train_rows).repartition(p.shards), "quality-sample")
+    rows = materialise(training_rows(labelled_sample(docs, labels, "quality", keep, p.train_rows), p), "quality-features")
     size = 2**p.bits
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(p.rounds):
         state = spark.sparkContext.broadcast((z, n))
 
-        def train(batches, state=state):
+        def train(table):  # noqa: B023  (runs before the state changes)
             z, n = (a.copy() for a in state.value)
-            seen = 0
-            for b in batches:
-                rows = ((*features(t, p.bits), y) for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True))
-                ftrl_pass(rows, z, n, p)
-                seen += b.num_rows
-            if seen:
-                at = np.flatnonzero(n)
-                # slot -1 counts the shards
-                yield pa.RecordBatch.from_arrays([pa.array([-1, *at]), pa.array([1.0, *z[at]]), pa.array([0.0, *n[at]])], ["slot", "z", "n"])
-
-        # the sample's files are the shards: no shuffle of texts between rounds
-        mixed = sample.coalesce(p.shards).mapInArrow(train, "slot long, z double, n double").groupBy("slot").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+            ftrl_pass(ordered_rows(table), z, n, p)
+            at = np.flatnonzero(n)
+            shard = np.full(len(at) + 1, table.column("shard")[0].as_py(), np.int32)
+            # slot -1 counts the shards
+            return pa.table({"shard": shard, "slot": [-1, *at.tolist()], "z": np.append(1.0, z[at]), "n": np.append(0.0, n[at])})
+
+        # a shard holds its part of the bounded sample; sums are taken in the order of the shards, so that they are the same on every run
+        states = rows.groupBy("shard").applyInArrow(train, "shard int, slot long, z double, n double")
+        listed = states.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("shard", "z", "n"))).alias("s"))
+        added = lambda c: F.aggregate("s", F.lit(0.0), lambda acc, x: acc + x[c]).alias(c)
+        mixed = listed.select("slot", added("z"), added("n")).toArrow()
         slots, z_sum, n_sum = (mixed.column(c).to_numpy() for c in ("slot", "z", "n"))
         at, shards = slots[slots >= 0], max(1.0, z_sum[slots < 0].sum())
         z, n = np.zeros(size), np.zeros(size)
@@ -207,8 +230,6 @@ def score(docs: DataFrame, weights: np.ndarray, p: QualityParams = QualityParams
             flags = pa.array([int(s >= p.threshold) for s in scores], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), flags], [*names, "score", "predicted"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
 

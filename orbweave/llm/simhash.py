@@ -5,8 +5,17 @@ repeats, of that bit. Two fingerprints are linked if they differ in at most ``2
 fingerprint emits the 65 values of its ball of radius 1. Two fingerprints that differ in at most two bits share such a
 value, and two that share one differ in at most two bits, so all members of a shared value are linked to each other:
 sorting a value's members and linking each to the one before keeps every connection without emitting all pairs (at most
-65 distinct fingerprints can share a value). The links are verified and deduplicated, and components are found by
-label propagation with pointer jumping, in tables written to the shared folder.
+65 distinct fingerprints can share a value). The links are verified and deduplicated.
+
+*Components* are found by random contraction: in every round each node of the remaining graph is merged into the node of
+least hash among itself and its neighbours (a new hash each round), and links between merged nodes are all that is left.
+A round removes a fixed share of the nodes whatever the graph's shape (of a chain about half), so long chains take a
+logarithmic number of rounds, and every round removes at least one node of each component, so they end. Rounds go on
+until no link is left; the merges are then followed back from the last round to the first. All tables of a round are in
+the shared folder.
+
+A fingerprint that many rows share is not shuffled: those held by more than ``HOT`` rows are few (at most rows / HOT),
+so their components are broadcast; all others are joined by shuffle.
 
 Edge cases: null and empty texts have fingerprint zero, and are linked like any other; texts of fewer than three words
 have one shingle, the whole sequence; a null doc_id keeps its row, never is a component's id unless nothing else is;
@@ -18,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +36,7 @@ from orbweave.storage import materialise
 RADIUS = 1
 SHINGLE = 3
 BLOCK = 100_000
+HOT = 1_000_000  # rows of one fingerprint that go through one task of a join at most
 
 
 def fingerprint(text: str | None) -> int:
@@ -77,44 +87,46 @@ def ball_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints ``fp``; connectivity equals that of all links within two bits."""
     ball = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
     variants = distinct.select("fp", F.explode(ball).alias("variant"))
-    from pyspark.sql import Window
-
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     met = variants.select(F.col("fp").alias("a"), before.alias("b")).where("b is not null and a <> b")
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * RADIUS).distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each connected component, for all nodes that have a link.
-
-    Each round lowers a node's label to the least of its neighbours', then jumps to that label's label; the labels are
-    written to the shared folder, and rounds go on until nothing changes.
-    """
-    edges = materialise(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other"), "links")
-    labels = materialise(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
-    if labels.isEmpty():
-        return labels
-    for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("m"))
-        lower = labels.join(near, "node").select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
-        jump = lower.join(labels.select(F.col("node").alias("next"), F.col("root").alias("far")), "next", "left")
-        new = materialise(jump.select("node", F.least("next", F.coalesce("far", "next")).alias("root"), "was"), "labels")
-        if new.where("root <> was").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
-    raise RuntimeError("the components did not settle; raise max_rounds")
-
-
-def near_duplicate_classes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the same root for all nodes of a connected component, for all nodes that have a link."""
+    edges = materialise(links.select("a", "b").where("a <> b"), "links")
+    merges: list[DataFrame] = []
+    while not edges.isEmpty():
+        by_hash = lambda node, k=len(merges): F.struct(F.xxhash64(node, F.lit(k)).alias("hash"), F.col(node).alias("name"))
+        ends = edges.union(edges.select("b", "a")).toDF("node", "other")
+        least = ends.groupBy("node").agg(F.min(by_hash("other")).alias("m"))
+        merged = materialise(least.select("node", F.least("m", by_hash("node"))["name"].alias("into")), "merges")
+        merges.append(merged)
+        end = lambda name, merged=merged: merged.toDF(name, f"{name}_into")
+        left = edges.join(end("a"), "a").join(end("b"), "b").where("a_into <> b_into")
+        edges = materialise(left.select(F.greatest("a_into", "b_into").alias("a"), F.least("a_into", "b_into").alias("b")).distinct(), "links")
+    if not merges:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = merges.pop()
+    for merged in reversed(merges):  # each about half as large again as the one before
+        after = roots.toDF("into", "last")
+        roots = merged.join(after, "into", "left").select("node", F.coalesce("last", "into").alias("into"))
+    return roots.withColumnRenamed("into", "root")
+
+
+def near_duplicate_classes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), hot: int = HOT) -> DataFrame:
     """The columns ``keep`` (with ``doc_id``), ``fp``, and ``component_id``: the smallest doc_id of the document's component."""
     marked = materialise(fingerprints(docs, keep), "fingerprints")
-    per_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))  # pre-aggregated: a hot group is a row per task
+    per_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))  # pre-aggregated: a hot group is a row per task
+    per_fp = materialise(per_fp, "distinct-fingerprints")
     roots = components(ball_links(per_fp.select("fp")))
-    joined = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only fingerprints whose component has another one need the second table
-    named = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp")
+    named = materialise(joined.join(least, "root").select("fp", "component_id", "n"), "components")
+    often = F.broadcast(named.where(F.col("n") > hot).select("fp", F.col("component_id").alias("own"), F.lit(True).alias("often")))  # at most rows / hot
+    seen = marked.join(often, "fp", "left")
+    usual = seen.where("often is null").drop("own", "often").join(named.where(F.col("n") <= hot).drop("n"), "fp")
+    return usual.unionByName(seen.where("often").withColumnRenamed("own", "component_id").drop("often"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

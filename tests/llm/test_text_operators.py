@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orbweave.llm import quality, queries, simhash, tokenbin, tokencount, toxicity
 from orbweave.llm.encoding import WordEncoder
-from orbweave.storage import shared_path
+from orbweave.storage import materialise, shared_path
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 MIDDLE = "/root/testdata/sf0.01"
@@ -59,6 +59,39 @@ def test_quality_edge_cases(spark, odd, none, labels):
     assert not untaught.any() and quality.score(odd, untaught, p).where("predicted = 1").isEmpty()
 
 
+def test_quality_training_is_plain_ftrl_whatever_the_partitions(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    p = quality.QualityParams(bits=14, rounds=2, shards=3)
+    own = labels.join(docs.select("doc_id"), "doc_id")
+    fits = [quality.fit(docs.repartition(n, F.rand(n)), own, F.lit(True), p) for n in (1, 2, 7)]
+    assert fits[0].any() and (fits[0] == fits[1]).all() and (fits[0] == fits[2]).all()
+    # the same by a plain loop on one machine
+    keys = {r.doc_id: (r.shard, r.place, r.tie) for r in docs.selectExpr("doc_id", "cast(pmod(xxhash64(cast(doc_id as string), 1), 3) as int) shard", "xxhash64(cast(doc_id as string)) place", "xxhash64(doc_id, text) tie").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = {r.doc_id: int(r.quality) for r in own.collect()}
+    z, n = np.zeros(2**14), np.zeros(2**14)
+    for _ in range(2):
+        states = []
+        for shard in range(3):
+            sz, sn = z.copy(), n.copy()
+            for doc in sorted((d for d in known if keys[d][0] == shard), key=lambda d: keys[d][1:]):
+                slots, values = quality.features(texts[doc], 14)
+                score = 0.0
+                for s, v in zip(slots, values, strict=True):
+                    l1 = 0.0 if s == 0 else p.l1
+                    w = 0.0 if abs(sz[s]) <= l1 else -(sz[s] - np.sign(sz[s]) * l1) / ((p.beta + np.sqrt(sn[s])) / p.alpha + p.l2)
+                    score += w * v
+                for s, v in zip(slots, values, strict=True):
+                    l1 = 0.0 if s == 0 else p.l1
+                    w = 0.0 if abs(sz[s]) <= l1 else -(sz[s] - np.sign(sz[s]) * l1) / ((p.beta + np.sqrt(sn[s])) / p.alpha + p.l2)
+                    g = (1 / (1 + np.exp(-score)) - known[doc]) * v
+                    sz[s] += g - (np.sqrt(sn[s] + g * g) - np.sqrt(sn[s])) / p.alpha * w
+                    sn[s] += g * g
+            states.append((sz, sn))
+        z, n = sum(s[0] for s in states) / 3, sum(s[1] for s in states) / 3
+    assert np.allclose(fits[0], quality._weights(z, n, p, np.arange(2**14) == 0), atol=1e-8)
+
+
 def test_quality_dot_is_the_sum_over_features():
     rng = np.random.default_rng(1)
     w = rng.normal(size=2**12)
@@ -179,10 +212,29 @@ def test_fingerprints_and_components(spark, sf_dir):
     assert kept == sorted(set(map(find, prints)))
 
 
-def test_chains_of_fingerprints_are_one_component(spark):
-    chain = spark.createDataFrame([((1 << 2 * k) - 1,) for k in range(20)] + [((1 << 62) + 5,)], "fp long")
-    roots = {r.node: r.root for r in simhash.components(simhash.ball_links(chain)).collect()}
-    assert len(roots) == 20 and len(set(roots.values())) == 1
+def test_long_chains_in_random_order_are_one_component(spark, monkeypatch):
+    rng = random.Random(11)
+    chain, fp = [0], 0
+    while len(chain) < 5_000:
+        fp ^= (1 << rng.randrange(63)) | (1 << rng.randrange(63))
+        chain.append(fp)
+    chain = list(dict.fromkeys(chain))
+    far = [x for x in (rng.getrandbits(63) for _ in range(50)) if min((x ^ c).bit_count() for c in chain) > 2]
+    nodes = [(x,) for x in chain + far]
+    rng.shuffle(nodes)
+    written = []
+    monkeypatch.setattr(simhash, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    links = simhash.ball_links(spark.createDataFrame(nodes, "fp long"))
+    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    assert set(roots) == set(chain) and len(set(roots.values())) == 1
+    assert written.count("merges") <= 25  # 5,000 halved about 12 times
+
+
+def test_a_fingerprint_held_by_most_rows(spark):
+    rows = [(i, "the same few words again" if i % 3 else f"text number {i} of its own {i * 7}") for i in range(600)]
+    df = spark.createDataFrame([*rows, (None, "the same few words again")], "doc_id long, text string")
+    usual, spread = ({(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicate_classes(df, hot=h).collect()} for h in (simhash.HOT, 100))
+    assert usual == spread and len(usual) == 601
 
 
 def test_simhash_edge_cases(spark, odd, none):
