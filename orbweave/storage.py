@@ -19,11 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a single machine) is a local
-    temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs on this machine (tests) is a
+    local temporary folder used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="orbweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orbweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
