@@ -1,22 +1,28 @@
 """Approximate nearest neighbours by learned partitions.
 
 1. *Graph.* A bounded sample of the distinct vectors is joined to its exact nearest neighbours within the sample.
-2. *Balanced partitioning.* The sample graph is cut into ``parts`` parts of equal capacity: labels start from balanced
-   seeds, then vertices move, most gain first, to the part that holds most of their neighbours while it has room.
+2. *Balanced partitioning.* The sample graph is cut into parts of equal capacity: labels start from balanced seeds, then
+   vertices move, most gain first, to the part that holds most of their neighbours while it has room.
 3. *Router.* A small softmax classifier learns to tell a vector's part from the vector.
-4. *Index.* Every vector of the table is put in its most probable part.
-5. *Search.* A query visits its most probable parts until their probabilities add up to ``mass`` (at least ``probes``
-   parts) and ranks what it finds there by the exact inner product in double precision.
-
-The search is a shuffle on (part, block of queries) and (part, block of rows): both sides of a part are cut into blocks
-of at most ``BLOCK`` rows, so a task holds two blocks whatever the table's size or skew. Equal vectors are stored once
-with their ``k + 1`` smallest ids, which is all that a result of ``k`` can need of them, so a vector that a third of the
-rows share costs nothing. Only the sample (bounded) and the router (fixed size) pass through the driver.
+4. *Second level.* Steps 1 to 3 are repeated inside each part, on a sample of its vectors, in a task of its own. For n
+   distinct vectors there are about the fourth root of n parts with as many leaves each: about sqrt(n) leaves of sqrt(n)
+   vectors. A leaf's probability is its part's times its own inside the part.
+5. *Index.* Every vector of the table is put in its most probable leaf.
+6. *Search.* A query visits its most probable leaves until their probabilities add up to a mass, and ranks what it finds
+   there by the exact inner product in double precision. The mass is the one at which ``recall`` of the exact neighbours
+   are found in a calibration sample (other vectors than those learnt from, where the table has enough). Neighbours in a
+   sample lie farther away than in the whole table, so it errs on the side of more leaves.
+
+The search is a shuffle on cells: whole leaves of up to ``CELL`` vectors together, or a block of a larger leaf. A query is
+sent once to each cell that holds leaves of its own, and a cell's queries are cut into blocks too, so a task holds two
+blocks whatever the table's size or skew. Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
+that a result of ``k`` can need of them, so a vector that a third of the rows share costs nothing. What passes through the
+driver is the samples, the routers and a count for each leaf and cell: about sqrt(n) rows of the vectors' length.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither as query nor as
-candidate; rows with a null id take no part; with fewer candidates than ``k`` a query gets all that it visits (below
-``SMALL`` distinct vectors, all parts are visited, so all there are); ties go to the smaller id; vectors of another
-length than most are indexed apart and compared with their own length only; repeated (id, vector) rows count once.
+candidate; rows with a null id take no part; with fewer candidates than ``k`` a query gets all that it visits; up to
+``WHOLE`` distinct vectors are one leaf; ties go to the smaller id; vectors of another length than most are indexed apart
+and compared with their own length only; repeated (id, vector) rows count once.
 """
 
 from __future__ import annotations
@@ -30,19 +36,18 @@ from pyspark.sql import functions as F
 
 from orbweave.storage import materialise
 
-BLOCK = 16_384
-SMALL = 2_048
+CELL = 4_096
+HELD = 4_000_000  # probabilities held at once in a task
+WHOLE = 64  # vectors for which no router can be learnt
 
 
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 20
-    parts: int = 32
-    sample: int = 4_096
+    sample: int = 4_096  # vectors that a router is learnt from, or 64 for each of its parts if those are more
     neighbours: int = 10
-    probes: int = 4
-    mass: float = 0.985
-    most: int = 28
+    recall: float = 0.95  # aimed at in calibration
+    probe: int = 512  # queries of the calibration sample
     epochs: int = 120
 
 
@@ -58,6 +63,32 @@ class Router:
         return z / z.sum(axis=1, keepdims=True)
 
 
+@dataclass(frozen=True)
+class Tree:
+    """A router to parts, and for each part one to its leaves; leaves are numbered part by part."""
+
+    top: Router
+    below: list[Router]
+
+    def first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum([len(r.bias) for r in self.below])])
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        top = self.top.probabilities(x)
+        return np.concatenate([top[:, [i]] * r.probabilities(x) for i, r in enumerate(self.below)], axis=1)
+
+    def in_pieces(self, x: np.ndarray):
+        """Yields (rows, their probabilities of all leaves), at most about HELD numbers at once."""
+        step = max(1, HELD // int(self.first()[-1]))
+        for at in range(0, len(x), step):
+            rows = np.arange(at, min(len(x), at + step))
+            yield rows, self.probabilities(x[rows])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The most probable leaf of each vector."""
+        return np.concatenate([prob.argmax(axis=1) for _, prob in self.in_pieces(x)])
+
+
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, v): the rows that take part, v in double precision."""
     v = F.col(embedding).cast("array<double>")
@@ -120,9 +151,9 @@ def balanced_partition(x: np.ndarray, near: np.ndarray, parts: int, rounds: int
     return label
 
 
-def fit_router(x: np.ndarray, p: AnnParams) -> Router:
-    """Partition the sample and train the softmax classifier by Adam on mini-batches."""
-    parts = max(1, min(p.parts, len(x) // 32))
+def fit_router(x: np.ndarray, parts: int, p: AnnParams) -> Router:
+    """Partition the sample ``x`` into at most ``parts`` parts and train the softmax classifier by Adam on mini-batches."""
+    parts = max(1, min(parts, len(x) // 16)) if len(x) > WHOLE else 1
     scale = 1.0 / max(float(np.sqrt((x**2).mean() * x.shape[1])), 1e-12) if len(x) else 1.0
     if parts == 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), scale)
@@ -150,6 +181,52 @@ def fit_router(x: np.ndarray, p: AnnParams) -> Router:
     return Router(w, b, scale)
 
 
+def fit_tree(base: DataFrame, n: int, p: AnnParams) -> Tree:
+    """Both levels of routers for the ``n`` vectors of ``base`` (key, v)."""
+    spark = base.sparkSession
+    parts = max(1, round(n**0.25))
+    first = lambda df, order, size: np.array(df.orderBy(*order).select("v").limit(size).toArrow().column("v").to_pylist(), np.float64)
+    top = fit_router(first(base, ["key", "v"], max(p.sample, 64 * parts)), parts, p)
+    shared = spark.sparkContext.broadcast(top)
+
+    def deal(batches):
+        for d in batches:
+            if len(d):
+                d["part"] = shared.value.probabilities(np.stack(d["v"].to_numpy())).argmax(axis=1)
+                yield d[["part", "key", "v"]]
+
+    dealt = materialise(base.select("key", "v").mapInPandas(deal, "part int, key long, v array<double>"), "dealt")
+    order = F.row_number().over(Window.partitionBy("part").orderBy("key", "v"))
+    some = dealt.withColumn("place", order).where(F.col("place") <= p.sample)  # of each part
+
+    def fit_below(rows: pd.DataFrame) -> pd.DataFrame:
+        r = fit_router(np.stack(rows.sort_values("place")["v"].to_numpy()), parts, p)
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "weights": [r.weights.ravel()], "bias": [r.bias], "scale": [r.scale]})
+
+    below = {r.part: Router(np.array(r.weights).reshape(-1, len(r.bias)), np.array(r.bias), r.scale) for r in some.groupBy("part").applyInPandas(fit_below, "part int, weights array<double>, bias array<double>, scale double").collect()}
+    whole = Router(np.zeros((len(top.weights), 1)), np.zeros(1), 1.0)
+    return Tree(top, [below.get(i, whole) for i in range(len(top.bias))])
+
+
+def calibrated_mass(x: np.ndarray, tree: Tree, p: AnnParams) -> float:
+    """The probability mass at which queries find ``p.recall`` of their exact neighbours among ``x``."""
+    own, n = tree.leaf(x), min(p.probe, len(x))
+    k = min(p.k, len(x) - 1)
+    if k < 1:
+        return 1.0
+    ahead = []
+    for asked, prob in tree.in_pieces(x[:n]):
+        s = x[asked] @ x.T
+        s[np.arange(len(asked)), asked] = -np.inf
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        order = np.argsort(-prob, axis=1)
+        ranked = np.take_along_axis(prob, order, axis=1)
+        before = np.empty_like(ranked)
+        np.put_along_axis(before, order, np.cumsum(ranked, axis=1) - ranked, axis=1)  # what is visited ahead of a leaf
+        ahead.append(np.take_along_axis(before, own[near], axis=1).ravel())
+    return float(np.quantile(np.concatenate(ahead), p.recall)) + 1e-9
+
+
 def search(vectors: DataFrame, queries: DataFrame | None = None, p: AnnParams = AnnParams(), query_every: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of each query's ``k`` nearest found.
 
@@ -162,10 +239,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, p: AnnParams =
     asked = asked.dropDuplicates(["id"])
     base = materialise(distinct_vectors(rows, p.k), "distinct-vectors")
     size = F.size("v")
-    lengths = [r.n for r in base.groupBy(size.alias("n")).count().orderBy(F.desc("count")).collect()]
+    lengths = [(r.n, r["count"]) for r in base.groupBy(size.alias("n")).count().orderBy(F.desc("count"), "n").collect()]
     found = None
-    for n in lengths:
-        one = _search_one(spark, base.where(size == n), asked.where(size == n), p)
+    for length, n in lengths:
+        one = _search_one(spark, base.where(size == length), asked.where(size == length), n, p)
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -173,67 +250,119 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, p: AnnParams =
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_one(spark, base: DataFrame, asked: DataFrame, p: AnnParams) -> DataFrame:
-    """The search among vectors of one length."""
-    sample = base.orderBy("key").select("v").limit(p.sample).toArrow().column("v").to_pylist()  # bounded by p.sample
-    x = np.array(sample, np.float64)
-    router = fit_router(x, p)
-    parts, small = len(router.bias), len(x) < SMALL
-    shared = spark.sparkContext.broadcast(router)
+def _cells(counts: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its first cell and its number of cells; leaves share a cell of up to CELL vectors, or have several."""
+    cell, blocks, at, room = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), -1, 0
+    for leaf in range(leaves):
+        n = counts.get(leaf, 0)
+        if n > CELL:
+            cell[leaf], blocks[leaf] = at + 1, -(-n // CELL)
+            at, room = at + blocks[leaf], 0
+            continue
+        if n > room or at < 0:
+            at, room = at + 1, CELL
+        cell[leaf], room = at, room - n
+    return cell, blocks
+
+
+def _search_one(spark, base: DataFrame, asked: DataFrame, n: int, p: AnnParams) -> DataFrame:
+    """The search among the ``n`` distinct vectors of one length."""
+    tree = fit_tree(base, n, p)
+    leaves = int(tree.first()[-1])
+    # from the other end of the order of hashes than the sample learnt from
+    other = base.orderBy(F.desc("key"), F.desc("v")).select("v").limit(2 * p.sample).toArrow().column("v").to_pylist()
+    mass = calibrated_mass(np.array(other, np.float64), tree, p)
+    shared = spark.sparkContext.broadcast(tree)
 
     def index(batches):
         for d in batches:
             if len(d):
-                x = np.stack(d["v"].to_numpy())
-                d["part"] = shared.value.probabilities(x).argmax(axis=1)
-                yield d[["v", "ids", "part", "key"]]
+                d["leaf"] = shared.value.leaf(np.stack(d["v"].to_numpy()))
+                yield d[["v", "ids", "leaf", "key"]]
+
+    indexed = materialise(base.select("v", "ids", "key").mapInPandas(index, "v array<double>, ids array<long>, leaf int, key long"), "leaves")
+    counts = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf
+    cell_of, blocks_of = _cells(counts, leaves)
+    filled = np.array([leaf in counts for leaf in range(leaves)])
+    layout = spark.sparkContext.broadcast((cell_of, blocks_of, filled))
 
     def route(batches):
+        cell, blocks, filled = layout.value
         for d in batches:
             if not len(d):
                 continue
-            prob = shared.value.probabilities(np.stack(d["v"].to_numpy()))
-            order = np.argsort(-prob, axis=1)
-            mass = np.cumsum(np.take_along_axis(prob, order, axis=1), axis=1)
-            n = np.full(len(d), parts) if small else np.clip((mass < p.mass).sum(axis=1) + 1, min(p.probes, parts), min(p.most, parts))
-            d["part"] = [order[i, : n[i]].tolist() for i in range(len(d))]
-            yield d[["id", "v", "part"]]
-
-    indexed = materialise(base.select("v", "ids", "key").mapInPandas(index, "v array<double>, ids array<long>, part int, key long"), "parts")
-    routed = materialise(asked.select("id", "v").mapInPandas(route, "id long, v array<double>, part array<int>").select("id", "v", F.explode("part").alias("part")), "routed")
-    blocks = lambda df: {r.part: -(-r["count"] // BLOCK) for r in df.groupBy("part").count().collect()}  # noqa: E731  a row per part
-    rows_in, asked_in = blocks(indexed), blocks(routed)
-    pairs = spark.createDataFrame([(q, rows_in.get(q, 0), n) for q, n in asked_in.items() if rows_in.get(q)] or [(-1, 1, 1)], "part int, nb int, nq int")
+            visits = []
+            for rows, prob in shared.value.in_pieces(np.stack(d["v"].to_numpy())):
+                order = np.argsort(-prob, axis=1, kind="stable")
+                ranked = np.take_along_axis(prob, order, axis=1)
+                visited = np.cumsum(ranked, axis=1) - ranked < mass
+                visits += [_visits(order[i][visited[i]], cell, blocks, filled) for i in range(len(rows))]
+            d["visits"] = visits
+            yield d[["id", "v", "visits"]]
+
+    routed = asked.select("id", "v").mapInPandas(route, "id long, v array<double>, visits array<struct<cell: int, leaves: array<int>>>")
+    routed = materialise(routed.select("id", "v", F.explode("visits").alias("x")).select("id", "v", "x.cell", "x.leaves"), "routed")
+    asked_in = [(r.cell, -(-r["count"] // CELL)) for r in routed.groupBy("cell").count().collect()]  # a row per cell
+    groups = spark.createDataFrame(asked_in or [(-1, 1)], "cell int, nq int")
+    place = spark.createDataFrame([(int(leaf), int(cell_of[leaf]), int(blocks_of[leaf])) for leaf in counts] or [(-1, -1, 1)], "leaf int, cell int, blocks int")
     deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    # every block of a part's rows meets every block of its queries
-    left = indexed.join(F.broadcast(pairs), "part").select("part", deal("key", "nb").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "v", "ids")
-    right = routed.join(F.broadcast(pairs), "part").select("part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("rb"), deal("id", "nq").alias("qb"), "v", "id")
-    keys = ["part", "rb", "qb"]
-    out = "query_id long, vec_id long, score double"
-
-    def meet(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        x, ids = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy()
-        least = np.array([i[0] for i in ids])
-        order = np.argsort(least, kind="stable")  # ties then go to the smaller id
-        x, ids = x[order], ids[order]
-        most = min(len(x), p.k + 1)
-        got: list[tuple[int, int, float]] = []
-        names = asked["id"].to_numpy()
-        for at in range(0, len(asked), 256):
-            q = np.stack(asked["v"].to_numpy()[at : at + 256])
-            s = q @ x.T
-            cut = -np.partition(-s, most - 1, axis=1)[:, most - 1]
-            for i, name in enumerate(names[at : at + 256].tolist()):
-                # equal products may differ in the last bits of the matrix product: take all near the cut, then score each alone
-                near = np.flatnonzero(s[i] >= cut[i] - 1e-9 * (1 + abs(cut[i])))
-                exact = (x[near] * q[i]).sum(axis=1)
-                own = [(-e, int(v)) for e, k in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[k] if v != name]
-                got += [(name, v, -e) for e, v in sorted(own)[: p.k]]
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, out)
+    # every block of a cell's queries meets the cell; both small tables have a row per leaf or cell
+    left = indexed.join(place, "leaf").select("v", "ids", "leaf", (F.col("cell") + deal("key", "blocks")).alias("cell")).join(groups, "cell")
+    left = left.select("cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "v", "ids", "leaf")
+    right = routed.join(groups, "cell").select("cell", deal("id", "nq").alias("qb"), "v", "id", "leaves")
+    meet = lambda rows, asked: _meet(rows, asked, p.k)
+    return left.groupBy("cell", "qb").cogroup(right.groupBy("cell", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
+
+
+def _visits(leaves: np.ndarray, cell: np.ndarray, blocks: np.ndarray, filled: np.ndarray) -> list[dict]:
+    """The cells of a query's leaves, each with the leaves that it holds."""
+    own: dict[int, list[int]] = {}
+    for leaf in leaves[filled[leaves]].tolist():
+        for block in range(blocks[leaf]):
+            own.setdefault(int(cell[leaf]) + block, []).append(leaf)
+    return [{"cell": c, "leaves": found} for c, found in own.items()]
+
+
+def _meet(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each query among the vectors of those leaves of a cell that it visits."""
+    nothing = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+    if not len(rows) or not len(asked):
+        return nothing
+    x, ids, leaf = np.stack(rows["v"].to_numpy()), rows["ids"].to_numpy(), rows["leaf"].to_numpy()
+    q, name = np.stack(asked["v"].to_numpy()), asked["id"].to_numpy()
+    wants = np.repeat(np.arange(len(asked)), asked["leaves"].map(len).to_numpy())
+    wanted = np.concatenate(asked["leaves"].to_numpy())
+    most, found = k + 1, []
+    for one in np.unique(leaf):
+        own, who = np.flatnonzero(leaf == one), wants[wanted == one]
+        for at in range(0, len(who), 512):
+            some = who[at : at + 512]
+            s = q[some] @ x[own].T
+            # equal products may differ in the last bits of the matrix product: all near the cut are kept
+            cut = -np.partition(-s, min(most, len(own)) - 1, axis=1)[:, min(most, len(own)) - 1]
+            i, j = np.nonzero(s >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
+            found.append((some[i], own[j], s[i, j]))
+    if not found:
+        return nothing
+    who, what, about = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-about, who))
+    who, what, about = who[order], what[order], about[order]
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    size = np.diff(np.append(first, len(who)))
+    cut = about[first + np.minimum(size, most) - 1]
+    kept = about >= np.repeat(cut - 1e-9 * (1 + np.abs(cut)), size)
+    who, what = who[kept], what[kept]
+    # each product alone, so that it does not depend on what it was computed with
+    score = np.concatenate([(x[what[at : at + 65_536]] * q[who[at : at + 65_536]]).sum(axis=1) for at in range(0, len(who), 65_536)])
+    many = np.array([len(v) for v in ids[what]])
+    who, score, vec = np.repeat(who, many), np.repeat(score, many), np.concatenate(ids[what])
+    other = vec != name[who]
+    who, score, vec = who[other], score[other], vec[other]
+    order = np.lexsort((vec, -score, who))
+    who, score, vec = who[order], score[order], vec[order]
+    rank = np.arange(len(who)) - np.repeat(first := np.flatnonzero(np.diff(who, prepend=-1)), np.diff(np.append(first, len(who))))
+    best = rank < k
+    return pd.DataFrame({"query_id": name[who[best]], "vec_id": vec[best], "score": score[best]})
 
 
 def brute_force(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, k: int) -> dict[int, list[int]]:

@@ -7,7 +7,7 @@ character offsets in the rendered dialogue, so no dialogue is gathered in one ro
 runs of ``RUN`` turns, then within a run.
 
 Edge cases: a null or empty role is the speaker ``unknown``; a null text is empty; the marks' strings inside a text are
-broken up (``<|`` becomes ``< |``); turns are ordered by number (null first), then speaker and text, repeated rows stay;
+broken up (``<|`` becomes ``< |``), and those inside a speaker's name, with its line ends, in the header; turns are ordered by number (null first), then speaker and text, repeated rows stay;
 a dialogue of system turns alone has no perspective and no row; a null conv_id is a dialogue like any other; empty
 tables give an empty result; further columns are ignored.
 """
@@ -29,7 +29,8 @@ def perspectives(turns: DataFrame, run: int = RUN) -> DataFrame:
     seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("dialogue"))).drop("dialogue")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     seen = seen.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n"))
+    plain = F.translate(F.replace("name", F.lit("<|"), F.lit("< |")), "\r\n", "  ")
+    head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), plain), F.lit("")), F.lit("\n"))
     seen = seen.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "said", F.lit("<|im_end|>\n")))
     seen = seen.withColumn("n", F.length("segment").cast("long")).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / run)).drop("said")
 
@@ -58,7 +59,7 @@ seen AS (
   FROM said JOIN people ON conv_id IS NOT DISTINCT FROM dialogue),
 headed AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name,
-    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM seen),
+    '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS head FROM seen),
 segments AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS segment FROM headed),
 placed AS (
   SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment

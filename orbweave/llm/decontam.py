@@ -1,36 +1,51 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Benchmark items are cut into windows of ``width`` consecutive words (an item of fewer words is one window). A window's
-*anchor* is its rarest word, by counts over the whole corpus. The index stores a posting (term, document, position) for
-every occurrence of an anchor term, together with the neighbourhood: the tokens at the offsets a window could need. An
-exact match is the intersection, from the rarest term on, of the window's offset-adjusted lists: the posting of the
-anchor gives the only possible start, and the neighbourhood must hold every other word of the window at its offset.
-Proximity matches ask for a share of the window's words anywhere in the neighbourhood.
-
-Scale: which words to count or to index is told to the tasks by a bit map of ``2 ** BITS`` hashed words, whose size does
-not depend on the benchmark's; false positives are removed by the joins that follow. The windows are broadcast only if
-they are counted to be few, else joined by shuffle. Hits are measured as unions of intervals, never word by word.
-
-Edge cases: null or empty texts have no words, on both sides; items without words have no window; windows shared by
-several items are looked up once; repeated documents are told apart by a row number; a document without hits keeps its
-row with zero counts and the digest of an empty list; empty tables give an empty result or no hits.
+*Index.* ``build_index`` stores, for every document, its terms with the positions at which each occurs: a posting list per
+(term, document), of all terms, whatever a benchmark asks for. A row holds at most ``SEGMENT`` words of a document and the
+``reach`` words after them, so that no match is cut; longer documents have several rows.
+
+*Queries.* Benchmark items are cut into windows of ``width`` consecutive words (an item of fewer words is one window).
+The words of a window are ordered by their counts over the whole corpus, rarest first.
+
+*Matching.* A posting of the word at offset k at position p says that the window may start at p - k: the list is adjusted
+by its offset. The adjusted lists of a window's rarest words are intersected first; of what is left, every further word is
+looked up at its place. An *exact* match has all words at their offsets. A *proximity* match has at least ``share`` of them
+at most ``slop`` places away from there (words replaced, put in or left out). As a match misses at most m = n - ceil(share
+* n) words, at least two of its m + 2 rarest words are there: those lists are merged, and starts that two of them support
+(for an exact phrase alone m = 0, and both rarest words must) are candidates.
+
+Scale: the index is a table of document rows, built in one pass over the texts and read once per block of windows. A
+block is a stated set of queries of at most about ``BLOCK_BYTES``, which is broadcast; there are as many blocks as the
+benchmark needs. No posting is shuffled, so no term is a hot key. In a task, postings are taken in ranges of positions.
+Hits are measured as unions of intervals, never word by word.
+
+Edge cases: null or empty texts have no words, on both sides; items without words have no window, items without an id are
+left out; windows shared by several items are looked up once; repeated documents are told apart by a row number; a
+document without hits keeps its row with zero counts and the digest of an empty list; empty tables give an empty result or
+no hits; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.storage import materialise
 
 WIDTH = 10
-BITS = 20
-FEW_WINDOWS = 200_000  # under about 100 bytes each: what may be broadcast
+SHARE = 0.8
+SLOP = 1
+SEGMENT = 65_536
+HELD = 500_000  # words of documents that are indexed at once in a task
+BLOCK_BYTES = 32 << 20
+CHUNK = 400_000  # offset-adjusted postings merged at once in a task
+PLACES = 17  # bits of a position in a row of the index
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -39,30 +54,59 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORDS).split()
 
 
-def _bit_map(terms: DataFrame) -> np.ndarray:
-    """Marks the hashed values of the column ``term``; what comes to the driver is bounded by the number of bits."""
-    at = terms.select((F.crc32(F.col("term").cast("binary")) % (1 << BITS)).cast("int").alias("at")).distinct().toArrow().column("at").to_numpy()
-    marks = np.zeros(1 << BITS, bool)
-    marks[at] = True
-    return np.packbits(marks)
+class _Codes(dict):
+    """word -> its number in the order of first sight."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def _marked(bits: np.ndarray, word: bytes) -> bool:
-    at = zlib.crc32(word) & ((1 << BITS) - 1)
-    return bool(bits[at >> 3] & (128 >> (at & 7)))
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-class _Known(dict):
-    """word -> is it marked?, of the words met lately."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+def _postings(segments: list[list[bytes]]) -> list[pa.ListArray]:
+    """For each segment its terms, how often each occurs, and the positions, term by term."""
+    codes = _Codes()
+    sizes = np.array([len(s) for s in segments], np.int64)
+    code = np.fromiter((c for s in segments for c in map(codes.__getitem__, s)), np.int64, sizes.sum())
+    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = max(1, len(codes))
+    key = np.sort(((np.repeat(np.arange(len(segments)), sizes) * total + code) << PLACES) | place)
+    owner = key >> PLACES
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    per_segment = np.bincount(owner[first] // total, minlength=len(segments))
+    names = pa.array([w.decode() for w in codes], pa.string()).take(pa.array(owner[first] % total))
+    freqs = np.diff(np.append(first, len(key)))
+    positions = _lists(np.bincount(np.repeat(owner[first] // total, freqs), minlength=len(segments)), pa.array(key & ((1 << PLACES) - 1), pa.int32()))
+    return [_lists(per_segment, names), _lists(per_segment, pa.array(freqs, pa.int32())), positions]
 
-    def __missing__(self, word: bytes) -> bool:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = _marked(self.bits, word)
-        return found
+
+def build_index(docs: DataFrame, reach: int = WIDTH + 2 * SLOP) -> DataFrame:
+    """The index of ``docs`` (uid, doc_id, text): uid, doc_id, n_words, base (words before the row's), terms, freqs, positions."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for uid, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = words(text)
+                for base in range(0, max(1, len(found)), SEGMENT):
+                    part = found[base : base + SEGMENT + reach]
+                    held.append((uid, doc_id, len(found), base, part))
+                    size += len(part) + 1
+                    if size > HELD:
+                        yield flush(held)
+                        held, size = [], 0
+        if held:
+            yield flush(held)
+
+    def flush(held):
+        facts = [pa.array([h[i] for h in held], pa.int64()) for i in range(4)]
+        return pa.RecordBatch.from_arrays([*facts, *_postings([h[4] for h in held])], ["uid", "doc_id", "n_words", "base", "terms", "freqs", "positions"])
+
+    source = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return source.mapInArrow(run, "uid long, doc_id long, n_words long, base long, terms array<string>, freqs array<int>, positions array<int>")
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -76,115 +120,185 @@ def item_words(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInArrow(run, "item_id string, w array<string>").where("size(w) > 0")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in all texts; terms that do not occur are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(terms))
-
-    def run(batches):
-        known = _Known(shared.value)
-        counts: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(filter(known.__getitem__, words(t)))
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_pydict({"term": [w.decode() for w in counts], "n": list(counts.values())})
-                counts = Counter()
-        if counts:
-            yield pa.RecordBatch.from_pydict({"term": [w.decode() for w in counts], "n": list(counts.values())})
-
-    counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counted.join(terms, "term", "left_semi")
-
-
-def windows_of(items: DataFrame, docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """The distinct windows that can occur (phrase, n, anchor, offset), and (phrase, item_id)."""
-    listed = materialise(item_words(items), "item-words")
+def windows_of(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (wid, w), and (wid, item_id)."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    cut = listed.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("w"))
-    of_items = materialise(cut.select("item_id", F.array_join("w", " ").alias("phrase"), "w").distinct(), "windows")
-    distinct = of_items.select("phrase", "w").distinct()
-    terms = listed.select(F.explode("w").alias("term")).distinct()
-    counts = materialise(term_counts(docs, terms), "term-counts")
-    spread = distinct.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "term")).join(counts.withColumnRenamed("n", "freq"), "term", "left")
-    # a window with a word that the corpus lacks cannot occur
-    anchored = spread.groupBy("phrase", "n").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "offset", "term")).alias("a"))
-    anchored = anchored.where("a.freq > 0").select("phrase", "n", F.col("a.term").alias("anchor"), F.col("a.offset").alias("offset"))
-    return materialise(anchored, "anchored"), of_items.select("phrase", "item_id")
-
-
-def build_index(docs: DataFrame, anchors: DataFrame, reach: int = WIDTH - 1) -> DataFrame:
-    """uid, doc_id, n_words and the postings (term, pos, left, near) of each document.
-
-    ``near`` holds the tokens from ``left`` before the position to ``reach`` after it.
+    cut = item_words(items).select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("w")).distinct()
+    cut = materialise(cut, "item-windows")
+    windows = materialise(cut.select("w").distinct().select(F.monotonically_increasing_id().alias("wid"), "w"), "windows")
+    return windows, materialise(cut.join(windows, "w").select("wid", "item_id"), "windows-of-items")
+
+
+def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): how often each of ``terms`` occurs in the indexed texts; terms that do not occur are left out."""
+    lists = index.select(F.explode(F.arrays_zip("terms", "freqs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.freqs").alias("freq"))
+    return lists.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("freq").alias("n"))
+
+
+@dataclass(frozen=True)
+class Queries:
+    """A block of windows: ``term`` has a row per window (-1 behind its end), ``rare_*`` its rarest words, sorted by term."""
+
+    vocabulary: pa.Array
+    wid: np.ndarray
+    n: np.ndarray
+    term: np.ndarray
+    enough: np.ndarray  # words that a proximity match has at least
+    support: np.ndarray  # of the rarest words, those that it has at least
+    rare_from: np.ndarray
+    rare_window: np.ndarray
+    rare_offset: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list, width: int, share: float) -> Queries:
+        """``rows`` of (wid, w, counts of the words)."""
+        vocabulary = sorted({t for r in rows for t in r.w})
+        code = {t: i for i, t in enumerate(vocabulary)}
+        term, rare, n, enough, support = np.full((len(rows), width), -1), [], [], [], []
+        for i, r in enumerate(rows):
+            size = len(r.w)
+            least = math.ceil(share * size - 1e-9)
+            look = min(size, size - least + 2)
+            term[i, :size] = [code[t] for t in r.w]
+            rare += [(code[r.w[k]], i, k) for k in sorted(range(size), key=lambda k: (r.counts[k], k))[:look]]
+            n.append(size), enough.append(least), support.append(look - (size - least))
+        rare = np.array(sorted(rare), np.int64).reshape(-1, 3)
+        start = np.searchsorted(rare[:, 0], np.arange(len(vocabulary) + 1))
+        return cls(pa.array(vocabulary, pa.string()), np.array([r.wid for r in rows], np.int64), np.array(n), term, np.array(enough), np.array(support), start, rare[:, 1], rare[:, 2])
+
+
+def _ranges(place: np.ndarray, load: np.ndarray, chunk: int):
+    """Ranges [from, to) of the sorted ``place`` whose loads add up to about ``chunk``."""
+    total = np.cumsum(load)
+    cuts = np.unique(place[np.searchsorted(total, np.arange(chunk, int(total[-1]), chunk))]) if len(total) else np.array([], np.int64)
+    edges = [int(place[0]) - (1 << PLACES - 1), *cuts.tolist(), int(place[-1]) + (1 << PLACES - 1)]
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
+def intersect(terms: pa.Array, freqs: pa.Array, positions: pa.Array, q: Queries, slop: int, chunk: int = CHUNK):
+    """Yields (row, window, start, exact?) arrays of the matches in some rows of the index."""
+    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+    code = pc.fill_null(pc.index_in(pc.list_flatten(terms), q.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    freq = pc.list_flatten(freqs).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(terms)), sizes)
+    asked = code >= 0
+    if not asked.any():
+        return
+    at = pc.list_flatten(positions).to_numpy(zero_copy_only=False)[np.repeat(asked, freq)].astype(np.int64)
+    code, row = np.repeat(code[asked], freq[asked]), np.repeat(row[asked], freq[asked])
+    spot = (row << PLACES) + at  # a place among all rows
+    bits = int(len(terms)).bit_length() + PLACES
+    lists = np.sort((code << bits) | spot)
+    order = np.argsort(spot, kind="stable")
+    spot, code = spot[order], code[order]
+    load = q.rare_from[code + 1] - q.rare_from[code]
+    spot, code, load = spot[load > 0], code[load > 0], load[load > 0]
+    if not len(spot):
+        return
+    width = q.term.shape[1]
+
+    def there(code, spot):
+        key = (code << bits) | spot
+        i = np.minimum(np.searchsorted(lists, key), len(lists) - 1)
+        return (code >= 0) & (spot >= 0) & (lists[i] == key)
+
+    for lo, hi in _ranges(spot, load, chunk):
+        i, j = np.searchsorted(spot, [lo - slop, hi + width + slop])
+        own = load[i:j]
+        entry = np.repeat(q.rare_from[code[i:j]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        window, offset = q.rare_window[entry], q.rare_offset[entry]
+        start = np.repeat(spot[i:j], own) - offset
+        near = (start[:, None] + np.arange(-slop, slop + 1)).ravel()  # each list, adjusted by its offset, and moved by what may be missing
+        window, offset = (np.repeat(x, 2 * slop + 1) for x in (window, offset))
+        own = (near >= lo) & (near < hi)
+        key = np.unique(((window[own] << 34 | (near[own] + (1 << PLACES))) << 6) | offset[own]) >> 6
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        held = np.diff(np.append(first, len(key)))
+        key = key[first]
+        window, start = key >> 34, (key & ((1 << 34) - 1)) - (1 << PLACES)
+        some = held >= q.support[window]
+        window, start = window[some], start[some]
+        exact, hits = np.ones(len(window), bool), np.zeros(len(window), np.int64)
+        for k in range(width):
+            inside = k < q.n[window]
+            here = there(q.term[window, k], start + k)
+            exact &= here | ~inside
+            for d in range(1, slop + 1):
+                here = here | there(q.term[window, k], start + k - d) | there(q.term[window, k], start + k + d)
+            hits += here & inside
+        good = hits >= q.enough[window]
+        window, start, exact = window[good], start[good], exact[good]
+        row = (start + (1 << PLACES - 1)) >> PLACES
+        yield row, window, start - (row << PLACES), exact
+
+
+def find(index: DataFrame, windows: DataFrame, width: int = WIDTH, share: float = SHARE, slop: int = SLOP, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK) -> DataFrame:
+    """(uid, wid, start, n): every exact match; and, with null for start, a row per (uid, wid) for those with a proximity match.
+
+    ``index`` and ``windows`` (wid, w) are tables of the shared folder. Rows of the first kind may be repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(anchors))
-    posting = pa.struct([("term", pa.string()), ("pos", pa.int32()), ("left", pa.int32()), ("near", pa.string())])
-
-    def run(batches):
-        known = _Known(shared.value)
-        for b in batches:
-            n_words, postings = [], []
-            for t in b.column(2).to_pylist():
-                found = words(t)
-                n_words.append(len(found))
-                own = []
-                for pos in [i for i, k in enumerate(map(known.__getitem__, found)) if k]:
-                    left = min(pos, reach)
-                    own.append({"term": found[pos].decode(), "pos": pos, "left": left, "near": b" ".join(found[pos - left : pos + reach + 1]).decode()})
-                postings.append(own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(postings, pa.list_(posting))], ["uid", "doc_id", "n_words", "postings"])
-
-    source = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "uid long, doc_id long, n_words long, postings array<struct<term: string, pos: int, left: int, near: string>>"
-    return source.mapInArrow(run, schema)
-
-
-def _candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
-    few = windows.count() <= FEW_WINDOWS
-    postings = index.select("uid", F.explode("postings").alias("p")).select("uid", "p.*")
-    return postings.join(F.broadcast(windows) if few else windows, F.col("term") == F.col("anchor"))
-
-
-def exact_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(uid, start, n, phrase): every occurrence of a window in a document."""
-    begin = F.col("left") - F.col("offset") + 1
-    here = F.array_join(F.slice(F.split("near", " "), F.greatest(begin, F.lit(1)), F.col("n")), " ")
-    return _candidates(index, windows).where((begin >= 1) & (here == F.col("phrase"))).select("uid", (F.col("pos") - F.col("offset")).alias("start"), "n", "phrase")
-
-
-def proximity_matches(index: DataFrame, windows: DataFrame, share: float = 0.8) -> DataFrame:
-    """(uid, pos, phrase, found): anchors with at least ``share`` of the window's distinct words near them, in any order."""
-    own = F.array_distinct(F.split("phrase", " "))
-    found = F.size(F.array_intersect(own, F.split("near", " "))) / F.size(own)
-    return _candidates(index, windows).select("uid", "pos", "phrase", found.alias("found")).where(F.col("found") >= share)
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """uid, doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row for each row of ``docs``."""
-    windows, of_items = windows_of(items, docs, width)
-    index = materialise(build_index(docs, windows.select(F.col("anchor").alias("term")), width - 1), "index")
-    matches = materialise(exact_matches(index, windows), "matches")
+    spark = index.sparkSession
+    terms = windows.select(F.explode("w").alias("term")).distinct()
+    counts = term_counts(index, terms).withColumnRenamed("n", "freq")
+    spread = windows.select("wid", F.posexplode("w").alias("offset", "term")).join(counts, "term", "left")
+    facts = F.array_sort(F.collect_list(F.struct("offset", "term", F.coalesce("freq", F.lit(0)).alias("freq"))))
+    asked = spread.groupBy("wid").agg(facts.alias("t")).select("wid", F.transform("t", lambda x: x["term"]).alias("w"), F.transform("t", lambda x: x["freq"]).alias("counts"))
+    asked = materialise(asked, "window-words")
+    size = asked.agg(F.sum(F.length(F.array_join("w", " ")) + 40).alias("bytes")).first().bytes or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    found = None
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == k).collect()  # of about block_bytes
+        shared = spark.sparkContext.broadcast(Queries.of(rows, width, share))
+
+        def run(batches, shared=shared):
+            q = shared.value
+            for whole in batches:
+                for b in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
+                    uid, base = (b.column(c).to_numpy() for c in ("uid", "base"))
+                    for row, window, start, exact in intersect(b.column("terms"), b.column("freqs"), b.column("positions"), q, slop, chunk):
+                        pair = np.unique(row << 34 | window)
+                        names = np.concatenate([uid[row[exact]], uid[pair >> 34]])
+                        said = np.concatenate([window[exact], pair & ((1 << 34) - 1)])
+                        begin = np.concatenate([base[row[exact]] + start[exact], np.zeros(len(pair), np.int64)])
+                        mask = np.arange(len(names)) >= exact.sum()
+                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(q.wid[said]), pa.array(begin, mask=mask), pa.array(q.n[said], pa.int32())], ["uid", "wid", "start", "n"])
+
+        one = index.select("uid", "base", "terms", "freqs", "positions").mapInArrow(run, "uid long, wid long, start long, n int")
+        found = one if found is None else found.union(one)
+    return found
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, slop: int = SLOP) -> DataFrame:
+    """uid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated and n_near, a row for each row of ``docs``.
+
+    n_near counts the items of which a window has a proximity match (exact matches among them).
+    """
+    windows, of_items = windows_of(items, width)
+    index = materialise(build_index(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), width + 2 * slop), "index")
+    matches = materialise(find(index, windows, width, share, slop), "matches")
+    exact = matches.where("start is not null")
     order = Window.partitionBy("uid").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
-    spans = matches.select("uid", "start", "n").distinct()
+    spans = exact.select("uid", "start", "n").distinct()
     spans = spans.withColumn("covered", F.coalesce(F.max(F.col("start") + F.col("n")).over(order), F.lit(0)))
     added = F.greatest(F.lit(0), F.col("start") + F.col("n") - F.greatest("start", "covered"))
     hits = spans.groupBy("uid").agg(F.sum(added).cast("long").alias("n_hit"))
-    hit_items = matches.select("uid", "phrase").distinct().join(of_items, "phrase").select("uid", "item_id").distinct()
-    hit_items = hit_items.groupBy("uid").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("ids"))
-    found = hits.join(hit_items, "uid")
-    rows = index.select("uid", "doc_id", "n_words").join(found, "uid", "left")
+    own = matches.groupBy("uid", "wid").agg(F.max(F.col("start").isNotNull()).alias("exact")).join(of_items, "wid")
+    own = own.groupBy("uid", "item_id").agg(F.max("exact").alias("exact"))
+    own = own.groupBy("uid").agg(F.count("*").alias("n_near"), F.count_if("exact").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("exact"), F.col("item_id")))), ",").alias("ids"))
+    rows = index.where("base = 0").select("uid", "doc_id", "n_words").join(own.join(hits, "uid", "left"), "uid", "left")
     zero = F.lit(0).cast("long")
-    return rows.select("uid", "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", zero) > 0).alias("contaminated"))
+    n_hit = F.coalesce("n_hit", zero)
+    return rows.select("uid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", zero).alias("n_near"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the rows in which a window of a benchmark item occurs."""
     names = docs.columns
     numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    windows, _ = windows_of(items, numbered, width)
-    plain = numbered.select(F.col("__row").alias("doc_id"), "text")
-    index = build_index(plain, windows.select(F.col("anchor").alias("term")), width - 1).select(F.col("doc_id").alias("uid"), "postings")
-    hit = exact_matches(index, windows).select(F.col("uid").alias("__row")).distinct()
+    windows, _ = windows_of(items, width)
+    index = materialise(build_index(numbered.select(F.col("__row").alias("uid"), F.col("__row").alias("doc_id"), "text"), width), "index")
+    hit = find(index, windows, width, 1.0, 0).where("start is not null").select(F.col("uid").alias("__row")).distinct()
     return numbered.join(hit, "__row", "left_anti").select(*names)
 
 
@@ -199,8 +313,19 @@ lens AS (SELECT DISTINCT n FROM windows),
 grams AS (SELECT uid, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT uid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lens)),
 hits AS (SELECT uid, i, g.n, item_id FROM grams g JOIN windows v ON g.phrase = v.phrase AND g.n = v.n),
 per_doc AS (SELECT uid, count(DISTINCT p) AS n_hit FROM (SELECT uid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY uid),
-per_item AS (SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT uid, item_id FROM hits) GROUP BY uid)
+per_item AS (SELECT uid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT uid, item_id FROM hits) GROUP BY uid),
+tokens AS (SELECT uid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM dw),
+freqs AS (SELECT term, count(*) AS c FROM tokens GROUP BY term),
+asked AS (SELECT DISTINCT phrase, n, string_split(phrase, ' ') AS v, n - (8 * n + 9) // 10 AS miss FROM windows),
+spread AS (SELECT phrase, n, miss, unnest(v) AS term, unnest(range(n)) AS k FROM asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY coalesce(c, 0), k) AS r FROM spread LEFT JOIN freqs USING (term)),
+rare AS (SELECT *, least(n, miss + 2) - miss AS support FROM ranked WHERE r <= least(n, miss + 2)),
+maybe AS (SELECT uid, phrase, pos - k + d AS s FROM tokens JOIN rare USING (term), (SELECT unnest([-1, 0, 1]) AS d) GROUP BY uid, phrase, s HAVING count(DISTINCT k) >= max(support)),
+near AS (
+  SELECT DISTINCT uid, phrase FROM maybe JOIN asked USING (phrase) JOIN dw USING (uid)
+  WHERE len([k for k in range(n) if list_contains(w[greatest(s + k, 1):greatest(s + k + 2, 0)], v[k + 1])]) >= n - miss),
+per_near AS (SELECT uid, count(DISTINCT item_id) AS n_near FROM near JOIN windows USING (phrase) GROUP BY uid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN per_doc USING (uid) LEFT JOIN per_item USING (uid)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw LEFT JOIN per_doc USING (uid) LEFT JOIN per_item USING (uid) LEFT JOIN per_near USING (uid)
 """

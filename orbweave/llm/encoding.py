@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # the white space of the tokenizer's patterns (Unicode White_Space); str.split() also splits at U+001C to U+001F
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-MEMO = 700_000  # distinct words remembered in a Python worker
+MEMO = 350_000  # distinct words remembered in a Python worker, and as many again of those met before them
 BLOCK = 200_000  # words of one text that are looked up at once
 RUN = 512  # new cores encoded as one text
 PARTED = re.compile("([A-Za-zÀ-ÖØ-öø-\\u012f\\u0131-\\u017e]+)([.,;:!?]*)").fullmatch  # without U+0130, which lower-cases to two characters
@@ -73,6 +73,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the words remembered until ``words`` was last full
         self.cores: dict[str, bytes] = {}
         suffix = config["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -126,6 +127,18 @@ class WordEncoder:
             self.words[w] = self.cores[core] + of_tail[tail] if tail else self.cores[core]
         self.words.update(zip(alone, self._alone(alone), strict=True))
 
+    def _ready(self, needed: set[str]) -> None:
+        """Have all of ``needed`` in ``self.words``; when that is full, only what was met since it was last full stays."""
+        unseen = needed.difference(self.words)
+        if not unseen:
+            return
+        if len(self.words) + len(unseen) > MEMO:
+            self.before, self.words = self.words, {}
+            unseen = needed
+        known = unseen.intersection(self.before)
+        self.words.update((w, self.before[w]) for w in known)
+        self.learn(unseen.difference(known))
+
     def pieces(self, text: str | None):
         """The ids of a whole text as byte strings, in order; a very long text is looked up block by block."""
         if not text:
@@ -135,12 +148,7 @@ class WordEncoder:
             return
         words = words_of(text)
         while block := list(islice(words, BLOCK)):
-            unseen = set(block).difference(self.words)
-            if unseen:
-                if len(self.words) + len(unseen) > MEMO:
-                    self.words.clear()
-                    unseen = set(block)
-                self.learn(unseen)
+            self._ready(set(block))
             yield b"".join(map(self.words.__getitem__, block))
 
     def ids(self, text: str | None) -> bytes:
@@ -168,11 +176,6 @@ class WordEncoder:
         every: set[str] = set()
         for _, words in held:
             every.update(words)
-        unseen = every.difference(self.words)
-        if unseen:
-            if len(self.words) + len(unseen) > MEMO:
-                self.words.clear()
-                unseen = every
-            self.learn(unseen)
+        self._ready(every)
         for i, words in held:
             yield i, (b"".join(map(self.words.__getitem__, words)),)

@@ -39,7 +39,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # its SQL keeps picks that exceed the target (source src10 of sf0.001, by a third)
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"), over=False)
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "position")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 *Lexicon.* Learnt from labelled rows: words (and word beginnings) that stand in toxic documents far more often than
 chance allows. A word's support is its number of distinct left neighbours, so copies of one document count once. A term
 is taken if ``n * KL(share, base) >= ln(words) + MARGIN`` (a Chernoff bound on chance, corrected for the number of words).
+All terms that pass are taken: as the sample is bounded, and each needs several neighbours of its own there, so are they.
 
 *Automaton.* The lexicon's trie and the Levenshtein automaton of radius 1 (words of 5 to 7 letters) or 2 (8 or more) are
 run together: a state is the set of (trie node, errors so far), made when first met and kept, so that a word costs a
@@ -34,7 +35,6 @@ from orbweave.storage import materialise
 
 WINDOW = 6
 TRAIN_ROWS = 12_000  # the bound of the labelled sample
-MAX_TERMS = 20_000  # of the lexicon: those of most support
 MARGIN = 3.0
 STEM = (4, 5, 6)
 TOKEN = re.compile(r"\w+|[\"“”„«»‹›‘’]")
@@ -197,7 +197,7 @@ def _lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     share = (F.col("toxic") - 0.001) / n
     kl = share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base))
     good = stats.where((F.col("toxic") > 0) & (share > 0.8) & (n * kl >= math.log(total.n + 2) + MARGIN))
-    found = good.orderBy(F.desc("toxic"), "key", "stem").limit(MAX_TERMS).collect()  # bounded by MAX_TERMS
+    found = good.orderBy("key", "stem").collect()  # what passes the test: at most the words of the bounded sample
     terms = sorted(r.key for r in found if not r.stem and len(r.key) > 2)
     # a stem that only repeats one term adds nothing but risk; keep those that several forms share
     wide = {r.key for r in found if r.stem}
