@@ -10,8 +10,9 @@
 5. *Index.* Every vector of the table is put in its most probable leaf.
 6. *Search.* A query visits its most probable leaves until their probabilities add up to a mass, and ranks what it finds
    there by the exact inner product in double precision. The mass is the one at which ``recall`` of the exact neighbours
-   are found in a calibration sample (other vectors than those learnt from, where the table has enough). Neighbours in a
-   sample lie farther away than in the whole table, so it errs on the side of more leaves.
+   are found in a calibration sample (other vectors than those learnt from, where the table has enough); as many are looked
+   for there as are to be expected in a sample. In small samples of large tables the nearest lies farther away than the
+   neighbours in the whole table, so it errs on the side of more leaves.
 
 The search is a shuffle on cells: whole leaves of up to ``CELL`` vectors together, or a block of a larger leaf. A query is
 sent once to each cell that holds leaves of its own, and a cell's queries are cut into blocks too, so a task holds two
@@ -44,7 +45,8 @@ WHOLE = 64  # vectors for which no router can be learnt
 @dataclass(frozen=True)
 class AnnParams:
     k: int = 20
-    sample: int = 4_096  # vectors that a router is learnt from, or 64 for each of its parts if those are more
+    sample: int = 4_096  # vectors that the first router is learnt from, or 64 for each of its parts if those are more
+    sample_below: int = 2_048  # the same for a router inside a part
     neighbours: int = 10
     recall: float = 0.95  # aimed at in calibration
     probe: int = 512  # queries of the calibration sample
@@ -197,7 +199,7 @@ def fit_tree(base: DataFrame, n: int, p: AnnParams) -> Tree:
 
     dealt = materialise(base.select("key", "v").mapInPandas(deal, "part int, key long, v array<double>"), "dealt")
     order = F.row_number().over(Window.partitionBy("part").orderBy("key", "v"))
-    some = dealt.withColumn("place", order).where(F.col("place") <= p.sample)  # of each part
+    some = dealt.withColumn("place", order).where(F.col("place") <= max(p.sample_below, 64 * parts))  # of each part
 
     def fit_below(rows: pd.DataFrame) -> pd.DataFrame:
         r = fit_router(np.stack(rows.sort_values("place")["v"].to_numpy()), parts, p)
@@ -208,10 +210,14 @@ def fit_tree(base: DataFrame, n: int, p: AnnParams) -> Tree:
     return Tree(top, [below.get(i, whole) for i in range(len(top.bias))])
 
 
-def calibrated_mass(x: np.ndarray, tree: Tree, p: AnnParams) -> float:
-    """The probability mass at which queries find ``p.recall`` of their exact neighbours among ``x``."""
+def calibrated_mass(x: np.ndarray, tree: Tree, p: AnnParams, total: int) -> float:
+    """The probability mass at which queries find ``p.recall`` of their exact neighbours among ``x``.
+
+    Of the ``p.k`` nearest of ``total`` vectors about ``p.k * len(x) / total`` are in the sample ``x``: so many, and one at
+    least, are looked for there.
+    """
     own, n = tree.leaf(x), min(p.probe, len(x))
-    k = min(p.k, len(x) - 1)
+    k = min(max(1, round(p.k * len(x) / max(1, total))), len(x) - 1)
     if k < 1:
         return 1.0
     ahead = []
@@ -271,7 +277,7 @@ def _search_one(spark, base: DataFrame, asked: DataFrame, n: int, p: AnnParams)
     leaves = int(tree.first()[-1])
     # from the other end of the order of hashes than the sample learnt from
     other = base.orderBy(F.desc("key"), F.desc("v")).select("v").limit(2 * p.sample).toArrow().column("v").to_pylist()
-    mass = calibrated_mass(np.array(other, np.float64), tree, p)
+    mass = calibrated_mass(np.array(other, np.float64), tree, p, n)
     shared = spark.sparkContext.broadcast(tree)
 
     def index(batches):
