@@ -2,7 +2,8 @@
 
 *Index.* ``build_index`` stores, for every document, its terms with the positions at which each occurs: a posting list per
 (term, document), of all terms, whatever a benchmark asks for. A row holds at most ``SEGMENT`` words of a document and the
-``reach`` words after them, so that no match is cut; longer documents have several rows.
+``reach`` words after them, so that no match is cut; longer documents have several rows. It names its terms once, spaced
+out; their counts and positions follow each other, term by term, in two bytes each.
 
 *Queries.* Benchmark items are cut into windows of ``width`` consecutive words (an item of fewer words is one window).
 The words of a window are ordered by their counts over the whole corpus, rarest first.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ from orbweave.storage import materialise
 WIDTH = 10
 SHARE = 0.8
 SLOP = 1
-SEGMENT = 65_536
-HELD = 500_000  # words of documents that are indexed at once in a task
+SEGMENT = 65_000
+HELD = 200_000  # words of documents that are indexed at once in a task
 BLOCK_BYTES = 32 << 20
 CHUNK = 200_000  # postings, and offset-adjusted ones, merged at once in a task
 PLACES = 17  # bits of a position in a row of the index
@@ -62,15 +64,24 @@ class _Codes(dict):
         return n
 
 
-def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+def _packed(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``values`` as two-byte numbers, cut into rows of ``sizes``."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 2
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.astype("<u2"))])
 
 
-def _postings(segments: list[list[bytes]]) -> list[pa.ListArray]:
-    """For each segment its terms, how often each occurs, and the positions, term by term."""
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many numbers each row has, and all numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.diff(ends) // 2, np.frombuffer(data.tobytes(), "<u2")
+
+
+def _postings(segments: list[list[bytes]]) -> list[pa.Array]:
+    """For each segment its terms, how often each occurs, and the positions, term by term; an empty one has the empty term, never."""
     codes = _Codes()
     sizes = np.array([len(s) for s in segments], np.int64)
-    code = np.fromiter((c for s in segments for c in map(codes.__getitem__, s)), np.int64, sizes.sum())
+    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(segments)), np.int64, sizes.sum())
     place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     total = max(1, len(codes))
     key = np.sort(((np.repeat(np.arange(len(segments)), sizes) * total + code) << PLACES) | place)
@@ -78,9 +89,10 @@ def _postings(segments: list[list[bytes]]) -> list[pa.ListArray]:
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     per_segment = np.bincount(owner[first] // total, minlength=len(segments))
     names = pa.array([w.decode() for w in codes], pa.string()).take(pa.array(owner[first] % total))
-    freqs = np.diff(np.append(first, len(key)))
-    positions = _lists(np.bincount(np.repeat(owner[first] // total, freqs), minlength=len(segments)), pa.array(key & ((1 << PLACES) - 1), pa.int32()))
-    return [_lists(per_segment, names), _lists(per_segment, pa.array(freqs, pa.int32())), positions]
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_segment)]), pa.int32()), names)
+    empty = np.flatnonzero(per_segment == 0)
+    freqs = np.insert(np.diff(np.append(first, len(key))), np.cumsum(per_segment)[empty], 0)
+    return [pc.binary_join(listed, " "), _packed(np.maximum(per_segment, 1), freqs), _packed(sizes, key & ((1 << PLACES) - 1))]
 
 
 def build_index(docs: DataFrame, reach: int = WIDTH + 2 * SLOP) -> DataFrame:
@@ -89,11 +101,11 @@ def build_index(docs: DataFrame, reach: int = WIDTH + 2 * SLOP) -> DataFrame:
     def run(batches):
         held, size = [], 0
         for b in batches:
-            for uid, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = words(text)
+            for uid, doc_id, text in zip(*b.columns, strict=True):
+                found = words(text.as_py())
                 for base in range(0, max(1, len(found)), SEGMENT):
                     part = found[base : base + SEGMENT + reach]
-                    held.append((uid, doc_id, len(found), base, part))
+                    held.append((uid.as_py(), doc_id.as_py(), len(found), base, part))
                     size += len(part) + 1
                     if size > HELD:
                         yield flush(held)
@@ -106,7 +118,7 @@ def build_index(docs: DataFrame, reach: int = WIDTH + 2 * SLOP) -> DataFrame:
         return pa.RecordBatch.from_arrays([*facts, *_postings([h[4] for h in held])], ["uid", "doc_id", "n_words", "base", "terms", "freqs", "positions"])
 
     source = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(run, "uid long, doc_id long, n_words long, base long, terms array<string>, freqs array<int>, positions array<int>")
+    return source.mapInArrow(run, "uid long, doc_id long, n_words long, base long, terms string, freqs binary, positions binary")
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -129,10 +141,29 @@ def windows_of(items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFra
     return windows, materialise(cut.join(windows, "w").select("wid", "item_id"), "windows-of-items")
 
 
-def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in the indexed texts; terms that do not occur are left out."""
-    lists = index.select(F.explode(F.arrays_zip("terms", "freqs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.freqs").alias("freq"))
-    return lists.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("freq").alias("n"))
+def _codes_of(terms: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many terms each row has, and their places in ``vocabulary``, -1 for others."""
+    listed = pc.split_pattern(terms, " ")
+    code = pc.fill_null(pc.index_in(pc.list_flatten(listed), vocabulary), -1)
+    return pc.list_value_length(listed).to_numpy(zero_copy_only=False), code.to_numpy(zero_copy_only=False)
+
+
+def term_counts(index: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """How often each term of ``vocabulary``, which is broadcast, occurs in the indexed texts; those that don't are left out."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        names = pa.array(shared.value, pa.string())
+        total = np.zeros(len(names), np.int64)
+        for b in batches:
+            _, code = _codes_of(b.column("terms"), names)
+            freq = _unpacked(b.column("freqs"))[1]
+            total += np.bincount(code[code >= 0], freq[code >= 0], len(names)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["code", "n"])
+
+    counted = index.select("terms", "freqs").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    return {vocabulary[r.code]: r.n for r in counted}
 
 
 @dataclass(frozen=True)
@@ -150,8 +181,8 @@ class Queries:
     rare_offset: np.ndarray
 
     @classmethod
-    def of(cls, rows: list, width: int, share: float) -> Queries:
-        """``rows`` of (wid, w, counts of the words)."""
+    def of(cls, rows: list, counts: dict[str, int], width: int, share: float) -> Queries:
+        """``rows`` of (wid, w), and how often words occur in the corpus."""
         vocabulary = sorted({t for r in rows for t in r.w})
         code = {t: i for i, t in enumerate(vocabulary)}
         term, rare, n, enough, support = np.full((len(rows), width), -1), [], [], [], []
@@ -160,7 +191,7 @@ class Queries:
             least = math.ceil(share * size - 1e-9)
             look = min(size, size - least + 2)
             term[i, :size] = [code[t] for t in r.w]
-            rare += [(code[r.w[k]], i, k) for k in sorted(range(size), key=lambda k: (r.counts[k], k))[:look]]
+            rare += [(code[r.w[k]], i, k) for k in sorted(range(size), key=lambda k: (counts.get(r.w[k], 0), k))[:look]]
             n.append(size), enough.append(least), support.append(look - (size - least))
         rare = np.array(sorted(rare), np.int64).reshape(-1, 3)
         start = np.searchsorted(rare[:, 0], np.arange(len(vocabulary) + 1))
@@ -183,10 +214,8 @@ def _ranges(place: np.ndarray, load: np.ndarray, chunk: int):
 
 def intersect(terms: pa.Array, freqs: pa.Array, positions: pa.Array, q: Queries, slop: int, chunk: int = CHUNK):
     """Yields (row, window, start, exact?) arrays of the matches in some rows of the index, a few rows at a time."""
-    sizes = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-    code = pc.fill_null(pc.index_in(pc.list_flatten(terms), q.vocabulary), -1).to_numpy(zero_copy_only=False)
-    freq, at = (pc.list_flatten(c).to_numpy(zero_copy_only=False) for c in (freqs, positions))
-    held = pc.list_value_length(positions).to_numpy(zero_copy_only=False)
+    sizes, code = _codes_of(terms, q.vocabulary)
+    (_, freq), (held, at) = _unpacked(freqs), _unpacked(positions)
     first_term, first_place = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes, held))
     begin = 0
     while begin < len(sizes):
@@ -255,18 +284,13 @@ def find(index: DataFrame, windows: DataFrame, width: int = WIDTH, share: float
     ``index`` and ``windows`` (wid, w) are tables of the shared folder. Rows of the first kind may be repeated.
     """
     spark = index.sparkSession
-    terms = windows.select(F.explode("w").alias("term")).distinct()
-    counts = term_counts(index, terms).withColumnRenamed("n", "freq")
-    spread = windows.select("wid", F.posexplode("w").alias("offset", "term")).join(counts, "term", "left")
-    facts = F.array_sort(F.collect_list(F.struct("offset", "term", F.coalesce("freq", F.lit(0)).alias("freq"))))
-    asked = spread.groupBy("wid").agg(facts.alias("t")).select("wid", F.transform("t", lambda x: x["term"]).alias("w"), F.transform("t", lambda x: x["freq"]).alias("counts"))
-    asked = materialise(asked, "window-words")
-    size = asked.agg(F.sum(F.length(F.array_join("w", " ")) + 40).alias("bytes")).first().bytes or 0
+    size = windows.agg(F.sum(F.length(F.array_join("w", " ")) + 40).alias("bytes")).first().bytes or 0
     blocks = max(1, math.ceil(size / block_bytes))
     found = None
     for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == k).collect()  # of about block_bytes
-        shared = spark.sparkContext.broadcast(Queries.of(rows, width, share))
+        rows = windows.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == k).collect()  # of about block_bytes
+        counts = term_counts(index, sorted({t for r in rows for t in r.w}))
+        shared = spark.sparkContext.broadcast(Queries.of(rows, counts, width, share))
 
         def run(batches, shared=shared):
             q = shared.value
