@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweave.operators.ranks import placed
 from orbweave.sources.logs import file_name_parts, path_parts
 
 # fixed values
@@ -49,8 +50,13 @@ def _grouped(scored: DataFrame) -> DataFrame:
 
 def candidate_ranking(scored: DataFrame) -> DataFrame:
     """Each candidate's place in its group of location, state and duration: by score, then size, then path."""
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("candidate_score"), F.desc("size_bytes"), "relative_path")
-    return _grouped(scored).withColumn("place", F.row_number().over(order))
+    ranked = placed(_grouped(scored), [F.desc("candidate_score"), F.desc("size_bytes"), F.asc("relative_path")], GROUP)
+    return ranked.withColumn("place", F.col("place") + 1)
+
+
+def _with_top(ranked: DataFrame) -> DataFrame:
+    """``ranked`` with the best score of each row's group, pre-aggregated."""
+    return ranked.join(ranked.groupBy(*GROUP).agg(F.max("candidate_score").alias("top")), list(GROUP))
 
 
 def diverse_selection(scored: DataFrame, top_k: int = 25, max_per_location: int = 4, max_per_day: int = 2) -> DataFrame:
@@ -60,7 +66,7 @@ def diverse_selection(scored: DataFrame, top_k: int = 25, max_per_location: int
     what can be picked at all: the best ``max_per_day`` of a group's day, of those the first ``2 * max_per_location``.
     """
     order = [F.desc("candidate_score"), F.desc("size_bytes"), F.asc("relative_path")]
-    ranked = _grouped(scored).withColumn("top", F.max("candidate_score").over(Window.partitionBy(*GROUP)))
+    ranked = _with_top(_grouped(scored))
     ranked = ranked.withColumn("d", F.row_number().over(Window.partitionBy(*GROUP, "g_day").orderBy(*order))).where(F.col("d") <= max_per_day)
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order))).where(F.col("place") <= 2 * max_per_location)
 
@@ -91,7 +97,7 @@ def diverse_selection(scored: DataFrame, top_k: int = 25, max_per_location: int
 
 def round_robin(scored: DataFrame, top_k: int = 25) -> DataFrame:
     """The selection where no cap binds: place in the group is the round."""
-    ranked = candidate_ranking(scored).withColumn("top", F.max("candidate_score").over(Window.partitionBy(*GROUP)))
+    ranked = _with_top(candidate_ranking(scored))
     return ranked.orderBy("place", F.desc("top"), *GROUP).limit(top_k).select("relative_path", F.col("place").cast("long").alias("round"))
 
 

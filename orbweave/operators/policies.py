@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import consensus, disagreement, fusion
+from orbweave.operators.ranks import placed
 
+# fixed values: the budget, the policies' names and columns, the grids, and the scramble of the random policy
 BUDGET_MS = 60.0
 POLICIES = {
     "random": "random_score",
@@ -19,6 +21,7 @@ POLICIES = {
 WEIGHT_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
 PENALTY_GRID = (0.00, 0.10, 0.20, 0.25, 0.30)
 SWEEP = (0.0, 0.1, 0.2, 0.3, 0.5)
+SCRAMBLE = {"window": 100_000, "place": 7_919, "modulus": 104_729}
 WINDOW = ("session_bin_index",)
 
 
@@ -33,8 +36,8 @@ def add_scores(candidates: DataFrame) -> DataFrame:
 
 def pseudo_random_score(candidates: DataFrame, window: tuple[str, ...] = WINDOW) -> DataFrame:
     """A fixed scramble of a row's place in its window; the larger is chosen."""
-    place = F.row_number().over(Window.partitionBy(*window).orderBy("relative_path", "bin_epoch")) - 1
-    return candidates.withColumn("random_score", (F.col("session_bin_index") * 100000 + place * 7919) % 104729)
+    score = (F.col("session_bin_index") * SCRAMBLE["window"] + F.col("_place") * SCRAMBLE["place"]) % SCRAMBLE["modulus"]
+    return placed(candidates, ["relative_path", "bin_epoch"], window, "_place").withColumn("random_score", score).drop("_place")
 
 
 def hindsight_best(candidates: DataFrame, window: tuple[str, ...] = WINDOW) -> DataFrame:
@@ -83,10 +86,11 @@ def decision_context(decisions: DataFrame, context: DataFrame, window: tuple[str
 
 def disagreement_bins(context: DataFrame, scenario: tuple[str, ...] = ()) -> DataFrame:
     """Windows labelled Low, Medium or High by rank of their largest disagreement: rank r of n is Low if 3(r-1) <= n-1."""
-    by = Window.partitionBy(*scenario) if scenario else Window.partitionBy(F.lit(0))
-    rank = F.row_number().over(by.orderBy("max_candidate_disagreement", "session_bin_index")) - 1
-    n = F.count("*").over(by)
-    return context.withColumn("disagreement_bin", F.when(3 * rank <= n - 1, "Low").when(3 * rank <= 2 * (n - 1), "Medium").otherwise("High"))
+    ranked = placed(context, ["max_candidate_disagreement", "session_bin_index"], scenario, "_rank")
+    sizes = ranked.groupBy(*scenario).agg((F.max("_rank") + 1).alias("_n"))  # a row per scenario
+    ranked = ranked.join(sizes, list(scenario)) if scenario else ranked.join(F.broadcast(sizes))
+    rank, n = F.col("_rank"), F.col("_n")
+    return ranked.withColumn("disagreement_bin", F.when(3 * rank <= n - 1, "Low").when(3 * rank <= 2 * (n - 1), "Medium").otherwise("High")).drop("_rank", "_n")
 
 
 def disagreement_summary(decisions: DataFrame, keys: tuple[str, ...] = ("disagreement_bin", "policy_name")) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import draw_between, uniform
+from orbweave.operators.ranks import placed
 
 
 def _degraded(frame: DataFrame, hit: Column, severity: Column, std_share: float, over: float, drop: float, name: str) -> DataFrame:
@@ -59,8 +60,9 @@ def outage_stress(bins: DataFrame, seed: int = 43, fraction: float = 0.25, lengt
 def _some_locations(frame: DataFrame, seed: int, fraction: float) -> DataFrame:
     """A share of the locations (two at least, if there are), those of least hash."""
     places = frame.select("location").where("location is not null").distinct()
-    ranked = places.withColumn("_r", F.row_number().over(Window.orderBy(uniform(seed, F.col("location"), "location"), "location"))).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return ranked.where(F.col("_r") <= F.least(F.col("_n"), F.greatest(F.lit(2), F.ceil(F.col("_n") * F.lit(fraction))))).select("location", F.lit(True).alias("_chosen"))
+    ranked = placed(places.withColumn("_u", uniform(seed, F.col("location"), "location")), ["_u", "location"], name="_r")
+    size = F.broadcast(ranked.agg(F.count("*").alias("_n")))  # one row
+    return ranked.join(size).where(F.col("_r") < F.greatest(F.lit(2), F.ceil(F.col("_n") * F.lit(fraction)))).select("location", F.lit(True).alias("_chosen"))
 
 
 def _runs_of_windows(size: DataFrame, seed: int, count: int, lengths: tuple[int, int], tail: Column, size_column: str) -> DataFrame:
@@ -85,7 +87,7 @@ def structural_stress(bins: DataFrame, seed: int = 44, fraction: float = 0.35, w
 def structural_forecast_stress(table: DataFrame, seed: int = 44, fraction: float = 0.35, windows: int = 2, lengths: tuple[int, int] = (2, 4), spike: float = 28.0, drop: float = 0.20) -> DataFrame:
     """As above on a forecast table: windows by their place among those that occur, locations among those affected, and
     the target rises too; lags and rolling columns stay as they are."""
-    places = table.select("session_bin_index").distinct().withColumn("place", F.row_number().over(Window.orderBy("session_bin_index")) - 1)  # as many rows as a session has bins
+    places = placed(table.select("session_bin_index").distinct(), ["session_bin_index"])
     size = places.agg(F.count("*").alias("size"))
     tail = F.greatest(F.lit(0), F.floor(F.col("size") * F.lit(0.85)))
     hit = _runs_of_windows(size, seed, windows, lengths, tail, "size").withColumnRenamed("session_bin_index", "place").join(places, "place").select("session_bin_index", "_in")
