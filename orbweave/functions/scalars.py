@@ -29,8 +29,10 @@ def bucket(epoch: str, seconds: int) -> Column:
 
 
 def utc_iso(epoch: str | Column) -> Column:
-    """Whole seconds since 1970 as ISO text in UTC (the session's time zone must be UTC)."""
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss")
+    """Whole seconds since 1970 as ISO text in UTC, whatever the session's time zone."""
+    begin = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))  # a time without zone
+    seconds = F.col(epoch) if isinstance(epoch, str) else epoch
+    return F.replace((begin + F.make_dt_interval(secs=F.floor(seconds))).cast("string"), F.lit(" "), F.lit("T"))
 
 
 def forecast_horizon(seconds: float, bin_seconds: float, rounding: str = "ceil") -> int:

@@ -11,6 +11,8 @@ REPLY = r"^\[([0-9.]+)\]\s+\d+\s+bytes\s+from\s+(\S+):\s+icmp_seq=(\d+)\s+ttl=(\
 WHITE = " \t\r\n\x0b\x0c"
 FILE_NAME = r"^ping-(.+)-(\d+ms)-(\d+h)-(\d{4}-\d{2}-\d{2}-\d{2}-\d{2}-\d{2})\.txt$"
 
+BLOCK = 1 << 16  # bytes; no split is smaller
+
 PATH_PARTS = ("measurement_family", "path_state", "location", "session_date")
 NAME_PARTS = ("target_hint", "probe_interval", "window_duration", "window_start")
 HEADER_PARTS = ("header_target", "header_target_ip", "header_source_ip", "interface")
@@ -26,13 +28,15 @@ def file_listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def read_log_lines(spark: SparkSession, root: str | list[str], glob: str = "ping-*.txt") -> DataFrame:
-    """path, line_no (from 0) and line of each log below ``root`` (or of a list of files, as a manifest gives).
+    """path, line_no and line of each log below ``root`` (or of a list of files, as a manifest gives).
 
-    A log is one row of ``wholetext`` (tens of MB at most), so that lines keep their order without a shuffle.
+    Files are read line by line, so large ones are split. ``line_no`` rises with a line's place in its file, without being
+    its number: it is the block that the line's split begins in, and the line's place in the task that read it.
     """
-    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
-    return lines
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    split = F.floor(F.col("_metadata.file_block_start") / BLOCK).cast("long")
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.shiftleft(split, 33).bitwiseOR(in_task).alias("line_no"), F.col("value").alias("line"))
 
 
 def path_parts(path: str | Column = "relative_path") -> list[Column]:
