@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 TARGET = "target_next"
 KEYS = ("relative_path", "bin_epoch")
+ROUNDS, DEPTH = 300, 6  # of boosted trees
+FOLDS = 4
 
 
 def persistence_forecast(frame: DataFrame) -> DataFrame:
@@ -82,44 +84,79 @@ def single_feature_ols(frame: DataFrame, feature: str = "latency_mean_ms") -> Da
     return frame.agg(F.regr_slope(TARGET, feature).alias("slope"), F.regr_intercept(TARGET, feature).alias("intercept"))
 
 
-def boosted_fit(frame: DataFrame, features: list[str], rounds: int = 300, depth: int = 6, rate: float = 0.05, seed: int = 42):
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(_cleaned(frame, features)).select("features", TARGET)
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed, checkpointInterval=-1).fit(data)
+def _vector(features: list[str]):
+    return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])).alias("_features")
+
+
+def boosted_fit(frame: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = 0.05, seed: int = 42):
+    """Boosted trees on squared errors; every tree sees a share of the rows and features. Spark's trees have no L2 term."""
+    data = frame.select(_vector(features), F.col(TARGET).cast("double").alias(TARGET))
+    return GBTRegressor(featuresCol="_features", labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed, checkpointInterval=-1, cacheNodeIds=True).fit(data)
+
+
+def with_boosted(frame: DataFrame, model, features: list[str], name: str) -> DataFrame:
+    """``frame`` with the trees' prediction as column ``name``."""
+    return model.copy({model.predictionCol: name}).transform(frame.select("*", _vector(features))).drop("_features")
 
 
 def boosted_predict(frame: DataFrame, model, features: list[str], name: str = "boosted_trees") -> DataFrame:
-    keyed = frame.withColumns({f"_{k}": F.col(k) for k in KEYS})  # a key may be a feature too
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(_cleaned(keyed, features, *[f"_{k}" for k in KEYS]))
-    return model.transform(data).select(*[F.col(f"_{k}").alias(k) for k in KEYS], F.lit(name).alias("model_name"), F.col(TARGET).alias("y_true"), F.col("prediction").alias("y_pred"))
+    return with_boosted(frame, model, features, "_said").select(*KEYS, F.lit(name).alias("model_name"), F.col(TARGET).alias("y_true"), F.col("_said").alias("y_pred"))
+
 
+def boosted_holdout(frame: DataFrame, features: list[str], folds: int = FOLDS, rounds: int = ROUNDS) -> DataFrame:
+    """relative_path, ``target_next`` and y_pred of boosted trees that have not seen the row's session.
 
-def session_holdout(frame: DataFrame, features: dict[str, list[str]]) -> DataFrame:
+    Sessions are dealt into ``folds`` groups by hash, and each group is predicted by trees learnt from all the others: with
+    thousands of sessions, leaving out one at a time would take as many fits. ``frame`` is best a written table.
+    """
+    group = F.pmod(F.xxhash64("relative_path"), F.lit(folds))
+    out = None
+    for k in range(folds):
+        held, others = frame.where(group == k), frame.where(group != k)
+        if others.isEmpty():
+            continue
+        one = with_boosted(held, boosted_fit(others, features, rounds), features, "y_pred").select("relative_path", TARGET, "y_pred")
+        out = one if out is None else out.union(one)
+    return frame.select("relative_path", TARGET, F.lit(0.0).alias("y_pred")).limit(0) if out is None else out
+
+
+def session_holdout(frame: DataFrame, features: dict[str, list[str]], boosted: tuple[str, ...] = (), folds: int = FOLDS, rounds: int = ROUNDS) -> DataFrame:
     """held_out_relative_path, row_count and MAE and RMSE of each named feature list, with that session left out.
 
-    A fold's sums are all sums less the session's own, so all folds come from one pass; each session's coefficients are
-    solved in the tasks and joined to its rows.
+    Those named in ``boosted`` are fitted by boosted trees (see ``boosted_holdout``), the others by least squares: a fold's
+    sums are all sums less the session's own, so all folds come from one pass; each session's coefficients are solved in
+    the tasks and joined to its rows.
     """
     out = None
     for name, columns in features.items():
+        if name in boosted:
+            rows, error = boosted_holdout(frame, columns, folds, rounds), F.col(TARGET) - F.col("y_pred")
+            out = _fold_errors(rows, error, name, out)
+            continue
         centre = _centre(frame, columns)
         own = gram_sums(frame, columns, centre, "relative_path")
         total = np.array(gram_sums(frame, columns, centre).first().g)
         width = len(columns) + 2
 
-        def folds(batches, total=total, width=width):
+        def left_out(batches, total=total, width=width):
             for b in batches:
                 w = [solve((total - np.array(g)).reshape(width, width)).tolist() for g in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.list_(pa.float64()))], ["relative_path", "w"])
 
-        solved = own.select(F.col("k").alias("relative_path"), "g").mapInArrow(folds, "relative_path string, w array<double>")
+        solved = own.select(F.col("k").alias("relative_path"), "g").mapInArrow(left_out, "relative_path string, w array<double>")
         rows = _cleaned(frame, columns, "relative_path").join(solved, "relative_path")
         terms = [F.element_at("w", i + 2) * (F.col(c) - F.lit(float(centre[i]))) for i, c in enumerate(columns)]
         error = F.col(TARGET) - sum(terms, F.element_at("w", 1))
-        one = rows.groupBy(F.col("relative_path").alias("held_out_relative_path")).agg(F.count("*").alias("row_count"), F.avg(F.abs(error)).alias(f"{name}_mae"), F.sqrt(F.avg(error * error)).alias(f"{name}_rmse"))
-        out = one if out is None else out.join(one.drop("row_count"), "held_out_relative_path")
+        out = _fold_errors(rows, error, name, out)
     return out
 
 
+def _fold_errors(rows: DataFrame, error, name: str, out: DataFrame | None) -> DataFrame:
+    """``out`` with the errors of one more model."""
+    one = rows.groupBy(F.col("relative_path").alias("held_out_relative_path")).agg(F.count("*").alias("row_count"), F.avg(F.abs(error)).alias(f"{name}_mae"), F.sqrt(F.avg(error * error)).alias(f"{name}_rmse"))
+    return one if out is None else out.join(one.drop("row_count"), "held_out_relative_path")
+
+
 def holdout_summary(folds: DataFrame, left: str = "temporal", right: str = "graph_context") -> DataFrame:
     a, b = F.col(f"{left}_mae"), F.col(f"{right}_mae")
     return folds.agg(

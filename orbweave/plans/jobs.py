@@ -41,10 +41,10 @@ def build_tables(spark: SparkSession, root: str, bin_seconds: int = 60, sample_r
     }
 
 
-def evaluate_forecasts(table: DataFrame, boosting_rounds: int = 300) -> dict[str, DataFrame]:
+def evaluate_forecasts(table: DataFrame, boosting_rounds: int = models.ROUNDS) -> dict[str, DataFrame]:
     """Predictions on the test rows of a graph table with ``split``, and errors, of persistence, least squares and boosted trees."""
     every = feature_columns(table)
-    temporal = [c for c in every if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
+    temporal = temporal_columns(table)
     train, test = table.where("split <> 'test'"), table.where("split = 'test'")
     made = models.persistence_forecast(test).union(models.ols_predict(test, models.ols_fit(train, temporal)))
     made = made.union(models.boosted_predict(test, models.boosted_fit(train, every, boosting_rounds), every))
@@ -57,29 +57,52 @@ def graph_table(time_bins: DataFrame, horizon: int = 1) -> DataFrame:
     return peers.snapshot_features(features.chronological_split(features.forecast_table(indexed, horizon=horizon)))
 
 
-def _scored_scenarios(time_bins: DataFrame) -> DataFrame:
-    """Test rows of all scenarios with both experts' predictions, learnt from base bins.
+def temporal_columns(table: DataFrame) -> list[str]:
+    """The features of a graph table that need no other session."""
+    return [c for c in feature_columns(table) if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
 
-    All scenarios are one table keyed by ``stress_scenario``, so features, peers and predictions are made once.
-    """
+
+def _scenario_table(time_bins: DataFrame, scenarios: tuple[str, ...]) -> DataFrame:
+    """The graph tables of several scenarios as one, keyed by ``stress_scenario``: features and peers are made once."""
     keys, window = ("stress_scenario", "relative_path"), ("stress_scenario", "session_bin_index")
-    table = features.forecast_table(stress.stress_scenarios(time_bins), keys=keys)
-    table = materialise(peers.snapshot_features(features.chronological_split(table, keys=keys), window), "scenarios")
-    every = feature_columns(table)
-    temporal = [c for c in every if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
+    bins = stress.stress_scenarios(time_bins).where(F.col("stress_scenario").isin(*scenarios))
+    table = materialise(features.chronological_split(features.forecast_table(bins, keys=keys), keys=keys), "scenario-features")
+    return materialise(peers.snapshot_features(table, window), "scenarios")
+
+
+def _scored_scenarios(time_bins: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
+    """Test rows of all scenarios with both experts' predictions, learnt from base bins: least squares on a session's own
+    features, boosted trees with its peers'."""
+    table = _scenario_table(time_bins, ("base", "burst", "outage", "structural"))
+    every, temporal = feature_columns(table), temporal_columns(table)
     train = table.where("stress_scenario = 'base' and split <> 'test'")
-    predict = lambda columns, model: sum([F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in model.items() if c], F.lit(model[""]))
-    test = table.where("split = 'test'").withColumns({"pred_forecast": predict(temporal, models.ols_fit(train, temporal)), "pred_graph": predict(every, models.ols_fit(train, every))})
-    return materialise(policies.add_scores(test), "scored")
+    own = models.ols_fit(train, temporal)
+    said = sum([F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in own.items() if c], F.lit(own[""]))
+    test = models.with_boosted(table.where("split = 'test'"), models.boosted_fit(train, every, rounds), every, "pred_graph")
+    return materialise(policies.add_scores(test.withColumn("pred_forecast", said)), "scored")
 
 
-def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS) -> dict[str, DataFrame]:
+def feature_ablation(time_bins: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
+    """Boosted trees on temporal, graph and all columns as three policies, by scenario (base, burst, outage); learnt from base bins."""
+    window = ("stress_scenario", "session_bin_index")
+    table = _scenario_table(time_bins, ("base", "burst", "outage"))
+    every, temporal = feature_columns(table), temporal_columns(table)
+    train, test = table.where("stress_scenario = 'base' and split <> 'test'"), table.where("split = 'test'")
+    lists = {"temporal": temporal, "graph": [c for c in every if c not in temporal], "all": every}
+    for name, columns in lists.items():
+        test = models.with_boosted(test, models.boosted_fit(train, columns, rounds), columns, f"pred_{name}")
+    scored = materialise(test, "scored")
+    decided = policies.policy_decisions(scored, {f"{n}_only": f"pred_{n}" for n in lists}, window=window)
+    return policies.policy_summary(decided, ("stress_scenario", "policy_name"))
+
+
+def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS, rounds: int = models.ROUNDS) -> dict[str, DataFrame]:
     """Every policy under every scenario: errors, decisions, summaries by policy and by disagreement, tuning, sweep, tests, intervals.
 
     ``time_bins`` has session_bin_index.
     """
     key, window = ("stress_scenario",), ("stress_scenario", "session_bin_index")
-    scored = _scored_scenarios(time_bins)
+    scored = _scored_scenarios(time_bins, rounds)
     experts = F.array(*[F.struct(F.lit(n).alias("model_name"), F.col(c).alias("y_pred")) for n, c in (("persistence", "latency_mean_ms"), ("temporal", "pred_forecast"), ("graph", "pred_graph"))])
     errors = scored.select("stress_scenario", F.col("target_next").alias("y_true"), F.explode(experts).alias("m")).select("stress_scenario", "y_true", "m.*")
     decided = materialise(policies.policy_decisions(scored, budget=budget, window=window), "decisions")
@@ -98,7 +121,7 @@ def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS)
     }
 
 
-def robustness_evaluation(time_bins: DataFrame, budget: float = policies.BUDGET_MS) -> DataFrame:
+def robustness_evaluation(time_bins: DataFrame, budget: float = policies.BUDGET_MS, rounds: int = models.ROUNDS) -> DataFrame:
     """The summary by scenario and policy alone."""
     window = ("stress_scenario", "session_bin_index")
-    return policies.policy_summary(policies.policy_decisions(_scored_scenarios(time_bins), budget=budget, window=window), ("stress_scenario", "policy_name"))
+    return policies.policy_summary(policies.policy_decisions(_scored_scenarios(time_bins, rounds), budget=budget, window=window), ("stress_scenario", "policy_name"))

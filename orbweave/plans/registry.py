@@ -54,7 +54,8 @@ def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.snapshot_features(forecast(spark, sf_dir))
+    """The forecast table, written once as peers are aggregated from it in several ways, with its peer columns."""
+    return P.snapshot_features(materialise(forecast(spark, sf_dir), "forecast-table"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pred_forecast": F.col("latency_mean_ms_roll_mean_3"), "pred_graph": F.col("peer_latency_mean"), "stress_applied": (F.col("latency_jump_ratio") > 1.2).cast("int"),
         "stress_scenario": F.when(F.col("bin_epoch") % 172800 == 0, "even").otherwise("odd"),
     })
-    return D.add_scores(marked)
+    return materialise(D.add_scores(marked), "candidates")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,12 @@ def context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.paired_policies(decisions(spark, sf_dir), COMPARISONS)
+    return S.paired_policies(materialise(decisions(spark, sf_dir), "decisions"), COMPARISONS)
+
+
+def _decided_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = candidates(spark, sf_dir)
+    return D.decision_context(D.policy_decisions(rows), D.disagreement_bins(D.window_context(rows)))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +207,21 @@ for _name, _column in (("fusion_scores", "pred_simple_fusion"), ("consensus_scor
     query(Q.columns("cand", _column, KEY), _name)(_scores)
 
 
-@query(name="feature_columns")
+# the features by hand: metadata as numbers, what a bin holds, what is derived from its session, and the peers' columns
+OWN_FEATURES = (
+    "bin_seconds bin_epoch observed_replies latency_mean_ms latency_std_ms latency_min_ms latency_max_ms ttl_mean ttl_min ttl_max icmp_seq_min icmp_seq_max session_bin_index "
+    "latency_mean_ms_lag_1 latency_mean_ms_lag_2 latency_mean_ms_lag_3 latency_mean_ms_lag_6 latency_mean_ms_lag_12 latency_mean_ms_roll_mean_3 latency_mean_ms_roll_std_3 latency_mean_ms_roll_mean_5 latency_mean_ms_roll_std_5 "
+    "observed_replies_lag_1 observed_replies_roll_mean_3 observed_replies_roll_std_3 latency_delta_1 latency_delta_roll3 latency_jump_ratio latency_volatility_ratio reply_delta_1 reply_gap_roll3 reply_pressure_score burst_indicator "
+    "path_state_flag window_duration_hours probe_interval_ms session_day_of_month"
+)
+PEER_FEATURES = (
+    "peer_latency_mean peer_latency_std peer_reply_mean peer_reply_std peer_burst_indicator_mean peer_burst_indicator_std snapshot_candidate_count peer_latency_gap "
+    "state_peer_latency_mean state_peer_latency_std target_peer_latency_mean target_peer_latency_std location_degree target_degree"
+)
+COUNTED = " UNION ALL ".join(f"SELECT '{c}' AS feature, {str(own).lower()} AS temporal, count({c}) AS row_count FROM graph" for names, own in ((OWN_FEATURES, True), (PEER_FEATURES, False)) for c in names.split())
+
+
+@query(Q.query(COUNTED, "graph"), "feature_columns")
 def feature_list(spark, sf_dir):
     """Each feature of the graph models: in how many rows it is there, and whether the temporal models have it too."""
     frame = graph(spark, sf_dir)
@@ -289,7 +309,7 @@ def _rounded(columns: str, doubles: str, source: str, last: str) -> str:
 
 @query(_rounded("disagreement_bin policy_name decision_count", f"{SUMMARY_DOUBLES} mean_chosen_disagreement", f"SELECT disagreement_bin, policy_name, count(*) AS decision_count, {SUMMARY}, avg(chosen_disagreement) AS mean_chosen_disagreement FROM decx GROUP BY ALL", "decx"))
 def disagreement_summary(spark, sf_dir):
-    return D.disagreement_summary(D.decision_context(decisions(spark, sf_dir), context(spark, sf_dir)))
+    return D.disagreement_summary(_decided_in_context(spark, sf_dir))
 
 
 @query(Q.columns("metrics", "mae rmse mape", "family model_name row_count"))
@@ -312,20 +332,28 @@ def scenario_pivot(spark, sf_dir):
     return S.scenario_pivot(S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name")), "family", "model_name", ["persistence", "rolling_mean", "peer_mean"], "mae")
 
 
-BOOT = """
-  SELECT policy_name, b, avg(v) AS v FROM (SELECT d.policy_name, b, p.v FROM (SELECT policy_name, n, b, ('0x' || substr(md5('42|' || b || '|' || place), 1, 8))::BIGINT % n AS pick FROM placed, range(1, 41) r(b)) d JOIN placed p ON p.policy_name = d.policy_name AND p.place = d.pick) GROUP BY ALL"""
-PLACED = "SELECT policy_name, regret_ms AS v, row_number() OVER (PARTITION BY policy_name ORDER BY session_bin_index) - 1 AS place, count(*) OVER (PARTITION BY policy_name) AS n FROM dec"
+PLACED = f"SELECT policy_name, {', '.join(S.METRICS)}, row_number() OVER (PARTITION BY policy_name ORDER BY session_bin_index) - 1 AS place, count(*) OVER (PARTITION BY policy_name) AS n FROM dec"
+DRAWN = f"""
+  SELECT d.policy_name, b, {', '.join(f'avg({m}) AS {m}' for m in S.METRICS)}
+  FROM (SELECT policy_name, b, ('0x' || substr(md5('42|' || b || '|' || place), 1, 8))::BIGINT % n AS pick FROM placed, range(1, 2001) r(b)) d JOIN placed p ON p.policy_name = d.policy_name AND p.place = d.pick GROUP BY ALL"""
+ENDS = " UNION ALL ".join(f"SELECT policy_name, '{m}' AS metric_name, quantile_cont({m}, 0.025) AS ci_lower, quantile_cont({m}, 0.975) AS ci_upper FROM drawn GROUP BY 1" for m in S.METRICS)
+OWN = " UNION ALL ".join(f"SELECT policy_name, '{m}' AS metric_name, avg({m}) AS mean_value, count(*) AS sample_count FROM placed GROUP BY 1" for m in S.METRICS)
+INTERVALS = f"WITH placed AS ({PLACED}), drawn AS ({DRAWN}) SELECT * FROM ({OWN}) JOIN ({ENDS}) USING (policy_name, metric_name)"
 
 
-@query(Q.query(f"SELECT policy_name, 'regret_ms' AS metric_name, round(m, 6) + 0.0::DOUBLE AS mean_value, round(lo, 6) + 0.0::DOUBLE AS ci_lower, round(hi, 6) + 0.0::DOUBLE AS ci_upper, sample_count FROM (SELECT policy_name, avg(v) AS m, count(*) AS sample_count FROM ({PLACED}) GROUP BY 1) JOIN (WITH placed AS ({PLACED}) SELECT policy_name, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM ({BOOT}) GROUP BY 1) USING (policy_name)", "dec"))
+@query(_rounded("policy_name metric_name sample_count", "mean_value ci_lower ci_upper", INTERVALS, "dec"))
 def bootstrap_intervals(spark, sf_dir):
-    return S.bootstrap_intervals(decisions(spark, sf_dir), ("regret_ms",), rounds=40)
+    return S.bootstrap_intervals(materialise(decisions(spark, sf_dir), "decisions"))
 
 
-@query()
+WIDE = ", ".join(f"max(ci_{e}) FILTER (WHERE metric_name = '{m}') AS {m}_ci_{e}" for m in S.METRICS for e in ("lower", "upper"))
+WIDE_DOUBLES = " ".join(f"{m}_ci_{e}" for m in S.METRICS for e in ("lower", "upper"))
+
+
+@query(_rounded("policy_name decision_count", f"{SUMMARY_DOUBLES} {WIDE_DOUBLES}", f"SELECT * FROM (SELECT policy_name, count(*) AS decision_count, {SUMMARY} FROM dec GROUP BY ALL) JOIN (SELECT policy_name, {WIDE} FROM ({INTERVALS}) GROUP BY 1) USING (policy_name)", "dec"))
 def interval_pivot(spark, sf_dir):
-    made = decisions(spark, sf_dir)
-    return S.interval_pivot(S.bootstrap_intervals(made, rounds=40), D.policy_summary(made))
+    made = materialise(decisions(spark, sf_dir), "decisions")
+    return S.interval_pivot(S.bootstrap_intervals(made), D.policy_summary(made))
 
 
 # --- windows
@@ -444,7 +472,7 @@ def candidate_frame(spark, sf_dir):
 
 @query(Q.columns("decx", "chosen_disagreement mean_candidate_disagreement max_candidate_disagreement stressed_candidate_fraction", "policy_name session_bin_index candidate_count disagreement_bin"))
 def decision_context(spark, sf_dir):
-    made = D.decision_context(decisions(spark, sf_dir), context(spark, sf_dir))
+    made = _decided_in_context(spark, sf_dir)
     return made.select("policy_name", "session_bin_index", "candidate_count", "disagreement_bin", "chosen_disagreement", "mean_candidate_disagreement", "max_candidate_disagreement", "stressed_candidate_fraction")
 
 
@@ -591,13 +619,15 @@ def ols_predict(spark, sf_dir):
     return M.ols_predict(table.where("split = 'test'"), M.ols_fit(table.where("split <> 'test'"), feature_columns(table)))
 
 
+FEW_ROUNDS = 30  # of the queries below that fit several models, or fit over all scenarios; README tells what 300 rounds cost
+
+
 @query()
 def boosted_predict(spark, sf_dir):
-    """Boosted trees with peer context on test rows (few rounds here; the operator's default is 300)."""
+    """Boosted trees with peer context on test rows."""
     table = materialise(graph(spark, sf_dir), "graph-table")
     features = feature_columns(table)
-    model = M.boosted_fit(table.where("split <> 'test'"), features, rounds=5, depth=4)
-    return M.boosted_predict(table.where("split = 'test'"), model, features)
+    return M.boosted_predict(table.where("split = 'test'"), M.boosted_fit(table.where("split <> 'test'"), features), features)
 
 
 @query(name="run_graph_baseline")
@@ -606,9 +636,8 @@ def boosted_baseline(spark, sf_dir):
 
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = graph(spark, sf_dir)
-    every = feature_columns(table)
-    return M.session_holdout(table, {"temporal": feature_columns(forecast(spark, sf_dir)), "graph_context": every})
+    table = materialise(graph(spark, sf_dir), "graph-table")
+    return M.session_holdout(table, {"temporal": jobs.temporal_columns(table), "graph_context": feature_columns(table)}, boosted=("graph_context",), rounds=FEW_ROUNDS)
 
 
 @query()
@@ -623,20 +652,12 @@ def session_holdout_summary(spark, sf_dir):
 
 @query()
 def feature_ablation(spark, sf_dir):
-    """Least squares on temporal, graph and all columns as three policies."""
-    table = graph(spark, sf_dir)
-    temporal = feature_columns(forecast(spark, sf_dir))
-    every = feature_columns(table)
-    test = table.where("split = 'test'")
-    for name, columns in (("temporal", temporal), ("graph", [c for c in every if c not in temporal]), ("all", every)):
-        one = M.ols_predict(test, M.ols_fit(table.where("split <> 'test'"), columns)).select(*KEY.split(), F.col("y_pred").alias(f"pred_{name}"))
-        test = test.join(one, KEY.split())
-    return D.policy_summary(D.policy_decisions(test, {f"{n}_only": f"pred_{n}" for n in ("temporal", "graph", "all")}))
+    return jobs.feature_ablation(indexed(spark, sf_dir), FEW_ROUNDS)
 
 
 @query(name="robustness_evaluation")
 def robustness(spark, sf_dir):
-    return jobs.robustness_evaluation(indexed(spark, sf_dir))
+    return jobs.robustness_evaluation(indexed(spark, sf_dir), rounds=FEW_ROUNDS)
 
 
 def queries() -> dict[str, Query]:

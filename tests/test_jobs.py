@@ -26,7 +26,7 @@ def test_forecasts(spark, sf_dir):
 
 
 def test_robustness(spark, sf_dir):
-    made = {name: t.collect() for name, t in jobs.robustness_tables(registry.indexed(spark, sf_dir)).items() if name != "intervals"}
+    made = {name: t.collect() for name, t in jobs.robustness_tables(registry.indexed(spark, sf_dir), rounds=3).items() if name != "intervals"}
     assert {r.stress_scenario for r in made["policy_summary"]} == {"base", "burst", "outage", "structural"}
     assert len(made["penalty_sweep"]) == 20 and len(made["tuning"]) == 1
     assert {r.disagreement_bin for r in made["disagreement_summary"]} == {"Low", "Medium", "High"}

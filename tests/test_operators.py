@@ -2,14 +2,15 @@
 
 import math
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.functions.scalars import forecast_horizon, human_bytes
-from orbweave.operators import features, inventory, models, peers, policies, stats, stress
+from orbweave import storage
+from orbweave.functions.scalars import forecast_horizon, human_bytes, utc_iso
+from orbweave.operators import features, inventory, models, peers, policies, ranks, stats, stress
 from orbweave.plans import registry
 from orbweave.sources import logs
 
@@ -87,32 +88,98 @@ def test_peers_against_brute_force(spark):
         assert g.location_degree == len({o[3] for o in here if o[4] == r[4]}) and g.target_degree == len({o[4] for o in here if o[3] == r[3]})
 
 
-def _greedy(files, top_k, per_location, per_day):
-    """The selection played out in one loop."""
-    groups = defaultdict(list)
-    for f in sorted(files, key=lambda f: (-f["score"], -f["size"], f["path"])):
-        groups[(f["loc"], f["state"], f["dur"])].append(f)
-    order = sorted(groups, key=lambda g: (-groups[g][0]["score"], g))
-    out, by_loc, by_day = [], Counter(), Counter()
-    while len(out) < top_k and any(groups.values()):
-        for g in order:
-            while groups[g] and len(out) < top_k:
-                f = groups[g].pop(0)
-                if by_loc[f["loc"]] < per_location and by_day[(f["loc"], f["day"])] < per_day:
-                    out.append(f["path"])
-                    by_loc[f["loc"]] += 1
-                    by_day[(f["loc"], f["day"])] += 1
-                    break
-    return out
-
-
-def test_selection_against_one_loop(spark):
+FILES = "relative_path string, size_bytes long, candidate_score long, location string, path_state string, window_duration string, session_date string"
+
+
+def test_selection_by_hand(spark):
+    rows = [
+        ("a1", 5, 95, "l1", "a", "1h", "d1"), ("a2", 5, 94, "l1", "a", "1h", "d1"), ("a3", 5, 93, "l1", "a", "1h", "d2"), ("a4", 5, 92, "l1", "a", "1h", "d1"),
+        ("b1", 5, 94, "l1", "b", "1h", "d1"), ("b2", 5, 90, "l1", "b", "1h", "d2"),
+        ("c2", 4, 93, "l2", "a", "1h", "d1"), ("c1", 5, 93, "l2", "a", "1h", "d1"), ("c3", 5, 91, "l2", "a", "1h", "d1"),
+    ]
+    df = spark.createDataFrame(rows, FILES)
+    picks = lambda **caps: [r.relative_path for r in inventory.diverse_selection(df, **caps).orderBy("rank").collect()]
+    # first each group's best; then a2 is passed over, as l1 has two of d1; then l1 has its four, and l2 two of d1
+    assert picks(top_k=10) == ["a1", "b1", "c1", "a3", "b2", "c2"]
+    assert picks(top_k=4) == ["a1", "b1", "c1", "a3"]
+    assert picks(max_per_location=1) == ["a1", "c1"]
+    assert picks(max_per_day=1) == ["a1", "b2", "c1"]  # b1 is passed over within the turn
+    assert picks(max_per_day=9, max_per_location=9) == ["a1", "b1", "c1", "a2", "b2", "c2", "a3", "c3", "a4"]
+
+
+def test_selection_keeps_its_caps_and_leaves_nothing_that_fits(spark):
     rng = random.Random(9)
-    for trial in range(4):
-        files = [{"loc": f"l{rng.randint(0, 3)}", "state": rng.choice("ab"), "dur": rng.choice(["1h", "2h"]), "day": f"d{rng.randint(0, 3)}", "score": rng.randint(90, 95), "size": rng.randint(1, 5), "path": f"f{i:03d}"} for i in range(40)]
-        df = spark.createDataFrame([(f["path"], f["size"], f["score"], f["loc"], f["state"], f["dur"], f["day"]) for f in files], "relative_path string, size_bytes long, candidate_score long, location string, path_state string, window_duration string, session_date string")
-        got = [r.relative_path for r in inventory.diverse_selection(df, 9 + trial, 3, 2).orderBy("rank").collect()]
-        assert got == _greedy(files, 9 + trial, 3, 2)
+    files = [(f"f{i:03d}", rng.randint(1, 5), rng.randint(90, 95), f"l{rng.randint(0, 3)}", rng.choice("ab"), rng.choice(["1h", "2h", ""]), f"d{rng.randint(0, 3)}") for i in range(60)]
+    got = inventory.diverse_selection(spark.createDataFrame(files, FILES), 100, 3, 2).collect()
+    by_location, by_day = Counter(r.location for r in got), Counter((r.location, r.session_date) for r in got)
+    assert max(by_location.values()) <= 3 and max(by_day.values()) <= 2
+    chosen = {r.relative_path for r in got}
+    assert all(f[0] in chosen or by_location[f[3]] == 3 or by_day[(f[3], f[6])] == 2 for f in files)
+
+
+def test_places_of_a_group_that_spans_partitions(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.randint(0, 50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x long, i long")
+    got = {r.i: r.place for r in ranks.placed(df, [F.desc("x"), F.asc("i")], ("g",), parts=5).collect()}
+    for g in ("hot", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == list(range(len(own)))
+    whole = {r.i: r.place for r in ranks.placed(df, ["x", "i"]).collect()}
+    assert [whole[r[2]] for r in sorted(rows, key=lambda r: r[1:])] == list(range(400))
+    assert ranks.placed(df.limit(0), ["x"], ("g",)).isEmpty()
+
+
+def test_utc_times_in_any_time_zone(spark):
+    df = spark.createDataFrame([(0,), (1741521600,), (1710054000,), (-1,)], "e long")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.t for r in df.select(utc_iso("e").alias("t")).collect()] == ["1970-01-01T00:00:00", "2025-03-09T12:00:00", "2024-03-10T07:00:00", "1969-12-31T23:59:59"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_large_logs_are_split_and_keep_their_order(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(20_000)]
+    (tmp_path / "ping-a.txt").write_text("\n".join(lines))
+    (tmp_path / "ping-b.txt").write_text("one\r\n\r\nthree\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+        read = logs.read_log_lines(spark, str(tmp_path))
+        assert read.rdd.getNumPartitions() > 5
+        rows = read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    of = lambda name: [r.line for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.line_no)]
+    assert of("ping-a.txt") == lines and of("ping-b.txt") == ["one", "", "three"]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Cluster:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError):
+        storage.shared_path(Cluster(), "x")
+
+
+def test_boosted_holdout_has_not_seen_the_session(spark, sf_dir):
+    table = storage.materialise(registry.forecast(spark, sf_dir), "holdout")
+    columns = ["latency_mean_ms", "latency_mean_ms_lag_1", "latency_mean_ms_roll_mean_3"]
+    folds = {r.relative_path: r.k for r in table.selectExpr("relative_path", "pmod(xxhash64(relative_path), 2) k").distinct().collect()}
+    got = models.boosted_holdout(table, columns, 2, 3).toPandas()
+    assert len(got) == table.count()
+    for k in (0, 1):
+        model = models.boosted_fit(table.where(f"pmod(xxhash64(relative_path), 2) <> {k}"), columns, 3)
+        expected = models.with_boosted(table.where(f"pmod(xxhash64(relative_path), 2) = {k}"), model, columns, "p").select("relative_path", "target_next", "p").toPandas()
+        own = got[got.relative_path.map(folds) == k]
+        assert np.allclose(sorted(own.y_pred), sorted(expected.p))
+    assert models.boosted_holdout(table.limit(0), columns, 2, 3).isEmpty()
 
 
 def test_terciles(spark):

@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB, on the smallest tables; the others must give rows."""
+"""Every query with SQL against DuckDB, on the smallest tables; the others are held against plain code in test_values."""
 
 import pytest
 from oracle import same
@@ -11,6 +11,9 @@ def test_same_as_sql(spark, sf_dir, name):
     assert same(registry.queries()[name](spark, sf_dir), registry.oracle_sql()[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_gives_rows(spark, sf_dir, name):
-    assert registry.queries()[name](spark, sf_dir).count() > 0
+
+def test_the_others_are_known():
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {
+        "file_listing", "diverse_selection", "signed_rank_test", "run_forecast_baselines", "ols_fit", "ols_predict", "boosted_predict", "run_graph_baseline",
+        "session_holdout", "session_holdout_summary", "feature_ablation", "robustness_evaluation",
+    }
