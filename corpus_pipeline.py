@@ -18,7 +18,7 @@ from orbweave.llm import decontam, mixing, quality, simhash, tokenbin
 from orbweave.llm.queries import END_ID, TOKENIZER
 from orbweave.storage import materialise, read_table, recording, release, shared_path
 
-_left: list[str] = []  # intermediate tables of the stage before
+_left: dict[str, list[str]] = {}  # by application: intermediate tables of the stage before
 
 
 def tidy(stage):
@@ -26,10 +26,10 @@ def tidy(stage):
 
     @wraps(stage)
     def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left)
+        release(spark, _left.pop(spark.sparkContext.applicationId, []))
         with recording() as made:
             kept = stage(spark, docs, sf_dir)
-        _left.extend(made)
+        _left[spark.sparkContext.applicationId] = made
         return kept
 
     return tidied

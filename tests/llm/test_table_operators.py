@@ -3,14 +3,18 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from oracle import same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orbweave.llm import ann, chat, decontam, mixing, pii, queries
+from orbweave.llm import ann, chat, decontam, mixing, pii, quality, queries, simhash
+from orbweave.llm.encoding import WordEncoder
 from orbweave.storage import materialise
 
 MIDDLE = "/root/testdata/sf0.01"
@@ -316,6 +320,43 @@ def test_pipeline_stages(spark, sf_dir):
     assert len(rows) == held.count() and sum(r[2] for r in rows) == max(r[1] + r[2] for r in rows)
 
 
+def test_pipeline_against_plain_code(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality.fit(docs, labels, F.lit(True)).astype(np.float32)
+    kept = {r.doc_id: r.text or "" for r in docs.collect() if 1 / (1 + np.exp(-quality.dot(r.text, weights, 18))) >= 0.7}
+    prints = {i: simhash.fingerprint(t) for i, t in kept.items()}
+    group = {i: i for i in prints}
+    for _ in prints:  # the least id within reach, again and again
+        new = {i: min(group[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 2) for i in prints}
+        if new == group:
+            break
+        group = new
+    kept = {i: kept[i] for i in sorted(set(group.values()))}
+    items = [decontam.words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    windows = {b" ".join(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
+    lengths = {len(v.split()) for v in windows}
+
+    def clean(text):
+        w = decontam.words(text)
+        return not any(b" ".join(w[i : i + n]) in windows for n in lengths for i in range(len(w) - n + 1))
+
+    kept = {i: t for i, t in kept.items() if clean(t)}
+    left = docs.where(F.col("doc_id").isin(list(kept)))
+    due = mixing.mix(left).select("doc_id", F.explode("positions").alias("at")).collect()
+    tokenizer = WordEncoder(public_tokenizers.path(queries.TOKENIZER)).tokenizer
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, queries.END_ID] for i, t in kept.items()}
+    got = sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect()), key=lambda r: r[1])
+    assert Counter(r[0] for r in got) == Counter(r.doc_id for r in due) and len(got) > 50
+    at, start = {}, 0
+    for r in due:
+        at.setdefault(r.doc_id, []).append(r["at"])
+    places = [at[r[0]].pop(0) for r in got]
+    assert places == sorted(places)
+    for doc, begin, n, crc in got:
+        assert (begin, n, crc) == (start, len(ids[doc]), zlib.crc32(np.array(ids[doc], "<u4").tobytes()))
+        start += n
+
+
 def test_token_files_keep_the_training_order(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = materialise(corpus_pipeline.mix_sources(spark, docs, sf_dir), "mixed")

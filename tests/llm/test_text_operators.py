@@ -131,6 +131,33 @@ def test_quotation_is_not_abuse():
     assert toxicity._hits(automaton, long).tolist() == [1, 0, 0, 0, 0, 0]
 
 
+def test_toxicity_scores_against_plain_search(spark, sf_dir, labels):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(spark.read.parquet(f"{MIDDLE}/documents.parquet"), labels, F.lit(True))
+    assert model.terms and not any(s != o and s.startswith(o) for s in model.stems for o in model.stems)
+    by_length = {}
+    for t in model.terms:
+        by_length.setdefault(len(t), []).append(t)
+    memo = {}
+
+    def kind(word):
+        if word not in memo:
+            near = [t for n in range(len(word) - 2, len(word) + 3) for t in by_length.get(n, []) if n >= 5 and _distance(word, t) <= (1 if n < 8 else 2)]
+            memo[word] = 0 if word in model.terms else 1 if any(word.startswith(s) for s in model.stems) else 2 if near and word not in model.known else None
+        return memo[word]
+
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        tokens, weight = toxicity.TOKEN.findall((r.text or "").lower()), {True: 0.0, False: 0.0}
+        for i, w in enumerate(tokens):
+            if kind(w) is not None:
+                before, after = tokens[max(0, i - 6) : i], tokens[i + 1 : i + 7]
+                quoted = bool(set(before) & toxicity.OPENING and set(after) & toxicity.CLOSING or set(before) & toxicity.REPORTING)
+                weight[quoted] += (1.0, 1.0, 0.5)[kind(w)]
+        x = [1.0, np.log1p(weight[False]), min(weight[False], 1.0), np.log1p(weight[True]), min(weight[True], 1.0)]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-np.dot(x, model.weights)))) < 1e-9, r.doc_id
+
+
 def test_toxicity_edge_cases(spark, odd, none, labels):
     model = toxicity.fit(none, labels, F.lit(True))
     assert toxicity.score(odd, model).where("predicted = 1").isEmpty() and toxicity.score(odd, model).count() == len(ODD)
