@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import ann, chat, decontam, mixing, pii, quality, simhash, tokenbin, tokencount, toxicity
+from orbweave.llm import ann, chat, decontam, mixing, negatives, pii, quality, repair, repeats, simhash, tokenbin, tokencount, toxicity
 from orbweave.storage import read_table, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,12 +65,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read_table(spark, sf_dir, "conversations"))[0]
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_token_counts, op3_nearest_neighbours, op4_toxicity, op5_mixing, op6_token_files, op7_personal_data, op8_decontamination, op9_chat, op10_simhash)
+        for f in (op1_quality, op2_token_counts, op3_nearest_neighbours, op4_toxicity, op5_mixing, op6_token_files, op7_personal_data, op8_decontamination, op9_chat, op10_simhash, op11_conversation_repair, op12_hard_negatives, op13_substring_dedup)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL, "op8_decontamination": decontam.SQL, "op9_chat": chat.SQL}
+    return {"op5_mixing": mixing.SQL, "op8_decontamination": decontam.SQL, "op9_chat": chat.SQL, "op11_conversation_repair": repair.SQL, "op12_hard_negatives": negatives.SQL, "op13_substring_dedup": repeats.SQL}
