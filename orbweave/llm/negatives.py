@@ -156,7 +156,8 @@ def build_blocks(rows: DataFrame, block: int = BLOCK, bits: int = BITS) -> DataF
 def bounds(anchors: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per anchor: the least and the largest inner product that anything within the intervals can have."""
     up, down = np.maximum(anchors, 0), np.minimum(anchors, 0)
-    return up @ least + down @ most, up @ most + down @ least
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.clip(up @ least + down @ most, -(2.0**63), 2.0**63), np.clip(up @ most + down @ least, -(2.0**63), 2.0**63)
 
 
 def scores(x: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -282,7 +283,7 @@ def _group_rows(group: dict, blocks: DataFrame, positives: int, negatives: int,
 
     def others(block, label, d, least, most):
         own = np.flatnonzero((labels == label) & (dims == d))
-        own = own[bounds(vectors[own, :d], least, most)[1] >= reached[own] - _slack(vectors[own, :d], least, most)]
+        own = own[~(bounds(vectors[own, :d], least, most)[1] < reached[own] - _slack(vectors[own, :d], least, most))]  # what can't be told is read
         done = by_block.get(block)
         return np.setdiff1d(own, done) if done else own
 
@@ -303,7 +304,7 @@ def _group_rows(group: dict, blocks: DataFrame, positives: int, negatives: int,
         own = np.flatnonzero((labels != label) & (dims == d) & open_window.any(axis=1))
         down, up = bounds(vectors[own, :d], least, most)
         slack = _slack(vectors[own, :d], least, most)
-        return own[(open_window[own] & (bottom[own] <= (up + slack)[:, None]) & (top[own] >= (down - slack)[:, None])).any(axis=1)]
+        return own[(open_window[own] & ~(bottom[own] > (up + slack)[:, None]) & ~(top[own] < (down - slack)[:, None])).any(axis=1)]
 
     def negative(best_rows, x, ids, uids, anchors):
         found = scores(x, vectors[anchors, : x.shape[1]])
@@ -321,7 +322,8 @@ def _group_rows(group: dict, blocks: DataFrame, positives: int, negatives: int,
 
 def _slack(anchors: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
     """How far the bounds can be off by rounding in doubles; 0 for whole numbers of up to 53 bits."""
-    size = np.abs(anchors) @ np.maximum(np.abs(least), np.abs(most))
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.abs(anchors) @ np.maximum(np.abs(least), np.abs(most))
     return np.where(size < EXACT, 0.0, size * 1e-12)
 
 
