@@ -9,7 +9,7 @@ A source's documents stand in the order of a hash. The mix takes each document a
 target, then a further time the documents at the front whose sum fits into the rest, then, ``refine`` times, the further
 document whose size is nearest to what is missing. Where that misses the target by more than ``slack`` of it
 and more than an average document (a giant document at the border shuts out those behind it, or is picked though too
-large, which counts only if ``over``), the picks are undone and rounds follow: of the documents not yet taken that fit into what is missing, those at
+large), the picks are undone and rounds follow: of the documents not yet taken that fit into what is missing, those at
 the front whose sum fits, until none fits; then the document of nearest size. No document is taken more than ``most``
 times.
 
@@ -78,7 +78,7 @@ def _sized(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, "doc_id", "source", n_words().alias("size"), _order().alias("h"))
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = (), refine: int = REFINE, slack: float = SLACK, over: bool = True) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple[str, ...] = (), refine: int = REFINE, slack: float = SLACK) -> DataFrame:
     """``keep``, doc_id, size, source_size, target, positions (one for each time it is taken), position (the first) and taken.
 
     ``docs`` has doc_id, source and text; ``keep`` names further columns to carry, not among those and the result's.
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), refine: int = REFINE, slack
     for _ in range(refine):
         left, best = _nearest(_untaken(free, picked), left)
         picked = best if picked is None else picked.union(best)
-    missed = materialise(left.where((F.abs("gap") if over else F.col("gap")) > F.col("near")).select("skey"), "missed")  # a row per source at most
+    missed = materialise(left.where(F.abs("gap") > F.col("near")).select("skey"), "missed")  # a row per source at most
     if not missed.isEmpty():
         left = first.join(missed, "skey", "left_semi")
         picked = None if picked is None else picked.join(missed, "skey", "left_anti")
@@ -181,7 +181,7 @@ def training_order(docs: DataFrame) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))))) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -201,13 +201,28 @@ p AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, target - passes * source_size AS rest FROM p),
 x AS (SELECT *, (cum + size <= rest AND size > 0)::INT AS extra FROM q),
-g0 AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (WHERE extra = 1), 0) AS gap FROM x GROUP BY source),
-f1 AS (SELECT x.source, gap, rest - gap AS since, min({'off': abs(size - gap), 'h': h, 'doc_id': doc_id, 'size': size}) AS b FROM x JOIN g0 ON x.source IS NOT DISTINCT FROM g0.source WHERE extra = 0 AND size > 0 AND size < 2 * gap GROUP BY x.source, gap, rest),
-g1 AS (SELECT source, gap - b.size AS gap, b.doc_id AS d1 FROM f1),
-f2 AS (SELECT x.source, gap, rest - gap AS since, d1, min({'off': abs(size - gap), 'h': h, 'doc_id': x.doc_id, 'size': size}) AS b FROM x JOIN g1 ON x.source IS NOT DISTINCT FROM g1.source WHERE extra = 0 AND size > 0 AND size < 2 * gap AND x.doc_id <> d1 GROUP BY x.source, gap, rest, d1),
-g2 AS (SELECT source, gap - b.size AS gap, d1, b.doc_id AS d2 FROM f2),
-f3 AS (SELECT x.source, rest - gap AS since, min({'off': abs(size - gap), 'h': h, 'doc_id': x.doc_id}) AS b FROM x JOIN g2 ON x.source IS NOT DISTINCT FROM g2.source WHERE extra = 0 AND size > 0 AND size < 2 * gap AND x.doc_id <> d1 AND x.doc_id <> d2 GROUP BY x.source, gap, rest),
-late AS (SELECT b.doc_id AS doc_id, since FROM f1 UNION SELECT b.doc_id, since FROM f2 UNION SELECT b.doc_id, since FROM f3),
+g0 AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (WHERE extra = 1), 0) AS gap, max(rest) AS rest, greatest(0.01 * max(target), avg(size)) AS near FROM x GROUP BY source),
+free AS (SELECT source, h, doc_id, size FROM x WHERE extra = 0 AND size > 0),
+pick AS (
+  SELECT source, 0 AS k, gap, rest, near, []::STRUCT(doc_id BIGINT, since DOUBLE)[] AS docs FROM g0
+  UNION ALL
+  SELECT source, k + 1, gap - b.size, rest, near, docs || [{'doc_id': b.doc_id, 'since': (rest - gap)::DOUBLE}] FROM (
+    SELECT p.source, k, gap, rest, near, docs, min({'off': abs(size - gap), 'h': h, 'doc_id': f.doc_id, 'size': size}) AS b FROM pick p JOIN free f ON f.source IS NOT DISTINCT FROM p.source
+    WHERE k < 3 AND size < 2 * gap AND NOT list_contains(list_transform(docs, lambda d: d.doc_id), f.doc_id) GROUP BY ALL)),
+picked AS (SELECT * FROM pick QUALIFY k = max(k) OVER (PARTITION BY source)),
+fill AS (
+  SELECT g0.source, 0 AS k, g0.gap, g0.rest, []::STRUCT(doc_id BIGINT, since DOUBLE)[] AS docs FROM g0 JOIN picked p ON p.source IS NOT DISTINCT FROM g0.source WHERE abs(p.gap) > p.near
+  UNION ALL
+  SELECT source, k + 1, gap - sum(size), rest, docs || list({'doc_id': doc_id, 'since': (rest - gap + upto)::DOUBLE}) FROM (
+    SELECT p.source, k, gap, rest, docs, f.doc_id, size, sum(size) OVER (PARTITION BY p.source ORDER BY h, f.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS upto FROM fill p JOIN free f ON f.source IS NOT DISTINCT FROM p.source
+    WHERE size <= gap AND NOT list_contains(list_transform(docs, lambda d: d.doc_id), f.doc_id))
+  WHERE upto + size <= gap GROUP BY source, k, gap, rest, docs),
+filled AS (SELECT * FROM fill QUALIFY k = max(k) OVER (PARTITION BY source)),
+last AS (
+  SELECT min({'off': abs(size - gap), 'h': h, 'doc_id': f.doc_id}) AS b, any_value(rest - gap) AS since FROM filled p JOIN free f ON f.source IS NOT DISTINCT FROM p.source
+  WHERE size < 2 * gap AND NOT list_contains(list_transform(docs, lambda d: d.doc_id), f.doc_id) GROUP BY p.source),
+late AS (
+  SELECT d.doc_id AS doc_id, d.since AS since FROM (SELECT unnest(docs) AS d FROM picked WHERE abs(gap) <= near UNION ALL SELECT unnest(docs) FROM filled) UNION ALL SELECT b.doc_id, since::DOUBLE FROM last),
 y AS (
   SELECT x.*, since IS NOT NULL OR extra = 1 AS further,
     least(1.0::DOUBLE, greatest(0.0::DOUBLE, (CASE WHEN passes > 0 OR extra = 1 THEN cum::DOUBLE ELSE since END + size / 2.0::DOUBLE) / target)) AS share FROM x LEFT JOIN late ON x.doc_id = late.doc_id),

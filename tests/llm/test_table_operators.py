@@ -43,12 +43,19 @@ def test_a_giant_document_does_not_shut_out_others(spark):
     first = min(range(100_000, 110_000), key=lambda i: hashlib.md5(f"mix|{i}".encode()).hexdigest())
     # at the front of the third source, more than twice what is wanted of it
     df = spark.createDataFrame([*rows, (first, "w " * 12_000, "s2")], "doc_id long, text string, source string")
-    for over in (True, False):
-        got = mixing.mix(df, over=over).join(df.select("doc_id", "source"), "doc_id").where("source = 's2'").toPandas()
-        assert 5_000 < got.target.iloc[0] < 6_000
-        assert abs(got.taken.sum() - got.target.iloc[0]) <= 10
-        taken = got[got.taken > 0]
-        assert taken.position.nunique() > 0.9 * len(taken)  # spread over the source's demand
+    got = mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").where("source = 's2'").toPandas()
+    assert 5_000 < got.target.iloc[0] < 6_000
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 10
+    taken = got[got.taken > 0]
+    assert taken.position.nunique() > 0.9 * len(taken)  # spread over the source's demand
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_source_comes_near_its_target(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    of = queries.op5_mixing(spark, f"/root/testdata/{sf}").join(docs.select("doc_id", "source"), "doc_id").groupBy("source")
+    for r in of.agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.avg("size").alias("mean")).collect():
+        assert abs(r.taken - r.target) <= max(0.01 * r.target, r["mean"]), r
 
 
 def test_mix_runs_no_python(spark, sf_dir):
