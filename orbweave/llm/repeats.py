@@ -7,8 +7,11 @@ and sorted as text: a window that occurs twice, in any documents, stands beside
 their minimiser stands at another place in each, so a minimiser met once needs no string at all: first slim rows (the
 minimisers' hashes) are counted, and only documents with a minimiser that occurs again send strings.
 
+Copies of whole documents are told by a digest of their words (128 bits), pre-aggregated: all windows of such a document
+are repeated, and one of the copies stands for it towards the others.
+
 Skew: a minimiser of more than ``LARGE`` strings (copies of one text, a line on every page) isn't gathered. Its strings
-are first made distinct by digest (128 bits), pre-aggregated before the shuffle, and join back to their places; if even
+are first made distinct by digest, pre-aggregated before the shuffle, and join back to their places; if even
 the distinct ones are more than ``LARGE``, each of their windows goes alone, by digest, to a pre-aggregated count. So a
 bucket holds at most ``LARGE`` strings in one task, of whatever table.
 
@@ -39,7 +42,7 @@ LARGE = 4_000  # strings of one minimiser that a task holds at most
 BLOCK = 65_536  # windows whose minimisers are looked for at once
 MEMO = 500_000  # hashes of words that a worker remembers
 
-STRINGS = "uid long, start int, mini long, often boolean, sid binary, n long, packed binary"
+STRINGS = "uid long, start int, mini long, sid binary, packed binary"
 
 
 class _Hashes(dict):
@@ -73,31 +76,39 @@ def _lists(parts: list[np.ndarray], kind) -> pa.ListArray:
 
 
 def split(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Written: uid, ``keep``, n_words, words (compressed), and per run of windows its first and its minimiser."""
+    """Written: uid, ``keep``, doc (a digest of the words; null if there is no window), n_words, words (compressed), and per
+    run of windows its first and its minimiser."""
     source = docs.select(F.monotonically_increasing_id().alias("uid"), *[F.col(c).alias(f"k_{c}") for c in keep], F.col("text").alias("t"))
-    more = [T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("minis", T.ArrayType(T.LongType()))]
+    more = [T.StructField("doc", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("minis", T.ArrayType(T.LongType()))]
     schema = T.StructType([*source.schema.fields[:-1], *more])
 
     def run(batches):
         known, pack = _Hashes(), zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            counts, blobs, starts, minis = [], [], [], []
+            counts, digests, blobs, starts, minis = [], [], [], [], []
             for text in b.column(b.num_columns - 1):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()  # at the six ASCII white spaces
                 first, least = minimiser_runs(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), window, gram)
+                line = b" ".join(words)
                 counts.append(len(words))
-                blobs.append(pack(b" ".join(words)))
+                digests.append(xxhash.xxh3_128_digest(line) if len(first) else None)
+                blobs.append(pack(line))
                 starts.append(first)
                 minis.append(least.view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), _lists(starts, np.int32), _lists(minis, np.int64)], schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()), _lists(starts, np.int32), _lists(minis, np.int64)], schema.names)
 
     return materialise(source.mapInArrow(run, schema), "split-words")
 
 
-def _senders(parts: DataFrame, large: int) -> tuple[DataFrame, bool]:
+def _distinct_documents(parts: DataFrame) -> DataFrame:
+    """Written: of the documents of equal words one uid, their number n, and their minimisers."""
+    return materialise(parts.where("doc is not null").groupBy("doc").agg(F.min("uid").alias("uid"), F.count("*").alias("n"), F.first("minis").alias("minis")), "distinct-documents")
+
+
+def _senders(parts: DataFrame, distinct: DataFrame, large: int) -> tuple[DataFrame, bool]:
     """Written: the documents with a minimiser that occurs again, ``picks`` (the runs in question) and ``often`` (of each, if
     its minimiser has more than ``large`` strings); and whether there is any such."""
-    minis = parts.select("uid", F.posexplode("minis").alias("run", "mini"))
+    minis = distinct.select("uid", F.posexplode("minis").alias("run", "mini"))
     again = materialise(minis.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1").select("mini", (F.col("c") > large).alias("often")), "repeated-minimisers")
     picks = minis.join(again, "mini").groupBy("uid").agg(F.collect_list(F.struct("run", "often")).alias("picks"))
     some = parts.select("uid", "n_words", "words", "starts", "minis").join(picks, "uid")
@@ -125,7 +136,7 @@ def _strings(senders: DataFrame, window: int, often: bool, packed: bool = True)
                         column.append(v)
             uid, start, mini, sid, words = out
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), pa.array(start, pa.int32()), pa.array(mini, pa.int64()), pa.array([often] * len(uid), pa.bool_()), pa.array(sid, pa.binary()), pa.array([1] * len(uid), pa.int64()), pa.array(words, pa.binary())],
+                [pa.array(uid, pa.int64()), pa.array(start, pa.int32()), pa.array(mini, pa.int64()), pa.array(sid, pa.binary()), pa.array(words, pa.binary())],
                 [x.split()[0] for x in STRINGS.split(", ")],
             )
 
@@ -139,34 +150,38 @@ def _cut(line: bytes, window: int) -> list[bytes]:
     return [line[begins[j] : ends[j + window - 1]] for j in range(len(begins) - window + 1)]
 
 
-def repeated_in_bucket(rows: list[tuple[int, bytes]], window: int = WINDOW) -> list[list[int]]:
-    """Of each string (times it occurs, words) of one minimiser, the windows that occur again: by sorting them as text."""
-    if len(rows) == 1 and rows[0][0] == 1:
-        return [[]]
-    found: list[list[int]] = [[] for _ in rows]
-    windows = sorted((w, i, j) for i, (_, line) in enumerate(rows) for j, w in enumerate(_cut(line, window)))
+def repeated_in_bucket(strings: dict[bytes, int], window: int = WINDOW) -> dict[bytes, list[int]]:
+    """Of distinct strings of one minimiser (and how often each occurs) the windows that occur again: by sorting them as text."""
+    found: dict[bytes, list[int]] = {}
+    if len(strings) == 1:
+        ((line, n),) = strings.items()
+        return {line: list(range(line.count(b" ") + 2 - window))} if n > 1 else {}
+    windows = sorted((w, line, j) for line in strings for j, w in enumerate(_cut(line, window)))
     at = 0
     while at < len(windows):
         stop = at + 1
         while stop < len(windows) and windows[stop][0] == windows[at][0]:
             stop += 1
-        if sum(rows[i][0] for _, i, _ in windows[at:stop]) > 1:
-            for _, i, j in windows[at:stop]:
-                found[i].append(j)
+        if stop > at + 1 or strings[windows[at][1]] > 1:
+            for _, line, j in windows[at:stop]:
+                found.setdefault(line, []).append(j)
         at = stop
     return found
 
 
 def _counted(strings: DataFrame, window: int) -> DataFrame:
     """uid, start, sid and ``hits`` (the windows that occur again) of strings, all those of a minimiser in one bucket."""
-    dealt = strings.select("mini", "uid", "start", "sid", "n", "packed").repartition("mini").sortWithinPartitions("mini")
+    dealt = strings.select("mini", "uid", "start", "sid", "n", "packed").repartition("mini").sortWithinPartitions("mini")  # a minimiser's strings arrive together
 
     def run(batches):
         held: list[tuple] = []
 
         def done():
-            hits = repeated_in_bucket([(r[4], r[5]) for r in held], window)
-            kept = [(r[1], r[2], r[3], h) for r, h in zip(held, hits, strict=True) if h]
+            times: dict[bytes, int] = {}
+            for r in held:
+                times[r[5]] = times.get(r[5], 0) + r[4]
+            hits = repeated_in_bucket(times, window)
+            kept = [(r[1], r[2], r[3], hits[r[5]]) for r in held if r[5] in hits]
             return list(zip(*kept, strict=True)) if kept else None
 
         def batch(parts):
@@ -201,20 +216,24 @@ def _alone(distinct: DataFrame, window: int) -> DataFrame:
     return windows.join(again, "w").groupBy("sid").agg(F.collect_list("j").alias("hits"))
 
 
-def repeated_windows(parts: DataFrame, window: int = WINDOW, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
-    """(uid, ``spans``: for each run with repeats its first window and which of its windows occur again) and the senders."""
-    senders, any_often = _senders(parts, large)
-    hits = _counted(_strings(senders, window, often=False), window).select("uid", "start", "hits")
+def repeated_windows(parts: DataFrame, window: int = WINDOW, large: int = LARGE) -> DataFrame:
+    """uid, ``whole`` (a copy of a whole document: all its windows are repeated) and otherwise ``spans``: for each run with
+    repeats its first window and which of its windows occur again."""
+    distinct = _distinct_documents(parts)
+    senders, any_often = _senders(parts, distinct, large)
+    one = F.lit(1).cast("long").alias("n")
+    hits = _counted(_strings(senders, window, often=False).withColumn("n", one), window).select("uid", "start", "hits")
     if any_often:
-        distinct = _strings(senders, window, often=True).groupBy("sid").agg(F.first("mini").alias("mini"), F.first("packed").alias("packed"), F.sum("n").alias("n"))
-        distinct = materialise(distinct, "distinct-strings")
-        sizes = distinct.groupBy("mini").agg(F.count("*").alias("c"))
-        sized = distinct.join(sizes, "mini")
+        strings = _strings(senders, window, often=True).groupBy("sid").agg(F.first("mini").alias("mini"), F.first("packed").alias("packed"), F.count("*").alias("n"))
+        strings = materialise(strings, "distinct-strings")
+        sized = strings.join(strings.groupBy("mini").agg(F.count("*").alias("c")), "mini")
         few = sized.where(F.col("c") <= large).select("mini", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("int").alias("start"), "sid", "n", "packed")
         of_strings = _counted(few, window).select("sid", "hits").unionByName(_alone(sized.where(F.col("c") > large), window))
         places = _strings(senders, window, often=True, packed=False).select("uid", "start", "sid")
         hits = hits.unionByName(places.join(of_strings, "sid").select("uid", "start", "hits"))
-    return hits.groupBy("uid").agg(F.collect_list(F.struct("start", "hits")).alias("spans")), senders
+    spans = hits.groupBy("uid").agg(F.collect_list(F.struct("start", "hits")).alias("spans"))
+    copies = parts.select("uid", "doc").join(distinct.where("n > 1").select("doc"), "doc").select("uid", F.lit(True).alias("whole"))
+    return copies.join(spans, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, gram: int = GRAM, large: int = LARGE) -> DataFrame:
@@ -223,8 +242,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
     ``docs`` has the columns ``keep`` and ``text``; windows are judged on the input, not on what is left.
     """
     parts = split(docs, keep, window, gram)
-    spans, _ = repeated_windows(parts, window, large)
-    source = parts.drop("starts", "minis").join(spans, "uid", "left").select(*[f"k_{c}" for c in keep], "n_words", "words", "spans")
+    source = parts.drop("starts", "minis", "doc").join(repeated_windows(parts, window, large), "uid", "left").select(*[f"k_{c}" for c in keep], "n_words", "words", "whole", "spans")
     schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     k = len(keep)
 
@@ -232,8 +250,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             removed, kept = [], []
-            for n, blob, spans in zip(*(b.column(k + i).to_pylist() for i in range(3)), strict=True):
-                line, gone = unpack(blob), 0
+            for n, blob, whole, spans in zip(*(b.column(k + i).to_pylist() for i in range(4)), strict=True):
+                line, gone = (b"", n) if whole else (unpack(blob), 0)
                 if spans:
                     edges = np.zeros(n + 1, np.int64)
                     for s in spans:
