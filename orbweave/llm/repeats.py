@@ -11,9 +11,10 @@ Copies of whole documents are told by a digest of their words (128 bits), pre-ag
 are repeated, and one of the copies stands for it towards the others.
 
 Skew: a minimiser of more than ``LARGE`` strings (copies of one text, a line on every page) isn't gathered. Its strings
-are first made distinct by digest, pre-aggregated before the shuffle, and join back to their places; if even
-the distinct ones are more than ``LARGE``, each of their windows goes alone, by digest, to a pre-aggregated count. So a
-bucket holds at most ``LARGE`` strings in one task, of whatever table.
+are first made distinct by digest, in each batch of documents and again before the shuffle; what is found out about a
+string goes back to a batch as one row, whatever the number of its documents that hold it. If even the distinct strings
+are more than ``LARGE``, each of their windows goes alone, by digest, to a pre-aggregated count. So a bucket holds at most
+``LARGE`` strings in one task, of whatever table.
 
 Lineage: the split words and the documents that send strings are written once each to the shared folder, which also keeps
 the numbers of rows the same for all later reads.
@@ -38,11 +39,13 @@ from orbweave.storage import materialise
 
 WINDOW = 35
 GRAM = 8
-LARGE = 4_000  # strings of one minimiser that a task holds at most
+LARGE = 500  # strings of one minimiser that a task holds at most
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("hits", pa.list_(pa.int32()))]))
 BLOCK = 65_536  # windows whose minimisers are looked for at once
 MEMO = 500_000  # hashes of words that a worker remembers
 
-STRINGS = "uid long, start int, mini long, sid binary, packed binary"
+STRINGS = "uid long, start int, mini long, sid binary, n long, packed binary"
+OFTEN = "batch long, mini long, sid binary, n long, packed binary, uids array<long>, starts array<int>"
 
 
 class _Hashes(dict):
@@ -115,32 +118,75 @@ def _senders(parts: DataFrame, distinct: DataFrame, large: int) -> tuple[DataFra
     return materialise(some, "senders"), not again.where("often").isEmpty()
 
 
-def _strings(senders: DataFrame, window: int, often: bool, packed: bool = True) -> DataFrame:
-    """A row per picked run: where it begins, its minimiser, the digest of its words and, if ``packed``, the words."""
-    source = senders.select("uid", "n_words", "words", "starts", "minis", F.filter("picks", lambda p: p["often"] == F.lit(often))["run"].alias("runs"))
+def _picked(batch, window: int):
+    """uid, first window, minimiser and packed words of the picked runs of a batch of senders."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for uid, n, blob, starts, minis, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if not runs:
+            continue
+        line = unpack(blob)
+        ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        begins, ends = np.r_[0, ends + 1], np.r_[ends, len(line)]
+        stops = [*starts[1:], n - window + 1]
+        for k in runs:
+            yield uid, starts[k], minis[k], line[begins[starts[k]] : ends[stops[k] + window - 2]]
+
+
+def _runs_of(senders: DataFrame, often: bool) -> DataFrame:
+    return senders.select("uid", "n_words", "words", "starts", "minis", F.filter("picks", lambda p: p["often"] == F.lit(often))["run"].alias("runs"))
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "spans": SPANS}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
+def _strings(senders: DataFrame, window: int) -> DataFrame:
+    """A row per picked run of a minimiser with few strings."""
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for uid, n, blob, starts, minis, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not runs:
-                    continue
-                line = unpack(blob)
-                ends = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-                begins, ends = np.r_[0, ends + 1], np.r_[ends, len(line)]
-                stops = [*starts[1:], n - window + 1]
-                for k in runs:
-                    words = line[begins[starts[k]] : ends[stops[k] + window - 2]]
-                    for column, v in zip(out, (uid, starts[k], minis[k], xxhash.xxh3_128_digest(words), words if packed else None), strict=True):
-                        column.append(v)
-            uid, start, mini, sid, words = out
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid, pa.int64()), pa.array(start, pa.int32()), pa.array(mini, pa.int64()), pa.array(sid, pa.binary()), pa.array(words, pa.binary())],
-                [x.split()[0] for x in STRINGS.split(", ")],
-            )
-
-    return source.mapInArrow(run, STRINGS)
+            yield _batch([(uid, start, mini, None, 1, words) for uid, start, mini, words in _picked(b, window)], STRINGS)
+
+    return _runs_of(senders, False).mapInArrow(run, STRINGS)
+
+
+def _strings_of_batches(senders: DataFrame, window: int) -> DataFrame:
+    """A row per distinct string of a minimiser with many and batch of documents (named by a uid of its own), with the places
+    that hold it."""
+
+    def run(batches):
+        for b in batches:
+            held: dict[bytes, tuple[int, bytes, list, list]] = {}
+            for uid, start, mini, words in _picked(b, window):
+                _, _, uids, starts = held.setdefault(xxhash.xxh3_128_digest(words), (mini, words, [], []))
+                uids.append(uid)
+                starts.append(start)
+            yield _batch([(b.column(0)[0].as_py(), mini, sid, len(uids), words, uids, starts) for sid, (mini, words, uids, starts) in held.items()], OFTEN)
+
+    return _runs_of(senders, True).mapInArrow(run, OFTEN)
+
+
+def _back_to_documents(found: DataFrame) -> DataFrame:
+    """uid and spans from batch, hits, uids and starts: the rows of a batch meet in one task, documents are told apart there."""
+
+    def run(batches):
+        of, spans = None, {}
+        for b in batches:
+            rows = []
+            for batch, hits, uids, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if batch != of:
+                    rows += spans.items()
+                    of, spans = batch, {}
+                for uid, start in zip(uids, starts, strict=True):
+                    spans.setdefault(uid, []).append({"start": start, "hits": hits})
+            yield _batch(rows, "uid long, spans spans")
+        yield _batch(list(spans.items()), "uid long, spans spans")
+
+    dealt = found.select("batch", "hits", "uids", "starts").repartition("batch").sortWithinPartitions("batch")
+    return dealt.mapInArrow(run, "uid long, spans array<struct<start:int,hits:array<int>>>")
 
 
 def _cut(line: bytes, window: int) -> list[bytes]:
@@ -221,17 +267,16 @@ def repeated_windows(parts: DataFrame, window: int = WINDOW, large: int = LARGE)
     repeats its first window and which of its windows occur again."""
     distinct = _distinct_documents(parts)
     senders, any_often = _senders(parts, distinct, large)
-    one = F.lit(1).cast("long").alias("n")
-    hits = _counted(_strings(senders, window, often=False).withColumn("n", one), window).select("uid", "start", "hits")
+    spans = _counted(_strings(senders, window), window).groupBy("uid").agg(F.collect_list(F.struct("start", "hits")).alias("spans"))
     if any_often:
-        strings = _strings(senders, window, often=True).groupBy("sid").agg(F.first("mini").alias("mini"), F.first("packed").alias("packed"), F.count("*").alias("n"))
+        of_batches = _strings_of_batches(senders, window)
+        strings = of_batches.groupBy("sid").agg(F.first("mini").alias("mini"), F.first("packed").alias("packed"), F.sum("n").alias("n"))
         strings = materialise(strings, "distinct-strings")
         sized = strings.join(strings.groupBy("mini").agg(F.count("*").alias("c")), "mini")
         few = sized.where(F.col("c") <= large).select("mini", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("int").alias("start"), "sid", "n", "packed")
         of_strings = _counted(few, window).select("sid", "hits").unionByName(_alone(sized.where(F.col("c") > large), window))
-        places = _strings(senders, window, often=True, packed=False).select("uid", "start", "sid")
-        hits = hits.unionByName(places.join(of_strings, "sid").select("uid", "start", "hits"))
-    spans = hits.groupBy("uid").agg(F.collect_list(F.struct("start", "hits")).alias("spans"))
+        spans = spans.unionByName(_back_to_documents(of_batches.drop("packed").join(of_strings, "sid")))
+        spans = spans.groupBy("uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     copies = parts.select("uid", "doc").join(distinct.where("n > 1").select("doc"), "doc").select("uid", F.lit(True).alias("whole"))
     return copies.join(spans, "uid", "full").select("uid", F.coalesce("whole", F.lit(False)).alias("whole"), F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"))
 
