@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.storage import shared_path
 
 TARGET = "target_next"
 KEYS = ("relative_path", "bin_epoch")
 ROUNDS, DEPTH = 300, 6  # of boosted trees
 FOLDS = 4
+CHECKPOINT_EVERY = 10  # rounds of boosting, after which the lineage of the errors so far is cut
+AT_ONCE = 4  # fits that run side by side
 
 
 def persistence_forecast(frame: DataFrame) -> DataFrame:
@@ -75,9 +81,13 @@ def ols_fit(frame: DataFrame, features: list[str]) -> dict[str, float]:
     return {"": float(w[0] - w[1:] @ centre)} | dict(zip(features, w[1:].tolist(), strict=True))
 
 
+def ols_value(model: dict[str, float]) -> Column:
+    """What a least squares model says of a row."""
+    return sum([F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in model.items() if c], F.lit(model[""]))
+
+
 def ols_predict(frame: DataFrame, model: dict[str, float], name: str = "linear_regression") -> DataFrame:
-    terms = [F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in model.items() if c]
-    return frame.select(*KEYS, F.lit(name).alias("model_name"), F.col(TARGET).alias("y_true"), sum(terms, F.lit(model[""])).alias("y_pred"))
+    return frame.select(*KEYS, F.lit(name).alias("model_name"), F.col(TARGET).alias("y_true"), ols_value(model).alias("y_pred"))
 
 
 def single_feature_ols(frame: DataFrame, feature: str = "latency_mean_ms") -> DataFrame:
@@ -89,9 +99,36 @@ def _vector(features: list[str]):
 
 
 def boosted_fit(frame: DataFrame, features: list[str], rounds: int = ROUNDS, depth: int = DEPTH, rate: float = 0.05, seed: int = 42):
-    """Boosted trees on squared errors; every tree sees a share of the rows and features. Spark's trees have no L2 term."""
+    """Boosted trees on squared errors; every tree sees a share of the rows and features. Spark's trees have no L2 term.
+
+    Each round's errors rest on those of the round before, so every ``CHECKPOINT_EVERY`` rounds they are written to the
+    shared folder, and the files are removed as the fit ends.
+    """
+    context = frame.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_path(frame.sparkSession, "checkpoints"))
     data = frame.select(_vector(features), F.col(TARGET).cast("double").alias(TARGET))
-    return GBTRegressor(featuresCol="_features", labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed, checkpointInterval=-1, cacheNodeIds=True).fit(data)
+    return GBTRegressor(featuresCol="_features", labelCol=TARGET, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.85, featureSubsetStrategy="0.85", seed=seed, checkpointInterval=CHECKPOINT_EVERY).fit(data)
+
+
+def side_by_side(spark: SparkSession, calls: dict[str, Callable], most: int = AT_ONCE) -> dict:
+    """The results of independent fits, at most ``most`` at a time, each in a driver thread and a scheduler pool of its own.
+
+    The jobs of a fit leave most of a cluster idle between their small stages; with ``spark.scheduler.mode`` FAIR the pools
+    share it evenly, and with FIFO later fits take what earlier ones leave.
+    """
+
+    def run(name):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{name}")
+        try:
+            return calls[name]()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    if not calls:
+        return {}
+    with ThreadPoolExecutor(min(most, len(calls))) as threads:
+        return dict(zip(calls, threads.map(run, calls), strict=True))
 
 
 def with_boosted(frame: DataFrame, model, features: list[str], name: str) -> DataFrame:
@@ -110,12 +147,11 @@ def boosted_holdout(frame: DataFrame, features: list[str], folds: int = FOLDS, r
     thousands of sessions, leaving out one at a time would take as many fits. ``frame`` is best a written table.
     """
     group = F.pmod(F.xxhash64("relative_path"), F.lit(folds))
+    others = {k: frame.where(group != k) for k in range(folds)}
+    fitted = side_by_side(frame.sparkSession, {f"fold {k}": lambda k=k: (k, boosted_fit(others[k], features, rounds)) for k in others if not others[k].isEmpty()})
     out = None
-    for k in range(folds):
-        held, others = frame.where(group == k), frame.where(group != k)
-        if others.isEmpty():
-            continue
-        one = with_boosted(held, boosted_fit(others, features, rounds), features, "y_pred").select("relative_path", TARGET, "y_pred")
+    for k, model in fitted.values():
+        one = with_boosted(frame.where(group == k), model, features, "y_pred").select("relative_path", TARGET, "y_pred")
         out = one if out is None else out.union(one)
     return frame.select("relative_path", TARGET, F.lit(0.0).alias("y_pred")).limit(0) if out is None else out
 
