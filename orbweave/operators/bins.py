@@ -45,29 +45,14 @@ def sample_stride(n, sample_rows: int):
 
 
 def observation_sample(observations: DataFrame, sample_rows: int = 1000, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
-    """Every stride-th observation of each session, ``sample_rows`` at most. A session (a file) is the unit of order."""
+    """Every stride-th observation of each session, ``sample_rows`` at most.
+
+    Observations that know their ``place`` in the session and its size ``n`` (``logs.placed_replies``) are only filtered;
+    others are numbered by ``order`` first, a session being the unit of order.
+    """
     session = Window.partitionBy("relative_path")
-    placed = observations.withColumn("place", F.row_number().over(session.orderBy(*order)) - 1).withColumn("n", F.count("*").over(session))
+    known = {"place", "n"} <= set(observations.columns)
+    placed = observations if known else observations.withColumn("place", F.row_number().over(session.orderBy(*order)) - 1).withColumn("n", F.count("*").over(session))
     stride = sample_stride(F.col("n"), sample_rows)
     kept = placed.where((F.col("place") % stride == 0) & (F.floor(F.col("place") / stride) < sample_rows))
     return kept.drop("place", "n").withColumn("timestamp_utc", utc_iso(F.floor("epoch")))
-
-
-def file_summary(lines: DataFrame, matches: str, max_rows: int = 25) -> DataFrame:
-    """Per file of (path, line): whether any line matches, how many (``max_rows`` at most), and a note."""
-    hits = lines.groupBy("path").agg(F.least(F.count_if(F.trim("line").rlike(matches)), F.lit(max_rows)).cast("int").alias("row_sample_count"))
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    columns = F.array(*map(F.lit, ("epoch", "icmp_seq", "ttl", "latency_ms", "reply_ip")))
-    none = F.array().cast("array<string>")
-    is_log = suffix == ".txt"
-    found = is_log & (F.col("row_sample_count") > 0)
-    note = F.when(found, "ping log parsed").when(is_log, "text file did not match ping log pattern").when(suffix.isin(".json", ".jsonl", ".log"), "text-like file; schema sampling skipped").otherwise("non-tabular or unsupported extension")
-    return hits.select(
-        F.col("path").alias("relative_path"), F.when(suffix == "", "<no_ext>").otherwise(suffix).alias("suffix"), found.alias("sampled"), F.when(found, columns).otherwise(none).alias("columns"),
-        F.when(is_log, F.col("row_sample_count")).otherwise(0).cast("int").alias("row_sample_count"), note.alias("notes"),
-    )
-
-
-def csv_schema_sample(lines: DataFrame, separator: str = ",", max_rows: int = 25) -> DataFrame:
-    """Per delimited file of (path, line_no, line): the names in its first line and the number of further rows, capped."""
-    return lines.groupBy("path").agg(F.split(F.min_by("line", "line_no"), separator).alias("columns"), F.least(F.count("*") - 1, F.lit(max_rows)).alias("row_sample_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.storage import read_table
@@ -29,15 +29,58 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, line_no, line: each event as a reply line, and each document as one that is not."""
-    o = observations(spark, sf_dir)
-    line = F.concat(F.lit("  ["), F.format_string("%.6f", "epoch"), F.lit("] 64 bytes from 2605:59c8::"), (F.col("event_id") % 97).cast("string"), F.lit(": icmp_seq="), F.col("icmp_seq").cast("string"), F.lit(" ttl="), F.col("ttl").cast("string"), F.lit(" time="), F.format_string("%.3f", "latency_ms"), F.lit(" ms "))
-    replies = o.select(F.col("relative_path").alias("path"), (F.col("event_id") + 2).alias("line_no"), line.alias("line"))
+def _reply_line(number: Column) -> Column:
+    return F.concat(F.lit("  ["), F.format_string("%.6f", "epoch"), F.lit("] 64 bytes from 2605:59c8::"), (F.col("event_id") % 97).cast("string"), F.lit(": icmp_seq="), number.cast("string"), F.lit(" ttl="), F.col("ttl").cast("string"), F.lit(" time="), F.format_string("%.3f", "latency_ms"), F.lit(" ms "))
+
+
+def _logged(o: DataFrame, number: Column) -> DataFrame:
+    replies = o.select(F.col("relative_path").alias("path"), (F.col("event_id") + 2).alias("line_no"), _reply_line(number).alias("line"))
     heads = o.groupBy("relative_path").agg(F.min("location").alias("l"), F.min("target_hint").alias("t")).where("t is not null")
     head = lambda ip, no: heads.select(F.col("relative_path").alias("path"), F.lit(no).cast("long").alias("line_no"), F.concat(F.lit("PING "), "t", F.lit(f"({ip}) from 192.168.1.7 "), "l", F.lit(": 56 data bytes")).alias("line"))
+    return replies.union(head("100.64.0.1", 0)).union(head("100.64.0.2", 1))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line_no, line: each event as a reply line, and each document as one that is not."""
     noise = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("inside-out/noise/"), F.col("source"), F.lit("/x/note-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-    return replies.union(head("100.64.0.1", 0)).union(head("100.64.0.2", 1)).union(noise)
+    return _logged(observations(spark, sf_dir), F.col("icmp_seq")).union(noise)
+
+
+LAYOUT = ("family", "state", "location", "date", "name")  # of written logs: a folder for each part of a relative path
+
+
+def write_logs(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The events as a tree of logs below ``root``, one file in a folder of its own per session; icmp_seq is the event_id."""
+    parts = [F.split("path", "/")[i].alias(c) for i, c in enumerate(LAYOUT)]
+    lines = _logged(observations(spark, sf_dir), F.col("event_id")).select(*parts, "line_no", "line")
+    lines.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, "line_no").drop("line_no").write.partitionBy(*LAYOUT).text(root)
+    return root
+
+
+def inside(path: str = "path") -> Column:
+    """The relative path that a written log stands for."""
+    return F.regexp_replace(F.regexp_extract(path, r"(family=.*)/part-[^/]*$", 1), rf"\b({'|'.join(LAYOUT)})=", "")
+
+
+def stored(relative_path: str = "relative_path") -> Column:
+    """Where below the root the log of a relative path is written."""
+    parts = F.split(relative_path, "/")
+    return F.concat_ws("/", *[F.concat(F.lit(f"{c}="), parts[i]) for i, c in enumerate(LAYOUT)])
+
+
+def write_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """A tree of mixed files: logs, delimited files with awkward names and texts, notes, and files that aren't opened."""
+    write_logs(spark, sf_dir, f"{root}/logs")
+    orders, customers = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer")
+    rows = orders.select(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("key, time"), F.col("o_totalprice").alias('the "delay"'), F.concat(F.lit("first,\nsecond "), F.col("o_orderkey").cast("string")).alias("two\nlines"))
+    rows.repartition("name").write.partitionBy("name").csv(f"{root}/orders", header=True, quoteAll=True, escape='"')
+    rows = customers.select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("node"), F.col("c_name").alias("a, b"))
+    rows.repartition("name").write.partitionBy("name").option("extension", "tsv").csv(f"{root}/customers", header=True, sep="\t")
+    notes = read_table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("name"), F.col("text").alias("line"))
+    notes.repartition("name").write.partitionBy("name").text(f"{root}/notes")
+    read_table(spark, sf_dir, "nation").coalesce(1).write.json(f"{root}/nations")
+    read_table(spark, sf_dir, "region").coalesce(1).write.parquet(f"{root}/regions")
+    return root
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
