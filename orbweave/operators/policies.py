@@ -21,6 +21,7 @@ POLICIES = {
 WEIGHT_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
 PENALTY_GRID = (0.00, 0.10, 0.20, 0.25, 0.30)
 SWEEP = (0.0, 0.1, 0.2, 0.3, 0.5)
+WEIGHT, OTHER, PENALTY = 0.65, 0.35, 0.30
 SCRAMBLE = {"window": 100_000, "place": 7_919, "modulus": 104_729}
 WINDOW = ("session_bin_index",)
 
@@ -30,8 +31,8 @@ def candidate_frame(temporal: DataFrame, graph: DataFrame) -> DataFrame:
     return temporal.join(graph.select("relative_path", "bin_epoch", "pred_graph"), ["relative_path", "bin_epoch"])
 
 
-def add_scores(candidates: DataFrame) -> DataFrame:
-    return candidates.withColumns({"pred_simple_fusion": fusion(), "pred_consensus": consensus(), "pred_disagreement": disagreement()})
+def add_scores(candidates: DataFrame, weight: float = WEIGHT, other: float = OTHER, penalty: float = PENALTY) -> DataFrame:
+    return candidates.withColumns({"pred_simple_fusion": fusion(weight=weight, other=other), "pred_consensus": consensus(weight=weight, other=other, penalty=penalty), "pred_disagreement": disagreement()})
 
 
 def pseudo_random_score(candidates: DataFrame, window: tuple[str, ...] = WINDOW) -> DataFrame:
@@ -122,7 +123,7 @@ def consensus_tuning(candidates: DataFrame, weights: tuple[float, ...] = WEIGHT_
     return best.select(value(0).alias("temporal_weight"), value(1).alias("graph_weight"), value(2).alias("disagreement_penalty"), F.col("b.gap").alias("validation_gap_ms"))
 
 
-def penalty_sweep(candidates: DataFrame, penalties: tuple[float, ...] = SWEEP, weight: float = 0.65, other: float = 0.35, budget: float = BUDGET_MS, scenario: str = "stress_scenario") -> DataFrame:
+def penalty_sweep(candidates: DataFrame, penalties: tuple[float, ...] = SWEEP, weight: float = WEIGHT, other: float = OTHER, budget: float = BUDGET_MS, scenario: str = "stress_scenario") -> DataFrame:
     window = (scenario, "session_bin_index")
     chosen = _graded(candidates, [(weight, other, p) for p in penalties], window).join(hindsight_best(candidates, window), list(window))
     rows = chosen.select(

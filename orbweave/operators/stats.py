@@ -8,9 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from orbweave.operators.ranks import summed_before
+from orbweave.storage import materialise
 
 METRICS = ("realized_next_latency_ms", "regret_ms", "best_path_match", "success_under_budget")
+COMPARED = ("comparison_name", "metric_name")
 EXACT_UP_TO = 50
+PRIME = (1 << 31) - 1
 
 
 def forecast_metrics(predictions: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
@@ -19,9 +25,9 @@ def forecast_metrics(predictions: DataFrame, keys: tuple[str, ...] = ("model_nam
     return predictions.groupBy(*keys).agg(F.avg(error).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.when(truth > 1e-9, error / truth)).alias("mape"), F.count("*").alias("row_count"))
 
 
-def best_model(metrics: DataFrame, family: str = "family") -> DataFrame:
-    """The model of least MAE of each family, of equal ones the first by name."""
-    return metrics.groupBy(family).agg(F.min_by("model_name", F.struct("mae", "model_name")).alias("model_name"), F.min("mae").alias("mae"))
+def best_model(metrics: DataFrame, keys: tuple[str, ...] = ("family",)) -> DataFrame:
+    """The model of least MAE for each of ``keys``, of equal ones the first by name."""
+    return metrics.groupBy(*keys).agg(F.min_by("model_name", F.struct("mae", "model_name")).alias("model_name"), F.min("mae").alias("mae"))
 
 
 def paired_policies(decisions: DataFrame, comparisons: list[tuple[str, str, str]], metrics: tuple[str, ...] = METRICS[:2], window: tuple[str, ...] = ("session_bin_index",)) -> DataFrame:
@@ -34,26 +40,26 @@ def paired_policies(decisions: DataFrame, comparisons: list[tuple[str, str, str]
     return long.select("comparison_name", "metric_name", *window, (F.element_at("left", F.col("metric_name")) - F.element_at("right", F.col("metric_name"))).alias("delta"))
 
 
-def paired_deltas(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("comparison_name", "metric_name").agg(F.count("*").alias("sample_count"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"))
+def paired_deltas(deltas: DataFrame, keys: tuple[str, ...] = COMPARED) -> DataFrame:
+    return deltas.groupBy(*keys).agg(F.count("*").alias("sample_count"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"))
+
 
+def signed_ranks(deltas: DataFrame, keys: tuple[str, ...] = COMPARED, places: int = 9) -> DataFrame:
+    """Per comparison and metric: the signed-rank statistic, its normal score, and what decides how p is found.
 
-def signed_ranks(deltas: DataFrame, places: int = 9) -> DataFrame:
-    """Per comparison and metric: the signed-rank statistic, its normal score, and what decides how p is found."""
-    by = ("comparison_name", "metric_name")
+    Deltas are counted per size first, so ties are one row whatever their number; the rank of a size is its count's middle
+    after all lesser ones, by prefix sums over range partitions.
+    """
     d = deltas.withColumn("delta", F.round("delta", places))
-    size = F.abs("delta")
-    nonzero = d.where("delta <> 0").withColumn("size", size)
-    ties = F.count("*").over(Window.partitionBy(*by, "size"))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("size")) + (ties - 1) / 2.0
-    ranked = nonzero.withColumn("r", rank).withColumn("t", ties.cast("double"))
-    plus, minus = F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("r"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("delta") < 0, F.col("r"))), F.lit(0.0))
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("nonzero_count"), F.least(plus, minus).alias("statistic"), F.sum(F.col("t") * F.col("t") - 1).alias("tie_sum"))
-    every = d.groupBy(*by).agg(F.count("*").alias("sample_count"))
+    sizes = d.where("delta <> 0").groupBy(*keys, F.abs("delta").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("delta") > 0).alias("up"))
+    ranked = summed_before(sizes, ["size"], "t", keys)
+    rank, t = F.col("before") + (F.col("t") + 1) / 2.0, F.col("t").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum("t").alias("nonzero_count"), F.least(F.sum(F.col("up") * rank), F.sum((F.col("t") - F.col("up")) * rank)).alias("statistic"), F.sum(t * (t * t - 1)).alias("tie_sum"))
+    every = d.groupBy(*keys).agg(F.count("*").alias("sample_count"))
     n = F.coalesce("nonzero_count", F.lit(0)).cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.coalesce("tie_sum", F.lit(0.0)) / 48.0
     z = F.when(var > 0, (F.coalesce("statistic", F.lit(0.0)) - n * (n + 1) / 4.0) / F.sqrt(var)).otherwise(0.0)
-    return every.join(sums, list(by), "left").select(*by, "sample_count", F.coalesce("nonzero_count", F.lit(0)).cast("long").alias("nonzero_count"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), z.alias("z_score"), F.coalesce("tie_sum", F.lit(0.0)).alias("tie_sum"))
+    return every.join(sums, list(keys), "left").select(*keys, "sample_count", F.coalesce("nonzero_count", F.lit(0)).cast("long").alias("nonzero_count"), F.coalesce("statistic", F.lit(0.0)).alias("statistic"), z.alias("z_score"), F.coalesce("tie_sum", F.lit(0.0)).alias("tie_sum"))
 
 
 def signed_rank_p(n_all: int, n: int, statistic: float, z: float, tied: bool) -> float:
@@ -69,7 +75,7 @@ def signed_rank_p(n_all: int, n: int, statistic: float, z: float, tied: bool) ->
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def signed_rank_test(deltas: DataFrame) -> DataFrame:
+def signed_rank_test(deltas: DataFrame, keys: tuple[str, ...] = COMPARED) -> DataFrame:
     """``signed_ranks`` with ``p_value``, found by a small function on one row per comparison."""
 
     def run(batches):
@@ -78,15 +84,96 @@ def signed_rank_test(deltas: DataFrame) -> DataFrame:
             p = [signed_rank_p(r["sample_count"], r["nonzero_count"], r["statistic"], r["z_score"], r["tie_sum"] > 0) for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], [*b.schema.names, "p_value"])
 
-    ranks = signed_ranks(deltas)
+    ranks = signed_ranks(deltas, keys)
     return ranks.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in [*ranks.dtypes, ("p_value", "double")]))
 
 
+def significance(decisions: DataFrame, comparisons: list[tuple[str, str, str]], by: tuple[str, ...] = (), unit: str = "session_bin_index") -> DataFrame:
+    """Mean and median delta and the signed-rank test of every comparison and metric, in each of ``by`` (a scenario, say)."""
+    keys = (*by, *COMPARED)
+    deltas = materialise(paired_policies(decisions, comparisons, window=(*by, unit)), "deltas")
+    return paired_deltas(deltas, keys).join(signed_rank_test(deltas, keys).drop("sample_count"), list(keys))
+
+
+def poisson_cuts() -> list[float]:
+    """The cumulative probabilities of a Poisson variable of mean 1: a draw counts how many of them it reaches."""
+    total, term, out = 0.0, math.exp(-1), []
+    for k in range(1, 13):
+        total += term
+        out.append(total)
+        term /= k
+    return out
+
+
+def poisson_weights(a: np.ndarray, c: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each unit (rows, with hashes ``a`` and ``c``) counts in each round: Poisson(1) draws from a * round + c mod a prime."""
+    u = (a[:, None] * np.arange(1, rounds + 1)[None, :] + c[:, None]) % PRIME / PRIME
+    return np.searchsorted(poisson_cuts(), u, side="right")
+
+
 def bootstrap_intervals(decisions: DataFrame, metrics: tuple[str, ...] = METRICS, keys: tuple[str, ...] = ("policy_name",), unit: str = "session_bin_index", rounds: int = 2000, share: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile bootstrap of the mean over windows, as a relational job.
+    """Percentile bootstrap of the mean over units (windows), by weights: a unit counts Poisson(1) times in every round.
 
-    Round b draws n windows with replacement: draw i is the window of place hash(seed, b, i) mod n. Draws join the values
-    by (group, place), so no group is gathered; the same draws serve all metrics of a group.
+    The weight is a hash of unit and round, the same for all groups and metrics, so nothing is drawn or joined. Each task
+    folds its rows into one array of sums per group, and these are what is shuffled and folded again, one after another:
+    neither rows nor rounds multiply. A round in which nothing counts is left out; one unit gives (mean, mean).
+    """
+    names, m = [*keys, "a", "c", *metrics], len(metrics)
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(unit).cast("string")).cast("binary"))
+    number = lambda at: F.conv(F.substring(text, at, 8), 16, 10).cast("long") % PRIME
+    rows = decisions.select(*keys, number(1).alias("a"), number(9).alias("c"), *[F.col(x).cast("double").alias(x) for x in metrics])
+    types = [f"{k} {decisions.schema[k].dataType.simpleString()}" for k in keys]
+
+    def add(sums, key, part):
+        if key in sums:
+            sums[key] += part
+        else:
+            sums[key] = part
+
+    def fold(batches):  # per group: weighted sums by round and metric, weights by round, and at the end plain sums and the count
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys), strict=True)):
+                of.setdefault(key, []).append(i)
+            a, c, *x = (b.column(n).to_numpy(zero_copy_only=False) for n in names[len(keys) :])
+            x = np.column_stack([*x, np.ones(b.num_rows)])
+            for key, own in of.items():
+                for at in range(0, len(own), 1024):
+                    i = np.array(own[at : at + 1024])
+                    add(sums, key, np.concatenate([(poisson_weights(a[i], c[i], rounds).T @ x[i]).ravel(), x[i].sum(axis=0)]))
+        yield from batch(sums)
+
+    def batch(sums):
+        for key, s in sums.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(key, arrow, strict=True)], pa.array([s.tolist()], pa.list_(pa.float64()))], [*keys, "sums"])
+
+    def finish(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for *key, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                add(sums, tuple(key), np.array(s))
+        for key, s in sums.items():
+            table, plain = s[: -(m + 1)].reshape(rounds, m + 1), s[-(m + 1) :]
+            means = table[table[:, m] > 0]
+            low, high = (np.percentile(means[:, :m] / means[:, m:], q, axis=0) if len(means) else plain[:m] / plain[m] for q in ((1 - share) * 50, 100 - (1 - share) * 50))
+            columns = [[metrics[j], float(plain[j] / plain[m]), float(low[j]), float(high[j]), int(plain[m])] for j in range(m)]
+            if plain[m] == 1:
+                columns = [[n, v, v, v, k] for n, v, _, _, k in columns]
+            made = zip(*[[*key, *c] for c in columns], strict=True)
+            kinds = [*[f.type for f in arrow], pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds, strict=True)], [*keys, "metric_name", "mean_value", "ci_lower", "ci_upper", "sample_count"])
+
+    arrow = list(to_arrow_schema(rows.select(*keys).schema))
+    folded = rows.mapInArrow(fold, ", ".join([*types, "sums array<double>"])).repartition(*keys)
+    return folded.mapInArrow(finish, ", ".join([*types, "metric_name string, mean_value double, ci_lower double, ci_upper double, sample_count long"]))
+
+
+def resampled_intervals(decisions: DataFrame, metrics: tuple[str, ...] = METRICS, keys: tuple[str, ...] = ("policy_name",), unit: str = "session_bin_index", rounds: int = 2000, share: float = 0.95, seed: int = 42) -> DataFrame:
+    """Percentile bootstrap of the mean by drawing exactly n of n windows in every round; for few windows.
+
+    Draw i of round b is the window of place hash(seed, b, i) mod n. Draws join the values by (group, place): rows times
+    rounds are joined, where ``bootstrap_intervals`` joins nothing. The same draws serve all metrics of a group.
     """
     order = Window.partitionBy(*keys).orderBy(unit)
     n = F.count("*").over(Window.partitionBy(*keys))
@@ -111,7 +198,7 @@ def scenario_pivot(rows: DataFrame, index: str, column: str, values: list[str],
     return rows.groupBy(index).pivot(column, values).agg(F.first(measure))
 
 
-def interval_pivot(intervals: DataFrame, summary: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+def interval_pivot(intervals: DataFrame, summary: DataFrame, metrics: tuple[str, ...] = METRICS, keys: tuple[str, ...] = ("policy_name",)) -> DataFrame:
     """Intervals with a column per metric and end, joined to the policy summary."""
-    wide = intervals.groupBy("policy_name").pivot("metric_name", list(metrics)).agg(F.first("ci_lower").alias("ci_lower"), F.first("ci_upper").alias("ci_upper"))
-    return summary.join(wide, "policy_name", "left")
+    wide = intervals.groupBy(*keys).pivot("metric_name", list(metrics)).agg(F.first("ci_lower").alias("ci_lower"), F.first("ci_upper").alias("ci_upper"))
+    return summary.join(wide, list(keys), "left")

@@ -7,7 +7,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import feature_columns
@@ -16,23 +19,46 @@ from orbweave.sources import logs
 from orbweave.sources.bindings import META
 from orbweave.storage import materialise
 
+# fixed values: the scenarios and the compared policies
+SCENARIOS = ("base", "burst", "outage", "structural")
 COMPARISONS = [
+    ("graph_vs_reactive", "predictive_graph_greedy", "reactive_greedy"),
+    ("graph_vs_predictive_only", "predictive_graph_greedy", "predictive_greedy"),
+    ("fusion_vs_temporal", "predictive_simple_fusion_greedy", "predictive_greedy"),
+    ("fusion_vs_graph", "predictive_simple_fusion_greedy", "predictive_graph_greedy"),
+    ("consensus_vs_fusion", "predictive_consensus_greedy", "predictive_simple_fusion_greedy"),
     ("consensus_vs_temporal", "predictive_consensus_greedy", "predictive_greedy"),
     ("consensus_vs_graph", "predictive_consensus_greedy", "predictive_graph_greedy"),
-    ("consensus_vs_reactive", "predictive_consensus_greedy", "reactive_greedy"),
 ]
+ABLATION_POLICIES = {"predictive_temporal_only": "pred_temporal_only", "predictive_graph_only": "pred_graph_only", "predictive_graph_greedy": "pred_graph_full"}
+ABLATION_COMPARISONS = [
+    ("full_vs_temporal", "predictive_graph_greedy", "predictive_temporal_only"),
+    ("full_vs_graph_only", "predictive_graph_greedy", "predictive_graph_only"),
+]
+ABLATION_ROUNDS = 3000  # of the bootstrap
+KEY, WINDOW = ("stress_scenario",), ("stress_scenario", "session_bin_index")
+
+# learns from rows, and then adds what it says of other rows as a named column
+Expert = Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]]
+
 
+def build_tables(spark: SparkSession, root: str, bin_seconds: int = 60, sample_rows: int = 1000, manifest: DataFrame | None = None, max_files: int | None = None, glob: str = "ping-*.txt", inside: Column | None = None) -> dict[str, DataFrame]:
+    """Session summaries, a strided sample and time bins of all logs below ``root``, or of a manifest's, ``max_files`` at most.
 
-def build_tables(spark: SparkSession, root: str, bin_seconds: int = 60, sample_rows: int = 1000, manifest: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Session summaries, a strided sample and time bins of all logs below ``root``, or of a manifest's."""
-    inside = F.regexp_replace("path", rf"^.*?{root.rstrip('/').split('/')[-1]}/", "")
-    files = logs.file_listing(spark, root, "ping-*.txt").select(inside.alias("relative_path"), F.col("length").alias("file_size_bytes"))
-    lines = logs.read_log_lines(spark, root).withColumn("relative_path", inside).drop("path")
-    if manifest is not None:
+    Only the wanted files are scanned, and their replies parsed once. ``inside`` makes a relative path of ``path``.
+    """
+    inside = F.regexp_replace("path", rf"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "") if inside is None else inside
+    paths = logs.target_files(spark, root, manifest, max_files, glob)
+    source, names = (root, glob) if paths is None else (paths, "*")
+    if paths == []:
+        source, names = root, "nothing-wanted"
+    files = logs.file_listing(spark, source, names).select(inside.alias("relative_path"), F.col("length").alias("file_size_bytes"))
+    lines = logs.read_log_lines(spark, source, names).withColumn("relative_path", inside).drop("path")
+    if manifest is not None and paths is None:
         files, lines = inventory.manifest_restriction(files, manifest), inventory.manifest_restriction(lines, manifest)
     headers = logs.parse_headers(lines, "relative_path")
     sessions = logs.session_metadata(files, headers)
-    replies = logs.parse_replies(lines)
+    replies = logs.placed_replies(lines, "relative_path")
     named = replies.select("*", *logs.path_parts(), *logs.file_name_parts())
     return {
         "session_summary": bins.session_summary(sessions, replies, "line_no", sample_rows),
@@ -62,66 +88,139 @@ def temporal_columns(table: DataFrame) -> list[str]:
     return [c for c in feature_columns(table) if "peer" not in c and c not in ("location_degree", "target_degree", "snapshot_candidate_count")]
 
 
-def _scenario_table(time_bins: DataFrame, scenarios: tuple[str, ...]) -> DataFrame:
-    """The graph tables of several scenarios as one, keyed by ``stress_scenario``: features and peers are made once."""
-    keys, window = ("stress_scenario", "relative_path"), ("stress_scenario", "session_bin_index")
-    bins = stress.stress_scenarios(time_bins).where(F.col("stress_scenario").isin(*scenarios))
+def scenario_table(time_bins: DataFrame, scenarios: tuple[str, ...] = SCENARIOS) -> DataFrame:
+    """Written: the graph tables of several scenarios as one, keyed by ``stress_scenario``; ``time_bins`` has session_bin_index.
+
+    Burst and outage enter at the bins, so lags and targets are made of stressed bins. The structural shift enters behind
+    lags, targets and the split, on rows of the base scenario, and moves current values and targets only. Peers are made
+    last, of what each scenario's window then holds.
+    """
+    keys = ("stress_scenario", "relative_path")
+    at_bins = {"base": stress.base_scenario, "burst": stress.burst_stress, "outage": stress.outage_stress}
+    bins = None
+    for name in scenarios:
+        if name in at_bins:
+            one = at_bins[name](time_bins)
+            bins = one if bins is None else bins.unionByName(one)
     table = materialise(features.chronological_split(features.forecast_table(bins, keys=keys), keys=keys), "scenario-features")
-    return materialise(peers.snapshot_features(table, window), "scenarios")
+    if "structural" in scenarios:
+        base = table.where("stress_scenario = 'base'").drop("stress_scenario", "stress_applied")
+        table = materialise(table.unionByName(stress.structural_forecast_stress(base)), "shifted-features")
+    return materialise(peers.snapshot_features(table, WINDOW), "scenarios")
 
 
-def _scored_scenarios(time_bins: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
-    """Test rows of all scenarios with both experts' predictions, learnt from base bins: least squares on a session's own
-    features, boosted trees with its peers'."""
-    table = _scenario_table(time_bins, ("base", "burst", "outage", "structural"))
-    every, temporal = feature_columns(table), temporal_columns(table)
-    train = table.where("stress_scenario = 'base' and split <> 'test'")
-    own = models.ols_fit(train, temporal)
-    said = sum([F.lit(w) * F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, w in own.items() if c], F.lit(own[""]))
-    test = models.with_boosted(table.where("split = 'test'"), models.boosted_fit(train, every, rounds), every, "pred_graph")
-    return materialise(policies.add_scores(test.withColumn("pred_forecast", said)), "scored")
+def least_squares(columns: list[str]) -> Expert:
+    def learn(train: DataFrame):
+        model = models.ols_fit(train, columns)
+        return lambda rows, name: rows.withColumn(name, models.ols_value(model))
 
+    return learn
 
-def feature_ablation(time_bins: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
-    """Boosted trees on temporal, graph and all columns as three policies, by scenario (base, burst, outage); learnt from base bins."""
-    window = ("stress_scenario", "session_bin_index")
-    table = _scenario_table(time_bins, ("base", "burst", "outage"))
-    every, temporal = feature_columns(table), temporal_columns(table)
-    train, test = table.where("stress_scenario = 'base' and split <> 'test'"), table.where("split = 'test'")
-    lists = {"temporal": temporal, "graph": [c for c in every if c not in temporal], "all": every}
-    for name, columns in lists.items():
-        test = models.with_boosted(test, models.boosted_fit(train, columns, rounds), columns, f"pred_{name}")
-    scored = materialise(test, "scored")
-    decided = policies.policy_decisions(scored, {f"{n}_only": f"pred_{n}" for n in lists}, window=window)
-    return policies.policy_summary(decided, ("stress_scenario", "policy_name"))
+
+def boosted_trees(columns: list[str], rounds: int = models.ROUNDS) -> Expert:
+    def learn(train: DataFrame):
+        model = models.boosted_fit(train, columns, rounds)
+        return lambda rows, name: models.with_boosted(rows, model, columns, name)
+
+    return learn
+
+
+def one_column(column: str) -> Expert:
+    """An expert that has nothing to learn: it repeats a column."""
+    return lambda train: lambda rows, name: rows.withColumn(name, F.col(column).cast("double"))
 
 
-def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS, rounds: int = models.ROUNDS) -> dict[str, DataFrame]:
-    """Every policy under every scenario: errors, decisions, summaries by policy and by disagreement, tuning, sweep, tests, intervals.
+def default_experts(table: DataFrame, rounds: int = models.ROUNDS) -> dict[str, dict[str, Expert]]:
+    """Least squares on a session's own columns, boosted trees with its peers'."""
+    return {"temporal": {"linear_regression": least_squares(temporal_columns(table))}, "graph": {"boosted_trees": boosted_trees(feature_columns(table), rounds)}}
 
-    ``time_bins`` has session_bin_index.
+
+def _learnt(spark: SparkSession, calls: dict[str, tuple[Expert, DataFrame]]) -> dict[str, Callable]:
+    return models.side_by_side(spark, {name: lambda e=e, rows=rows: e(rows) for name, (e, rows) in calls.items()})
+
+
+def _judged(rows: DataFrame, experts: dict[str, dict[str, Expert]], learnt: dict[str, Callable], label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written rows with pred_forecast and pred_graph, each the best expert's of its family in the row's scenario; the errors
+    of all experts and of persistence; and the chosen experts, a row per scenario."""
+    said = {(family, name): f"said_{family}_{name}" for family, of in experts.items() for name in of}
+    for (family, name), column in said.items():
+        rows = learnt[f"{family} {name}"](rows, column)
+    rows = materialise(rows, f"{label}-said")
+    every = {("temporal", "persistence"): "latency_mean_ms"} | said
+    told = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(n).alias("model_name"), F.col(c).cast("double").alias("y_pred")) for (f, n), c in every.items()])
+    errors = stats.forecast_metrics(rows.select("stress_scenario", F.col("target_next").alias("y_true"), F.explode(told).alias("m")).select("stress_scenario", "y_true", "m.*"), (*KEY, "family", "model_name"))
+    errors = materialise(errors, f"{label}-errors")
+    best = stats.best_model(errors.where("model_name <> 'persistence'"), (*KEY, "family"))
+    of = lambda family: F.max(F.when(F.col("family") == family, F.col("model_name"))).alias(f"best_{family}_model")
+    chosen = best.groupBy(*KEY).agg(of("temporal"), of("graph"))  # a row per scenario
+    value = lambda family: F.coalesce(*[F.when(F.col(f"best_{family}_model") == n, F.col(c)) for (f, n), c in said.items() if f == family])
+    marked = rows.join(F.broadcast(chosen), list(KEY)).withColumns({"pred_forecast": value("temporal"), "pred_graph": value("graph")})
+    return materialise(marked.drop(*said.values(), "best_temporal_model", "best_graph_model"), label), errors, chosen
+
+
+def robustness_tables(time_bins: DataFrame, budget: float = policies.BUDGET_MS, rounds: int = models.ROUNDS, experts: dict[str, dict[str, Expert]] | None = None, table: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every policy under every scenario, by experts that learn from base bins alone.
+
+    First experts that have learnt from train rows speak of each scenario's validation rows, and the consensus weights are
+    tuned there. Then experts that have learnt from train and validation rows speak of the test rows, which are decided
+    with the tuned weights (of fusion, consensus and the penalty sweep). All fits of both phases run side by side.
+    ``time_bins`` has session_bin_index; ``table`` is its ``scenario_table``, where that is at hand.
     """
-    key, window = ("stress_scenario",), ("stress_scenario", "session_bin_index")
-    scored = _scored_scenarios(time_bins, rounds)
-    experts = F.array(*[F.struct(F.lit(n).alias("model_name"), F.col(c).alias("y_pred")) for n, c in (("persistence", "latency_mean_ms"), ("temporal", "pred_forecast"), ("graph", "pred_graph"))])
-    errors = scored.select("stress_scenario", F.col("target_next").alias("y_true"), F.explode(experts).alias("m")).select("stress_scenario", "y_true", "m.*")
-    decided = materialise(policies.policy_decisions(scored, budget=budget, window=window), "decisions")
-    context = policies.disagreement_bins(policies.window_context(scored, window), key)
-    in_context = policies.decision_context(decided, context, window)
-    base = decided.where("stress_scenario = 'base'")
+    table = scenario_table(time_bins) if table is None else table
+    experts = experts or default_experts(table, rounds)
+    base = table.where("stress_scenario = 'base'")
+    phases = {"val": base.where("split = 'train'"), "test": base.where("split <> 'test'")}
+    calls = {f"{on} {family} {name}": (e, rows) for on, rows in phases.items() for family, of in experts.items() for name, e in of.items()}
+    learnt = _learnt(table.sparkSession, calls)
+    of_phase = lambda on: {k.removeprefix(f"{on} "): v for k, v in learnt.items() if k.startswith(f"{on} ")}
+    validated, _, _ = _judged(table.where("split = 'val'"), experts, of_phase("val"), "validated")
+    tuning = materialise(policies.consensus_tuning(validated), "tuning")
+    best = tuning.first()
+    rows, errors, chosen = _judged(table.where("split = 'test'"), experts, of_phase("test"), "judged")
+    weight, other = (best.temporal_weight, best.graph_weight) if best.temporal_weight is not None else (policies.WEIGHT, policies.OTHER)
+    scored = materialise(policies.add_scores(rows, weight, other, policies.PENALTY if best.disagreement_penalty is None else best.disagreement_penalty), "scored")
+    decided = materialise(policies.policy_decisions(scored, budget=budget, window=WINDOW), "decisions")
+    context = policies.disagreement_bins(policies.window_context(scored, WINDOW), KEY)
+    rate = scored.groupBy(*KEY).agg(F.avg("stress_applied").alias("stress_applied_rate"))
+    named = chosen.join(rate, list(KEY), "left")  # a row per scenario
+    in_context = policies.decision_context(decided, context, WINDOW).join(F.broadcast(named), list(KEY), "left")
     return {
-        "metrics": stats.forecast_metrics(errors, ("stress_scenario", "model_name")),
+        "metrics": errors,
         "decisions": in_context,
-        "policy_summary": policies.policy_summary(decided, ("stress_scenario", "policy_name")),
-        "disagreement_summary": policies.disagreement_summary(in_context, ("stress_scenario", "disagreement_bin", "policy_name")),
-        "tuning": policies.consensus_tuning(scored),
-        "penalty_sweep": policies.penalty_sweep(scored, budget=budget),
-        "significance": stats.signed_rank_test(stats.paired_policies(base, COMPARISONS)),
-        "intervals": stats.bootstrap_intervals(base),
+        "window_context": context,
+        "policy_summary": policies.policy_summary(decided, (*KEY, "policy_name")).join(F.broadcast(chosen), list(KEY)),
+        "disagreement_summary": policies.disagreement_summary(in_context, (*KEY, "disagreement_bin", "policy_name")),
+        "tuning": tuning,
+        "penalty_sweep": policies.penalty_sweep(scored, weight=weight, other=other, budget=budget),
+        "significance": stats.significance(decided, COMPARISONS, KEY),
+        "intervals": stats.bootstrap_intervals(decided, keys=(*KEY, "policy_name")),
     }
 
 
 def robustness_evaluation(time_bins: DataFrame, budget: float = policies.BUDGET_MS, rounds: int = models.ROUNDS) -> DataFrame:
     """The summary by scenario and policy alone."""
-    window = ("stress_scenario", "session_bin_index")
-    return policies.policy_summary(policies.policy_decisions(_scored_scenarios(time_bins, rounds), budget=budget, window=window), ("stress_scenario", "policy_name"))
+    return robustness_tables(time_bins, budget, rounds)["policy_summary"]
+
+
+def ablation_tables(time_bins: DataFrame, rounds: int = models.ROUNDS, budget: float = policies.BUDGET_MS, experts: dict[str, Expert] | None = None) -> dict[str, DataFrame]:
+    """Temporal columns alone (least squares), peers' columns alone and all (boosted trees) as three policies, by scenario
+    (base, burst, outage), learnt from base bins: summaries with intervals, decisions, tests and intervals."""
+    table = scenario_table(time_bins, SCENARIOS[:3])
+    every, temporal = feature_columns(table), temporal_columns(table)
+    experts = experts or {"temporal_only": least_squares(temporal), "graph_only": boosted_trees([c for c in every if c not in temporal], rounds), "graph_full": boosted_trees(every, rounds)}
+    train, test = table.where("stress_scenario = 'base' and split <> 'test'"), table.where("split = 'test'")
+    for name, fitted in _learnt(table.sparkSession, {n: (e, train) for n, e in experts.items()}).items():
+        test = fitted(test, f"pred_{name}")
+    decided = materialise(policies.policy_decisions(materialise(test, "scored"), ABLATION_POLICIES, budget, WINDOW), "decisions")
+    keys = (*KEY, "policy_name")
+    intervals = materialise(stats.bootstrap_intervals(decided, keys=keys, rounds=ABLATION_ROUNDS), "intervals")
+    return {
+        "summary": stats.interval_pivot(intervals, policies.policy_summary(decided, keys), keys=keys),
+        "decisions": decided,
+        "significance": stats.significance(decided, ABLATION_COMPARISONS, KEY),
+        "intervals": intervals,
+    }
+
+
+def feature_ablation(time_bins: DataFrame, rounds: int = models.ROUNDS) -> DataFrame:
+    return ablation_tables(time_bins, rounds)["summary"]

@@ -18,7 +18,7 @@ from orbweave.operators import stats as S
 from orbweave.operators import stress as Z
 from orbweave.plans import jobs
 from orbweave.plans import sql as Q
-from orbweave.sources import bindings, logs
+from orbweave.sources import bindings, heads, logs
 from orbweave.storage import materialise, read_table, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def _rounded(columns: str, doubles: str, source: str, last: str) -> str:
+    return Q.query(f"SELECT {', '.join([*columns.split(), *[f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in doubles.split()]])} FROM ({source})", last)
+
+
 def day_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.time_bins(bindings.observations(spark, sf_dir), bindings.DAY)
 
@@ -100,16 +104,18 @@ def file_listing(spark, sf_dir):
     return logs.file_listing(spark, sf_dir, "*.parquet")
 
 
-@query(Q.query("SELECT u::VARCHAR AS session, count(*) AS line_count, min(event_id) AS first_event FROM o GROUP BY u", "o"))
+def _tables(spark: SparkSession, sf_dir: str, **options) -> dict[str, DataFrame]:
+    """The job's tables of the events, written as a tree of logs."""
+    root = bindings.write_logs(spark, sf_dir, shared_path(spark, "logs"))
+    return jobs.build_tables(spark, root, bindings.DAY, 20, glob="part-*", inside=bindings.inside(), **options)
+
+
+@query(Q.query("SELECT relative_path, row_number() OVER (PARTITION BY relative_path ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY relative_path) AS n, event_id AS icmp_seq, ttl, round(epoch, 6) + 0.0::DOUBLE AS epoch, round(latency_ms, 6) + 0.0::DOUBLE AS latency_ms FROM obs", "obs"))
 def read_ping_logs(spark, sf_dir):
-    """Events written as a tree of logs, one file per session, and read back line by line."""
-    root = shared_path(spark, "logs")
-    o = bindings.observations(spark, sf_dir)
-    line = F.concat_ws(" ", F.lit("event"), F.col("event_id").cast("string"))
-    session = F.regexp_extract("relative_path", r"-u0*(\d+)\.txt$", 1)
-    o.select(session.alias("session"), line.alias("line")).repartition("session").write.partitionBy("session").text(root)
-    lines = logs.read_log_lines(spark, root, "part-*").where("line <> ''")
-    return lines.groupBy(F.regexp_extract("path", r"session=(\d+)/", 1).alias("session")).agg(F.count("*").alias("line_count"), F.min(F.regexp_extract("line", r"(\d+)$", 1).cast("long")).alias("first_event"))
+    """Events written as a tree of logs, one file per session, and read back: every reply with its place in its file."""
+    root = bindings.write_logs(spark, sf_dir, shared_path(spark, "logs"))
+    lines = logs.read_log_lines(spark, root, "part-*").withColumn("relative_path", bindings.inside()).drop("path")
+    return logs.placed_replies(lines, "relative_path").select("relative_path", "place", "n", "icmp_seq", "ttl", "epoch", "latency_ms")
 
 
 BIN_DOUBLES = "latency_mean_ms latency_std_ms latency_min_ms latency_max_ms ttl_mean"
@@ -126,12 +132,25 @@ def load_time_bins(spark, sf_dir):
     return loaded.select("relative_path", "bin_epoch", "session_bin_index", F.dayofmonth("session_date").alias("session_day"), F.unix_timestamp("bin_start_utc").alias("bin_start"), "observed_replies", *BIN_DOUBLES.split())
 
 
-@query(Q.query("SELECT session_date, count(*) AS bin_count, sum(observed_replies)::BIGINT AS replies FROM bins GROUP BY session_date", "bins"))
+SAMPLED = "SELECT * FROM (SELECT *, CASE WHEN n > 20 THEN greatest(1, n // 20) ELSE 1 END AS stride FROM (SELECT *, row_number() OVER (PARTITION BY relative_path ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY relative_path) AS n FROM obs)) WHERE place % stride = 0 AND place // stride < 20"
+
+
+@query(Q.query(f"""SELECT 'time_bins' AS table_name, session_date, count(*) AS row_count, sum(observed_replies)::BIGINT AS total FROM bins GROUP BY session_date
+  UNION ALL SELECT 'session_summary', session_date, count(DISTINCT relative_path), count(*) FROM obs GROUP BY session_date UNION ALL SELECT 'observation_sample', session_date, count(*), sum(event_id)::BIGINT FROM ({SAMPLED}) GROUP BY session_date""", "bins"))
 def write_tables(spark, sf_dir):
-    """Bins written as Parquet, a folder per day, and read back."""
-    path = shared_path(spark, "bins")
-    day_bins(spark, sf_dir).repartition("session_date").write.partitionBy("session_date").parquet(path)
-    return spark.read.parquet(path).groupBy(F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("bin_count"), F.sum("observed_replies").alias("replies"))
+    """Bins, written as Parquet with a folder per day, and summaries and samples, written as CSV, all read back."""
+    out, tables = None, _tables(spark, sf_dir)
+    for name, total in (("time_bins", "observed_replies"), ("session_summary", "observation_count"), ("observation_sample", "icmp_seq")):
+        table, path = tables[name], shared_path(spark, name)
+        if name == "time_bins":
+            table.repartition("session_date").write.partitionBy("session_date").parquet(path)
+            back = spark.read.parquet(path)
+        else:
+            table.write.csv(path, header=True)
+            back = spark.read.schema(table.schema).csv(path, header=True)
+        one = back.groupBy(F.lit(name).alias("table_name"), F.col("session_date").cast("string").alias("session_date")).agg(F.count("*").alias("row_count"), F.sum(total).alias("total"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 MANIFEST = "relative_path, suffix, size_bytes, candidate_score, sampled, row_sample_count, measurement_family, path_state, location, session_date, window_duration"
@@ -233,19 +252,39 @@ def feature_list(spark, sf_dir):
 # --- inventory and selection
 
 
-@query(Q.query("SELECT path AS relative_path, suffix, sampled, row_sample_count FROM (SELECT relative_path AS path, '.txt' AS suffix, true AS sampled, least(count(*), 25)::INT AS row_sample_count FROM obs GROUP BY relative_path UNION ALL SELECT DISTINCT 'inside-out/noise/' || source || '/x/note-' || doc_id || '.txt', '.txt', false, 0 FROM documents)", "obs"))
+TREE = r"""
+  SELECT 'logs/family=inside-out/state=' || any_value(path_state) || '/location=' || any_value(location) || '/date=' || any_value(session_date) || '/name=' || list_last(string_split(relative_path, '/')) AS folder, '.txt' AS suffix, true AS sampled,
+    'epoch|icmp_seq|ttl|latency_ms|reply_ip' AS columns, least(count(*), 25)::INT AS row_sample_count, 'ping log parsed' AS notes FROM obs GROUP BY relative_path
+  UNION ALL SELECT 'orders/name=' || o_orderpriority, '.csv', true, 'key, time|the "delay"|two' || chr(10) || 'lines', least(count(*), 25)::INT, '' FROM orders GROUP BY o_orderpriority
+  UNION ALL SELECT 'customers/name=' || c_mktsegment, '.tsv', true, 'node|a, b', least(count(*), 25)::INT, '' FROM customer GROUP BY c_mktsegment
+  UNION ALL SELECT DISTINCT 'notes/name=' || coalesce(source, 'none'), '.txt', false, '', 0, 'text file did not match ping log pattern' FROM documents
+  UNION ALL SELECT 'nations', '.json', false, '', 0, 'text-like file; schema sampling skipped' UNION ALL SELECT 'regions', '.parquet', false, '', 0, 'non-tabular or unsupported extension'"""
+
+
+def _summarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = bindings.write_tree(spark, sf_dir, shared_path(spark, "tree"))
+    return heads.file_summary(spark, root).withColumn("relative_path", F.regexp_replace("relative_path", "/part-[^/]*$", ""))
+
+
+@query(Q.query(TREE, "obs"))
 def file_summary(spark, sf_dir):
-    return B.file_summary(bindings.log_lines(spark, sf_dir), logs.REPLY).select("relative_path", "suffix", "sampled", "row_sample_count")
+    """A written tree of logs, delimited files, notes and others, summarised by the heads of its files."""
+    return _summarised(spark, sf_dir).select(F.col("relative_path").alias("folder"), "suffix", "sampled", F.array_join("columns", "|").alias("columns"), "row_sample_count", "notes")
 
 
-@query(Q.query("SELECT 'sales-' || o_orderpriority || '.csv' AS path, 'orderkey|total' AS columns, least(count(*), 25) AS row_sample_count FROM orders GROUP BY o_orderpriority", "o"))
+@query(Q.query(f"SELECT folder, columns, row_sample_count FROM ({TREE}) WHERE suffix IN ('.csv', '.tsv')", "obs"))
 def csv_schema_sample(spark, sf_dir):
-    """Delimited files made from orders: a header line, then a line per order."""
-    orders = read_table(spark, sf_dir, "orders")
-    path = F.concat(F.lit("sales-"), "o_orderpriority", F.lit(".csv"))
-    rows = orders.select(path.alias("path"), (F.col("o_orderkey") + 1).cast("long").alias("line_no"), F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("line"))
-    heads = orders.select(path.alias("path"), F.lit(-1).cast("long").alias("line_no"), F.lit("orderkey,total").alias("line")).distinct()
-    return B.csv_schema_sample(rows.union(heads)).withColumn("columns", F.array_join("columns", "|"))
+    """Delimited files with separators, quotes and line ends in names and fields, written and read by their heads."""
+    root = bindings.write_tree(spark, sf_dir, shared_path(spark, "tree"))
+    found = heads.csv_schema_sample(spark, root)
+    return found.select(F.regexp_replace("relative_path", "/part-[^/]*$", "").alias("folder"), F.array_join("columns", "|").alias("columns"), "row_sample_count")
+
+
+@query(Q.query(f"""SELECT folder, (CASE WHEN suffix IN ('.csv', '.tsv') THEN 40 WHEN suffix = '.txt' THEN 35 ELSE 0 END + CASE WHEN regexp_matches(lower(columns), 'time|date|epoch') THEN 20 ELSE 0 END
+  + CASE WHEN regexp_matches(lower(columns), 'latency|delay|throughput|bandwidth|node|sat|link|gateway') THEN 20 ELSE 0 END + 10 + 5)::BIGINT AS candidate_score FROM ({TREE}) WHERE sampled""", "obs"))
+def scanned_candidates(spark, sf_dir):
+    """Candidate scores of files that were really looked at (their sizes are below the first step of the score)."""
+    return I.candidate_scores(_summarised(spark, sf_dir)).select(F.col("relative_path").alias("folder"), "candidate_score")
 
 
 @query(Q.query("SELECT suffix, count(*) AS file_count, sum(size_bytes)::BIGINT AS total_bytes FROM files GROUP BY suffix UNION ALL SELECT '*', count(*), coalesce(sum(size_bytes), 0)::BIGINT FROM files", "files"))
@@ -276,17 +315,28 @@ def round_robin_selection(spark, sf_dir):
 # --- aggregation
 
 
-@query(Q.query("SELECT relative_path, count(*) AS observation_count, round(arg_min(epoch, event_id), 6) + 0.0::DOUBLE AS epoch_start, round(arg_max(epoch, event_id), 6) + 0.0::DOUBLE AS epoch_end, round(avg(latency_ms), 6) + 0.0::DOUBLE AS latency_mean_ms, round(stddev_pop(latency_ms), 6) + 0.0::DOUBLE AS latency_std_ms, min(ttl) AS ttl_min, max(ttl) AS ttl_max, CASE WHEN count(*) > 20 THEN greatest(1, count(*) // 20) ELSE 1 END::BIGINT AS sample_stride FROM obs GROUP BY relative_path", "obs"))
+LINE = "'  [' || printf('%.6f', epoch) || '] 64 bytes from 2605:59c8::' || (event_id % 97) || ': icmp_seq=' || event_id || ' ttl=' || ttl || ' time=' || printf('%.3f', latency_ms) || ' ms '"
+ISO = "strftime(make_timestamp(floor({})::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%S')"
+SESSION_DOUBLES = "epoch_start epoch_end latency_mean_ms latency_std_ms latency_min_ms latency_max_ms ttl_mean"
+SESSION_OTHERS = "relative_path file_size_bytes observation_count ttl_min ttl_max sample_stride sampled_observation_count timestamp_start_utc timestamp_end_utc header_target header_target_ip header_source_ip interface measurement_family path_state location session_date"
+
+
+@query(_rounded(SESSION_OTHERS, SESSION_DOUBLES, f"""
+  SELECT *, least(ceil(observation_count / sample_stride), 20)::BIGINT AS sampled_observation_count, {ISO.format('epoch_start')} AS timestamp_start_utc, {ISO.format('epoch_end')} AS timestamp_end_utc,
+    coalesce(t, '') AS header_target, CASE WHEN t IS NULL THEN '' ELSE '100.64.0.1' END AS header_target_ip, CASE WHEN t IS NULL THEN '' ELSE '192.168.1.7' END AS header_source_ip, CASE WHEN t IS NULL THEN '' ELSE location END AS interface,
+    (bytes + CASE WHEN t IS NULL THEN 0 ELSE 2 * length('PING ' || t || '(100.64.0.1) from 192.168.1.7 ' || location || ': 56 data bytes.') END)::BIGINT AS file_size_bytes
+  FROM (SELECT relative_path, measurement_family, path_state, location, session_date, target_hint AS t, count(*) AS observation_count, sum(length({LINE}) + 1) AS bytes, arg_min(epoch, event_id) AS epoch_start, arg_max(epoch, event_id) AS epoch_end,
+      avg(latency_ms) AS latency_mean_ms, stddev_pop(latency_ms) AS latency_std_ms, min(latency_ms) AS latency_min_ms, max(latency_ms) AS latency_max_ms, avg(ttl) AS ttl_mean, min(ttl) AS ttl_min, max(ttl) AS ttl_max,
+      CASE WHEN count(*) > 20 THEN greatest(1, count(*) // 20) ELSE 1 END::BIGINT AS sample_stride FROM obs GROUP BY ALL)""", "obs"))
 def session_summary(spark, sf_dir):
-    o = bindings.observations(spark, sf_dir)
-    files = o.groupBy("relative_path").agg(F.lit(0).cast("long").alias("file_size_bytes"))
-    made = B.session_summary(files, o, "event_id", 20)
-    return made.select("relative_path", "observation_count", "epoch_start", "epoch_end", "latency_mean_ms", "latency_std_ms", "ttl_min", "ttl_max", "sample_stride")
+    """Written logs to a row per file: metadata, first header, size and statistics."""
+    return _tables(spark, sf_dir)["session_summary"].select(*SESSION_OTHERS.split(), *SESSION_DOUBLES.split())
 
 
-@query(Q.query("SELECT relative_path, event_id FROM (SELECT *, CASE WHEN n > 20 THEN greatest(1, n // 20) ELSE 1 END AS stride FROM (SELECT relative_path, event_id, row_number() OVER (PARTITION BY relative_path ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY relative_path) AS n FROM obs)) WHERE place % stride = 0 AND place // stride < 20", "obs"))
+@query(Q.query(f"SELECT relative_path, event_id FROM ({SAMPLED})", "obs"))
 def observation_sample(spark, sf_dir):
-    return B.observation_sample(bindings.observations(spark, sf_dir), 20, ("event_id",)).select("relative_path", "event_id")
+    """Written logs, sampled by each reply's place in its file; no line is shuffled."""
+    return _tables(spark, sf_dir)["observation_sample"].select("relative_path", F.col("icmp_seq").alias("event_id"))
 
 
 @query(Q.columns("bins", BIN_DOUBLES, BIN_OTHERS))
@@ -303,10 +353,6 @@ SUMMARY = "avg(realized_next_latency_ms) AS mean_realized_latency_ms, avg(regret
 SUMMARY_DOUBLES = "mean_realized_latency_ms mean_regret_ms best_path_match_rate success_rate_under_60ms"
 
 
-def _rounded(columns: str, doubles: str, source: str, last: str) -> str:
-    return Q.query(f"SELECT {', '.join([*columns.split(), *[f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in doubles.split()]])} FROM ({source})", last)
-
-
 @query(_rounded("disagreement_bin policy_name decision_count", f"{SUMMARY_DOUBLES} mean_chosen_disagreement", f"SELECT disagreement_bin, policy_name, count(*) AS decision_count, {SUMMARY}, avg(chosen_disagreement) AS mean_chosen_disagreement FROM decx GROUP BY ALL", "decx"))
 def disagreement_summary(spark, sf_dir):
     return D.disagreement_summary(_decided_in_context(spark, sf_dir))
@@ -324,7 +370,7 @@ def policy_summary(spark, sf_dir):
 
 @query(Q.query("SELECT family, arg_min(model_name, mae) AS model_name, round(min(mae), 6) + 0.0::DOUBLE AS mae FROM metrics GROUP BY family", "metrics"))
 def best_model(spark, sf_dir):
-    return S.best_model(S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name")))
+    return S.best_model(S.forecast_metrics(predictions(spark, sf_dir), ("family", "model_name")))  # by family
 
 
 @query(Q.query("SELECT family, " + ", ".join(f"round(max(mae) FILTER (WHERE model_name = '{m}'), 6) + 0.0::DOUBLE AS {m}" for m in ("persistence", "rolling_mean", "peer_mean")) + " FROM metrics GROUP BY family", "metrics"))
@@ -336,9 +382,27 @@ PLACED = f"SELECT policy_name, {', '.join(S.METRICS)}, row_number() OVER (PARTIT
 DRAWN = f"""
   SELECT d.policy_name, b, {', '.join(f'avg({m}) AS {m}' for m in S.METRICS)}
   FROM (SELECT policy_name, b, ('0x' || substr(md5('42|' || b || '|' || place), 1, 8))::BIGINT % n AS pick FROM placed, range(1, 2001) r(b)) d JOIN placed p ON p.policy_name = d.policy_name AND p.place = d.pick GROUP BY ALL"""
-ENDS = " UNION ALL ".join(f"SELECT policy_name, '{m}' AS metric_name, quantile_cont({m}, 0.025) AS ci_lower, quantile_cont({m}, 0.975) AS ci_upper FROM drawn GROUP BY 1" for m in S.METRICS)
-OWN = " UNION ALL ".join(f"SELECT policy_name, '{m}' AS metric_name, avg({m}) AS mean_value, count(*) AS sample_count FROM placed GROUP BY 1" for m in S.METRICS)
-INTERVALS = f"WITH placed AS ({PLACED}), drawn AS ({DRAWN}) SELECT * FROM ({OWN}) JOIN ({ENDS}) USING (policy_name, metric_name)"
+
+
+def _ends(keys: str) -> str:
+    """The percentiles of ``drawn`` and the means of ``placed``, a row per ``keys`` and metric."""
+    ends = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric_name, quantile_cont({m}, 0.025) AS ci_lower, quantile_cont({m}, 0.975) AS ci_upper FROM drawn GROUP BY ALL" for m in S.METRICS)
+    own = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric_name, avg({m}) AS mean_value, count(*) AS sample_count FROM placed GROUP BY ALL" for m in S.METRICS)
+    return f"SELECT * FROM ({own}) JOIN ({ends}) USING ({keys}, metric_name)"
+
+
+RESAMPLED = f"WITH placed AS ({PLACED}), drawn AS ({DRAWN}) {_ends('policy_name')}"
+
+
+def _weighted(keys: str, source: str, rounds: int = 2000) -> str:
+    """Intervals by Poisson weights: a unit's count in a round is how many cumulative probabilities its hash reaches."""
+    count = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in S.poisson_cuts())
+    hashed = ", ".join(f"('0x' || substr(md5('42|' || session_bin_index), {at}, 8))::BIGINT % {S.PRIME} AS {n}" for n, at in (("a", 1), ("c", 9)))
+    drawn = f"SELECT {keys}, b, {', '.join(f'sum(w * {m}) / sum(w) AS {m}' for m in S.METRICS)} FROM (SELECT *, {count} AS w FROM (SELECT *, ((a * b + c) % {S.PRIME}) / {S.PRIME}::DOUBLE AS u FROM (SELECT *, {hashed} FROM placed), range(1, {rounds + 1}) r(b))) GROUP BY ALL HAVING sum(w) > 0"
+    return f"WITH placed AS (SELECT * FROM {source}), drawn AS ({drawn}) {_ends(keys)}"
+
+
+INTERVALS = _weighted("policy_name", "dec")
 
 
 @query(_rounded("policy_name metric_name sample_count", "mean_value ci_lower ci_upper", INTERVALS, "dec"))
@@ -346,6 +410,11 @@ def bootstrap_intervals(spark, sf_dir):
     return S.bootstrap_intervals(materialise(decisions(spark, sf_dir), "decisions"))
 
 
+@query(_rounded("policy_name metric_name sample_count", "mean_value ci_lower ci_upper", RESAMPLED, "dec"))
+def resampled_intervals(spark, sf_dir):
+    return S.resampled_intervals(materialise(decisions(spark, sf_dir), "decisions"))
+
+
 WIDE = ", ".join(f"max(ci_{e}) FILTER (WHERE metric_name = '{m}') AS {m}_ci_{e}" for m in S.METRICS for e in ("lower", "upper"))
 WIDE_DOUBLES = " ".join(f"{m}_ci_{e}" for m in S.METRICS for e in ("lower", "upper"))
 
@@ -483,9 +552,10 @@ def paired_policies(spark, sf_dir):
 
 @query(Q.query("SELECT relative_path, bin_epoch, observed_replies FROM bins SEMI JOIN (SELECT DISTINCT relative_path FROM bins WHERE path_state = 'inactive' AND window_duration = '2h') USING (relative_path)", "bins"))
 def manifest_restriction(spark, sf_dir):
-    made = day_bins(spark, sf_dir)
-    manifest = made.where("path_state = 'inactive' and window_duration = '2h'").select("relative_path").distinct()
-    return I.manifest_restriction(made, manifest).select("relative_path", "bin_epoch", "observed_replies")
+    """Bins of the logs that a manifest names: its paths are all that is scanned."""
+    made = day_bins(spark, sf_dir).where("path_state = 'inactive' and window_duration = '2h'")
+    manifest = made.select(bindings.stored().alias("relative_path")).distinct()
+    return _tables(spark, sf_dir, manifest=manifest)["time_bins"].select("relative_path", "bin_epoch", "observed_replies")
 
 
 @query(Q.query("SELECT relative_path, bin_epoch, split, target_available FROM fc WHERE split IN ('train', 'val')", "fc"))
@@ -619,9 +689,6 @@ def ols_predict(spark, sf_dir):
     return M.ols_predict(table.where("split = 'test'"), M.ols_fit(table.where("split <> 'test'"), feature_columns(table)))
 
 
-FEW_ROUNDS = 30  # of the queries below that fit several models, or fit over all scenarios; README tells what 300 rounds cost
-
-
 @query()
 def boosted_predict(spark, sf_dir):
     """Boosted trees with peer context on test rows."""
@@ -637,7 +704,7 @@ def boosted_baseline(spark, sf_dir):
 
 def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = materialise(graph(spark, sf_dir), "graph-table")
-    return M.session_holdout(table, {"temporal": jobs.temporal_columns(table), "graph_context": feature_columns(table)}, boosted=("graph_context",), rounds=FEW_ROUNDS)
+    return M.session_holdout(table, {"temporal": jobs.temporal_columns(table), "graph_context": feature_columns(table)}, boosted=("graph_context",))
 
 
 @query()
@@ -652,12 +719,91 @@ def session_holdout_summary(spark, sf_dir):
 
 @query()
 def feature_ablation(spark, sf_dir):
-    return jobs.feature_ablation(indexed(spark, sf_dir), FEW_ROUNDS)
+    return jobs.feature_ablation(indexed(spark, sf_dir))
 
 
 @query(name="robustness_evaluation")
 def robustness(spark, sf_dir):
-    return jobs.robustness_evaluation(indexed(spark, sf_dir), rounds=FEW_ROUNDS)
+    return jobs.robustness_evaluation(indexed(spark, sf_dir))
+
+
+# --- the robustness job's tables, by experts that have nothing to learn, so that SQL can follow it whole
+
+
+FIXED = {family: {name: jobs.one_column(column) for name, column in of.items()} for family, of in Q.EXPERTS.items()}
+SCENARIO = "stress_scenario"
+
+
+def _job(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return jobs.robustness_tables(indexed(spark, sf_dir), experts=FIXED)[name]
+
+
+SCENARIO_DOUBLES = f"latency_mean_ms latency_std_ms latency_max_ms {LAGGED} {ROLLED} burst_indicator target_next {PEERS} state_peer_latency_mean target_peer_latency_std"
+SCENARIO_OTHERS = f"{SCENARIO} {KEY} session_bin_index split stress_applied observed_replies observed_replies_lag_1 snapshot_candidate_count location_degree target_degree"
+
+
+@query(Q.columns("s_graph", SCENARIO_DOUBLES, SCENARIO_OTHERS))
+def scenario_features(spark, sf_dir):
+    """The graph tables of all scenarios; the structural shift enters behind lags and targets and before peers."""
+    return jobs.scenario_table(indexed(spark, sf_dir)).select(*SCENARIO_OTHERS.split(), *SCENARIO_DOUBLES.split())
+
+
+@query(_rounded(f"{SCENARIO} family model_name row_count", "mae rmse mape", "SELECT * FROM s_metrics WHERE split = 'test'", "s_metrics"))
+def robustness_metrics(spark, sf_dir):
+    return _job(spark, sf_dir, "metrics")
+
+
+@query(Q.query("SELECT w AS temporal_weight, g AS graph_weight, p AS disagreement_penalty, round(gap, 6) + 0.0::DOUBLE AS validation_gap_ms FROM s_tuning", "s_tuning"))
+def robustness_tuning(spark, sf_dir):
+    return _job(spark, sf_dir, "tuning")
+
+
+CHOSEN = "best_temporal_model best_graph_model"
+
+
+@query(Q.columns("s_decx", f"{DECIDED} chosen_disagreement mean_candidate_disagreement max_candidate_disagreement stressed_candidate_fraction stress_applied_rate", f"{SCENARIO} {DECIDED_OTHERS} candidate_count disagreement_bin {CHOSEN}"))
+def robustness_decisions(spark, sf_dir):
+    made = _job(spark, sf_dir, "decisions")
+    return made.select(SCENARIO, *DECIDED_OTHERS.split(), "candidate_count", "disagreement_bin", *CHOSEN.split(), *DECIDED.split(), "chosen_disagreement", "mean_candidate_disagreement", "max_candidate_disagreement", "stressed_candidate_fraction", "stress_applied_rate")
+
+
+@query(Q.columns("s_terciles", "mean_candidate_disagreement max_candidate_disagreement stressed_candidate_fraction", f"{SCENARIO} session_bin_index candidate_count disagreement_bin"))
+def robustness_context(spark, sf_dir):
+    return _job(spark, sf_dir, "window_context")
+
+
+@query(_rounded(f"{SCENARIO} policy_name decision_count {CHOSEN}", SUMMARY_DOUBLES, f"SELECT stress_scenario, policy_name, count(*) AS decision_count, {SUMMARY}, any_value(best_temporal_model) AS best_temporal_model, any_value(best_graph_model) AS best_graph_model FROM s_decx GROUP BY ALL", "s_decx"))
+def robustness_summary(spark, sf_dir):
+    return _job(spark, sf_dir, "policy_summary")
+
+
+@query(_rounded(f"{SCENARIO} disagreement_bin policy_name decision_count", f"{SUMMARY_DOUBLES} mean_chosen_disagreement", f"SELECT stress_scenario, disagreement_bin, policy_name, count(*) AS decision_count, {SUMMARY}, avg(chosen_disagreement) AS mean_chosen_disagreement FROM s_decx GROUP BY ALL", "s_decx"))
+def robustness_disagreement(spark, sf_dir):
+    return _job(spark, sf_dir, "disagreement_summary")
+
+
+@query(_rounded(f"{SCENARIO} decision_count", f"disagreement_penalty {SUMMARY_DOUBLES}", """
+  SELECT stress_scenario, disagreement_penalty, count(*) AS decision_count, avg(target_next) AS mean_realized_latency_ms, avg(target_next - hindsight_best_latency_ms) AS mean_regret_ms, avg((relative_path = hindsight_path)::INT) AS best_path_match_rate, avg((target_next <= 60.0)::INT) AS success_rate_under_60ms
+  FROM (SELECT c.*, d AS disagreement_penalty, row_number() OVER (PARTITION BY d, stress_scenario, session_bin_index ORDER BY w * pred_forecast + g * pred_graph + d * abs(pred_graph - pred_forecast), relative_path, bin_epoch) AS r FROM s_cand c, s_tuning, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5])::DOUBLE AS d))
+  JOIN s_best USING (stress_scenario, session_bin_index) WHERE r = 1 GROUP BY ALL""", "s_best"))
+def robustness_sweep(spark, sf_dir):
+    return _job(spark, sf_dir, "penalty_sweep")
+
+
+S_RANKS = RANKS.replace("comparison_name, metric_name", "stress_scenario, comparison_name, metric_name").replace("FROM deltas", "FROM s_deltas")
+
+
+@query(_rounded(f"{SCENARIO} comparison_name metric_name sample_count nonzero_count", "mean_delta median_delta statistic", f"""
+  SELECT stress_scenario, comparison_name, metric_name, sample_count, coalesce(nz, 0) AS nonzero_count, mean_delta, median_delta, coalesce(w, 0)::DOUBLE AS statistic
+  FROM (SELECT stress_scenario, comparison_name, metric_name, count(*) AS sample_count, avg(delta) AS mean_delta, median(delta) AS median_delta FROM s_deltas GROUP BY ALL) LEFT JOIN ({S_RANKS}) USING (stress_scenario, comparison_name, metric_name)""", "s_deltas"))
+def robustness_significance(spark, sf_dir):
+    """Without p, which SQL cannot give."""
+    return _job(spark, sf_dir, "significance").select(SCENARIO, "comparison_name", "metric_name", "sample_count", "nonzero_count", "mean_delta", "median_delta", "statistic")
+
+
+@query(_rounded(f"{SCENARIO} policy_name metric_name sample_count", "mean_value ci_lower ci_upper", _weighted("stress_scenario, policy_name", "s_dec"), "s_dec"))
+def robustness_intervals(spark, sf_dir):
+    return _job(spark, sf_dir, "intervals")
 
 
 def queries() -> dict[str, Query]:

@@ -95,7 +95,9 @@ STEPS = {
     "decx": "SELECT dec.*, abs(pred_graph - pred_forecast) AS chosen_disagreement, candidate_count, mean_candidate_disagreement, max_candidate_disagreement, stressed_candidate_fraction, disagreement_bin FROM dec JOIN terciles USING (session_bin_index)",
     "deltas": """
   SELECT comparison_name, metric_name, l.session_bin_index, CASE metric_name WHEN 'regret_ms' THEN l.regret_ms - r.regret_ms ELSE l.realized_next_latency_ms - r.realized_next_latency_ms END AS delta
-  FROM (VALUES ('consensus_vs_temporal', 'predictive_consensus_greedy', 'predictive_greedy'), ('consensus_vs_graph', 'predictive_consensus_greedy', 'predictive_graph_greedy'), ('consensus_vs_reactive', 'predictive_consensus_greedy', 'reactive_greedy')) c(comparison_name, a, b)
+  FROM (VALUES ('graph_vs_reactive', 'predictive_graph_greedy', 'reactive_greedy'), ('graph_vs_predictive_only', 'predictive_graph_greedy', 'predictive_greedy'), ('fusion_vs_temporal', 'predictive_simple_fusion_greedy', 'predictive_greedy'),
+    ('fusion_vs_graph', 'predictive_simple_fusion_greedy', 'predictive_graph_greedy'), ('consensus_vs_fusion', 'predictive_consensus_greedy', 'predictive_simple_fusion_greedy'), ('consensus_vs_temporal', 'predictive_consensus_greedy', 'predictive_greedy'),
+    ('consensus_vs_graph', 'predictive_consensus_greedy', 'predictive_graph_greedy')) c(comparison_name, a, b)
   JOIN dec l ON l.policy_name = a JOIN dec r ON r.policy_name = b AND r.session_bin_index = l.session_bin_index, (VALUES ('realized_next_latency_ms'), ('regret_ms')) m(metric_name)""",
     "preds": """
   SELECT relative_path, bin_epoch, 'persistence' AS model_name, 'temporal' AS family, target_next AS y_true, latency_mean_ms AS y_pred FROM graph WHERE split = 'test'
@@ -151,6 +153,69 @@ STEPS = {
     "floc": "SELECT location FROM (SELECT location, row_number() OVER (ORDER BY U(44, location, 'location'), location) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT location FROM fc WHERE session_bin_index IN (FROM fwin))) WHERE r <= least(n, greatest(2, ceil(n * 0.35::DOUBLE)))",
 }
 
+# the steps from bins to peers again, with a scenario as a further key
+KEYED = ("idx", "lags", "ratios", "fc0", "fc", "wsum", "ssum", "tsum", "edges", "ldeg", "tdeg", "graph")
+
+
+def _keyed(text: str) -> str:
+    """A step with ``stress_scenario`` as a further key of its windows, groups and joins, on the keyed steps."""
+    text = text.replace("PARTITION BY relative_path", "PARTITION BY stress_scenario, relative_path").replace("SELECT session_bin_index", "SELECT stress_scenario, session_bin_index")
+    text = text.replace("DISTINCT session_bin_index", "DISTINCT stress_scenario, session_bin_index").replace("USING (session_bin_index)", "USING (stress_scenario, session_bin_index)")
+    text = re.sub(r"(\w)\.session_bin_index = fc\.session_bin_index", r"\1.stress_scenario = fc.stress_scenario AND \1.session_bin_index = fc.session_bin_index", text)
+    for name in KEYED:
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 s_{name}" + (" fc" if name == "fc" else ""), text)
+    return text
+
+
+STEPS["s_idx"] = "SELECT *, 0::INT AS stress_applied, 'base' AS stress_scenario FROM idx UNION ALL BY NAME SELECT * FROM burst UNION ALL BY NAME SELECT * FROM outage"
+for _name in ("lags", "ratios", "fc0"):
+    STEPS[f"s_{_name}"] = _keyed(STEPS[_name])
+STEPS["s_split"] = _keyed(STEPS["fc"])
+STEPS["s_fc"] = """
+  SELECT * EXCLUDE (hit, s) FROM s_split UNION ALL BY NAME
+  SELECT * EXCLUDE (hit, s) REPLACE (CASE WHEN hit THEN greatest(latency_max_ms, latency_mean_ms + s + 0.65 * s) ELSE latency_max_ms END AS latency_max_ms, CASE WHEN hit THEN latency_mean_ms + s ELSE latency_mean_ms END AS latency_mean_ms,
+    CASE WHEN hit THEN latency_std_ms + 0.6 * s ELSE latency_std_ms END AS latency_std_ms, CASE WHEN hit THEN greatest(1, floor(observed_replies * 0.8::DOUBLE))::BIGINT ELSE observed_replies END AS observed_replies,
+    CASE WHEN hit THEN target_next + 0.85 * s ELSE target_next END AS target_next, hit::INT AS stress_applied, 'structural' AS stress_scenario)
+  FROM (SELECT * EXCLUDE (hit, s), location IN (FROM floc) AND session_bin_index IN (FROM fwin) AS hit, (28.0 + 0.25 * latency_std_ms) * (0.90 + 0.25 * U(44, relative_path || '|' || bin_epoch, 'severity')) AS s FROM s_split WHERE stress_scenario = 'base')"""
+for _name in ("wsum", "ssum", "tsum", "edges", "ldeg", "tdeg", "graph"):
+    STEPS[f"s_{_name}"] = _keyed(STEPS[_name])
+# two experts of each family that have nothing to learn, the better of which speaks in its scenario
+EXPERTS = {"temporal": {"rolling_mean_3": "latency_mean_ms_roll_mean_3", "rolling_mean_5": "latency_mean_ms_roll_mean_5"}, "graph": {"peer_mean": "peer_latency_mean", "state_mean": "state_peer_latency_mean"}}
+_SAID = [("temporal", "persistence", "latency_mean_ms"), *[(f, n, c) for f, of in EXPERTS.items() for n, c in of.items()]]
+_BEST = {f: " ".join(f"WHEN '{n}' THEN {c}" for n, c in of.items()) for f, of in EXPERTS.items()}
+STEPS |= {
+    "s_said": " UNION ALL ".join(f"SELECT split, stress_scenario, '{f}' AS family, '{n}' AS model_name, target_next AS y_true, {c} AS y_pred FROM s_graph WHERE split <> 'train'" for f, n, c in _SAID),
+    "s_metrics": """
+  SELECT split, stress_scenario, family, model_name, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) ** 2)) AS rmse, avg(CASE WHEN abs(y_true) > 1e-9 THEN abs(y_true - y_pred) / abs(y_true) END) AS mape, count(*) AS row_count FROM s_said GROUP BY ALL""",
+    "s_chosen": """
+  SELECT split, stress_scenario, max(model_name) FILTER (WHERE family = 'temporal') AS best_temporal_model, max(model_name) FILTER (WHERE family = 'graph') AS best_graph_model
+  FROM (SELECT *, row_number() OVER (PARTITION BY split, stress_scenario, family ORDER BY mae, model_name) AS r FROM s_metrics WHERE model_name <> 'persistence') WHERE r = 1 GROUP BY ALL""",
+    "s_told": f"SELECT s_graph.*, CASE best_temporal_model {_BEST['temporal']} END AS pred_forecast, CASE best_graph_model {_BEST['graph']} END AS pred_graph FROM s_graph JOIN s_chosen USING (split, stress_scenario)",
+    "s_tuning": """
+  SELECT w, 1.0::DOUBLE - w AS g, p, gap FROM (
+    WITH points AS (SELECT w, p FROM (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8])::DOUBLE AS w), (SELECT unnest([0.0, 0.1, 0.2, 0.25, 0.3])::DOUBLE AS p)),
+    v AS (SELECT * FROM s_told WHERE split = 'val'),
+    h AS (SELECT w, p, stress_scenario, avg(target_next) AS hybrid FROM (SELECT *, row_number() OVER (PARTITION BY w, p, stress_scenario, session_bin_index ORDER BY w * pred_forecast + (1.0::DOUBLE - w) * pred_graph + p * abs(pred_graph - pred_forecast), relative_path, bin_epoch) AS r FROM v, points) WHERE r = 1 GROUP BY ALL),
+    one AS (SELECT stress_scenario, k, avg(target_next) AS one FROM (SELECT stress_scenario, 't' AS k, target_next, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY pred_forecast, relative_path, bin_epoch) AS r FROM v
+      UNION ALL SELECT stress_scenario, 'g', target_next, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY pred_graph, relative_path, bin_epoch) FROM v) WHERE r = 1 GROUP BY ALL)
+    SELECT w, p, avg(hybrid - single) AS gap FROM h JOIN (SELECT stress_scenario, min(one) AS single FROM one GROUP BY ALL) USING (stress_scenario) GROUP BY ALL) ORDER BY round(gap, 9), w, p LIMIT 1""",
+    "s_cand": """
+  SELECT c.*, w * pred_forecast + g * pred_graph AS pred_simple_fusion, w * pred_forecast + g * pred_graph + p * abs(pred_graph - pred_forecast) AS pred_consensus, abs(pred_graph - pred_forecast) AS pred_disagreement,
+    (session_bin_index * 100000 + (row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY relative_path, bin_epoch) - 1) * 7919) % 104729 AS random_score
+  FROM s_told c, s_tuning WHERE split = 'test'""",
+    "s_best": "SELECT stress_scenario, session_bin_index, relative_path AS hindsight_path, target_next AS hindsight_best_latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY stress_scenario, session_bin_index ORDER BY target_next, relative_path, bin_epoch) AS r FROM s_cand) WHERE r = 1",
+    "s_long": re.sub(r"\brand\b", "s_cand", STEPS["long"]),
+    "s_dec": re.sub(r"\b(best|long)\b", r"s_\1", STEPS["dec"].replace("policy_name, session_bin_index,", "policy_name, stress_scenario, session_bin_index,", 1).replace("PARTITION BY policy_name, session_bin_index", "PARTITION BY policy_name, stress_scenario, session_bin_index").replace("USING (session_bin_index)", "USING (stress_scenario, session_bin_index)")),
+    "s_terciles": """
+  SELECT * EXCLUDE (r, n), CASE WHEN 3 * r <= n - 1 THEN 'Low' WHEN 3 * r <= 2 * (n - 1) THEN 'Medium' ELSE 'High' END AS disagreement_bin
+  FROM (SELECT *, row_number() OVER (PARTITION BY stress_scenario ORDER BY max_candidate_disagreement, session_bin_index) - 1 AS r, count(*) OVER (PARTITION BY stress_scenario) AS n FROM (
+    SELECT stress_scenario, session_bin_index, count(*) AS candidate_count, avg(pred_disagreement) AS mean_candidate_disagreement, max(pred_disagreement) AS max_candidate_disagreement, avg(stress_applied) AS stressed_candidate_fraction FROM s_cand GROUP BY ALL))""",
+    "s_decx": """
+  SELECT s_dec.*, abs(pred_graph - pred_forecast) AS chosen_disagreement, candidate_count, mean_candidate_disagreement, max_candidate_disagreement, stressed_candidate_fraction, disagreement_bin, best_temporal_model, best_graph_model, stress_applied_rate
+  FROM s_dec JOIN s_terciles USING (stress_scenario, session_bin_index) JOIN (SELECT * FROM s_chosen WHERE split = 'test') USING (stress_scenario) JOIN (SELECT stress_scenario, avg(stress_applied) AS stress_applied_rate FROM s_cand GROUP BY ALL) USING (stress_scenario)""",
+    "s_deltas": STEPS["deltas"].replace("SELECT comparison_name, metric_name, l.session_bin_index", "SELECT l.stress_scenario, comparison_name, metric_name, l.session_bin_index").replace("JOIN dec l", "JOIN s_dec l").replace("JOIN dec r ON r.policy_name = b AND", "JOIN s_dec r ON r.policy_name = b AND r.stress_scenario = l.stress_scenario AND"),
+}
+
 
 def _draws(text: str) -> str:
     """U(seed, key, tag) written out: the first 32 bits of an MD5, over 2 to the 32nd."""

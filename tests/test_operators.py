@@ -12,7 +12,7 @@ from orbweave import storage
 from orbweave.functions.scalars import forecast_horizon, human_bytes, utc_iso
 from orbweave.operators import features, inventory, models, peers, policies, ranks, stats, stress
 from orbweave.plans import registry
-from orbweave.sources import logs
+from orbweave.sources import heads, logs
 
 
 def test_candidate_scores_and_sizes(spark):
@@ -235,3 +235,84 @@ def test_bootstrap_of_one_window_is_the_mean(spark):
     df = spark.createDataFrame([("p", 1, 3.5)], "policy_name string, session_bin_index long, regret_ms double")
     r = stats.bootstrap_intervals(df, ("regret_ms",), rounds=5).first()
     assert (r.mean_value, r.ci_lower, r.ci_upper, r.sample_count) == (3.5, 3.5, 3.5, 1)
+
+
+def test_poisson_weights_are_poisson():
+    rng = np.random.default_rng(0)
+    w = stats.poisson_weights(*rng.integers(0, stats.PRIME, (2, 2000)), 500)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - math.exp(-1)) < 0.005
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
+
+
+def test_bootstrap_by_weights_comes_near_resampling(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([("p", None if k % 9 == 0 else "s", k, rng.gauss(40, 10)) for k in range(300)], "policy_name string, scenario string, session_bin_index long, regret_ms double")
+    keys = ("policy_name", "scenario")
+    a = {r.scenario: r for r in stats.bootstrap_intervals(df.repartition(3), ("regret_ms",), keys).collect()}
+    b = {r.scenario: r for r in stats.resampled_intervals(df.where("scenario is not null"), ("regret_ms",), keys).collect()}
+    assert set(a) == {None, "s"} and a["s"].sample_count == b["s"].sample_count and math.isclose(a["s"].mean_value, b["s"].mean_value)
+    assert abs(a["s"].ci_lower - b["s"].ci_lower) < 0.3 and abs(a["s"].ci_upper - b["s"].ci_upper) < 0.3
+    one = {r.scenario: r for r in stats.bootstrap_intervals(df.coalesce(1), ("regret_ms",), keys).collect()}
+    assert all(math.isclose(one[k].ci_lower, a[k].ci_lower) for k in one)
+    assert stats.bootstrap_intervals(df.limit(0), ("regret_ms",), keys).collect() == []
+
+
+def test_bootstrap_shuffles_a_row_per_task_and_group(spark):
+    df = spark.range(5000).selectExpr("'p' policy_name", "id session_bin_index", "double(id % 7) regret_ms").repartition(3)
+    plan = stats.bootstrap_intervals(df, ("regret_ms",), rounds=50)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_ranks_of_ties_that_span_partitions(spark):
+    rng = random.Random(12)
+    rows = [(c, "m", rng.choice([-2.0, -1.0, 0.0, 1.0, 1.0, 2.0, 3.0]) if c == "hot" else rng.gauss(0, 1)) for c in ["hot"] * 400 + ["b"] * 40]
+    df = spark.createDataFrame(rows, "comparison_name string, metric_name string, delta double").repartition(7)
+    for r in stats.signed_ranks(df).collect():
+        x = np.array([d for c, _, d in rows if c == r.comparison_name and d])
+        size = np.abs(x.round(9))
+        rank = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+        ties = [(size == s).sum() for s in np.unique(size)]
+        assert math.isclose(r.statistic, min(rank[x > 0].sum(), rank[x < 0].sum())) and r.nonzero_count == len(x)
+        assert r.tie_sum == sum(t**3 - t for t in ties)
+
+
+FILES_ON_DISK = {
+    "logs/ping-a.txt": b"PING t(1.2.3.4) from 5.6.7.8 eth0: 56\n\xff\n" + b"[1.5] 64 bytes from x: icmp_seq=1 ttl=9 time=2.0 ms\n" * 40,
+    "logs/note.TXT": b"nothing here\n", "logs/empty.txt": b"", "t/good.csv": b'\xef\xbb\xbf"a, b","c""d","line\nbreak",a,a,\r\n1,2,3,4,5,6\r\n\r\n"x\ny",2,3\n', "t/tabs.TSV": b"p\tq\n" + b"1\t2\n" * 30,
+    "t/wide row.csv": b"a,b\n1,2\n1,2,3\n", "t/open.csv": b'a,b\n1,"never\nclosed\n', "t/bytes.csv": b"a,b\n\xff\xfe,1\n", "t/none.csv": b"", "t/blank.csv": b"\n\n", "t/head.csv": b"only,names\n", "x/data.json": b"{}", "x/run.log": b"x", "x/noext": b"x", "x/y.parquet": b"x",
+}
+
+
+def test_heads_of_mixed_files(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, data in FILES_ON_DISK.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    rows = {r.relative_path: r for r in heads.file_summary(spark, str(root)).collect()}
+    assert set(rows) == set(FILES_ON_DISK) and all(rows[n].size_bytes == len(d) for n, d in FILES_ON_DISK.items())
+    told = {n: (r.suffix, r.sampled, r.columns, r.row_sample_count, r.notes) for n, r in rows.items()}
+    assert told["logs/ping-a.txt"] == (".txt", True, ["epoch", "icmp_seq", "ttl", "latency_ms", "reply_ip"], 25, "ping log parsed")
+    assert told["logs/note.TXT"] == told["logs/empty.txt"] == (".txt", False, [], 0, "text file did not match ping log pattern")
+    assert told["t/good.csv"] == (".csv", True, ["a, b", 'c"d', "line\nbreak", "a", "a.1", "Unnamed: 5"], 2, "")
+    assert told["t/tabs.TSV"] == (".tsv", True, ["p", "q"], 25, "") and told["t/head.csv"] == (".csv", True, ["only", "names"], 0, "")
+    for name in ("wide row", "open", "bytes", "none", "blank"):
+        suffix, sampled, columns, n, note = told[f"t/{name}.csv"]
+        assert (suffix, sampled, columns, n) == (".csv", False, [], 0) and note.startswith("tabular sample failed: "), name
+    assert "row 2 has 3 fields" in told["t/wide row.csv"][4]
+    assert [told[f"x/{n}"][0] for n in ("data.json", "run.log", "noext", "y.parquet")] == [".json", ".log", "<no_ext>", ".parquet"]
+    assert told["x/run.log"][4].startswith("text-like") and told["x/noext"][4].startswith("non-tabular")
+    assert {r.relative_path for r in heads.csv_schema_sample(spark, str(root)).collect()} == {"t/good.csv", "t/tabs.TSV", "t/head.csv"}
+    scores = {r.relative_path: r.candidate_score for r in inventory.candidate_scores(heads.file_summary(spark, str(root))).collect()}
+    assert scores["logs/ping-a.txt"] == 35 + 20 + 20 + 10 + 5 and scores["t/none.csv"] == 40 + 5
+
+
+def test_large_files_are_read_at_their_heads_only(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("a,b\n" + "1,2\n" * 400_000)
+    (tmp_path / "small.csv").write_text("c\n1\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+        rows = {r.relative_path: (r.columns, r.row_sample_count) for r in heads.file_summary(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert rows == {"big.csv": (["a", "b"], 25), "small.csv": (["c"], 1)}

@@ -3,12 +3,14 @@
 import itertools
 import math
 import os
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import feature_columns
-from orbweave.operators import models, policies
+from orbweave.operators import models, peers, policies, stress
 from orbweave.plans import jobs, registry
 
 ROUNDS = 3
@@ -86,25 +88,95 @@ def _summary(rows, column, window):
     return order.target_next.mean(), (order.target_next - best.target_next).mean(), (order.relative_path == best.relative_path).mean()
 
 
-def test_policies_under_stress(spark, sf_dir):
+def _planted(spark):
+    """Windows of four candidates whose truth leans on one expert in validation rows and on the other in test rows."""
+    rng, rows = random.Random(1), []
+    for scenario, window, path in itertools.product(("base", "burst"), range(120), range(4)):
+        split = ("train", "val", "test")[window % 3]
+        t, g = rng.uniform(20, 90), rng.uniform(20, 90)
+        truth = {"train": 50.0, "val": 0.5 * t + 0.5 * g, "test": 0.8 * t + 0.2 * g}[split]
+        rows.append((scenario, f"p{path}", "l", "active", split, window, window, t, t, g, 50.0, truth, 0))
+    columns = "stress_scenario string, relative_path string, location string, path_state string, split string, session_bin_index long, bin_epoch long, latency_mean_ms double, t double, g double, still double, target_next double, stress_applied int"
+    return spark.createDataFrame(rows, columns)
+
+
+def test_weights_are_tuned_on_validation_rows_and_used_on_test_rows(spark):
+    table = _planted(spark)
+    experts = {"temporal": {"t": jobs.one_column("t"), "still": jobs.one_column("still")}, "graph": {"g": jobs.one_column("g")}}
+    both = policies.add_scores(table.withColumns({"pred_forecast": F.col("t"), "pred_graph": F.col("g")}))
+    of = {split: policies.consensus_tuning(both.where(F.col("split") == split)).first() for split in ("val", "test")}
+    assert (of["val"].temporal_weight, of["val"].disagreement_penalty) == (0.5, 0.0) != (of["test"].temporal_weight, of["test"].disagreement_penalty)
+    made = jobs.robustness_tables(table.limit(0), experts=experts, table=table)
+    assert made["tuning"].first() == of["val"]
+    for r in made["decisions"].collect():
+        assert math.isclose(r.pred_simple_fusion, 0.5 * r.pred_forecast + 0.5 * r.pred_graph) and math.isclose(r.pred_consensus, r.pred_simple_fusion)
+    test = both.where("split = 'test'")
+    assert sorted(made["penalty_sweep"].collect()) == sorted(policies.penalty_sweep(test, weight=0.5, other=0.5).collect())
+    assert {(r.best_temporal_model, r.best_graph_model) for r in made["policy_summary"].collect()} == {("t", "g")}
+
+
+def test_the_better_expert_speaks_in_each_scenario(spark):
+    table = _planted(spark).withColumn("still", F.when(F.col("stress_scenario") == "burst", F.col("target_next") + 1).otherwise(F.col("still") + 500))
+    experts = {"temporal": {"t": jobs.one_column("t"), "still": jobs.one_column("still")}, "graph": {"g": jobs.one_column("g")}}
+    made = jobs.robustness_tables(table.limit(0), experts=experts, table=table)
+    assert {(r.stress_scenario, r.best_temporal_model) for r in made["policy_summary"].collect()} == {("base", "t"), ("burst", "still")}
+    assert {r.model_name for r in made["metrics"].collect()} == {"persistence", "t", "still", "g"}
+
+
+def test_structural_rows_are_the_shifted_forecast_table_with_its_peers(spark, sf_dir):
     bins = registry.indexed(spark, sf_dir)
-    scored = jobs._scored_scenarios(bins, ROUNDS)
-    rows = scored.toPandas()
-    window = ["stress_scenario", "session_bin_index"]
-    made = policies.policy_summary(policies.policy_decisions(scored, window=tuple(window)), ("stress_scenario", "policy_name")).collect()
-    assert {r.stress_scenario for r in made} == {"base", "burst", "outage", "structural"}
-    for r in made:
-        if r.policy_name != "random":
-            own = rows[rows.stress_scenario == r.stress_scenario]
-            got = (r.mean_realized_latency_ms, r.mean_regret_ms, r.best_path_match_rate)
-            assert np.allclose(got, _summary(own, policies.POLICIES[r.policy_name], window)), r
+    shifted = peers.snapshot_features(stress.structural_forecast_stress(registry.forecast(spark, sf_dir)))
+    made = jobs.scenario_table(bins).where("stress_scenario = 'structural'")
+    names = sorted(c for c in shifted.columns if c not in ("measurement_family", "window_start"))
+    rows = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).na.fill("").collect())
+    assert rows(made) == rows(shifted) and made.where("stress_applied = 1").count() > 0
+
+
+def test_policies_under_stress(spark, sf_dir):
+    made = jobs.robustness_tables(registry.indexed(spark, sf_dir), rounds=ROUNDS)
+    rows = made["decisions"].toPandas()
+    assert {r.stress_scenario for r in made["policy_summary"].collect()} == {"base", "burst", "outage", "structural"}
     assert rows.pred_graph.nunique() > 10 and not np.allclose(rows.pred_graph, rows.pred_forecast)
+    for r in made["policy_summary"].collect():
+        own = rows[(rows.stress_scenario == r.stress_scenario) & (rows.policy_name == r.policy_name)]
+        assert np.allclose((r.mean_realized_latency_ms, r.mean_regret_ms), (own.realized_next_latency_ms.mean(), own.regret_ms.mean()))
+        assert (r.best_temporal_model, r.best_graph_model) == ("linear_regression", "boosted_trees")
 
 
 def test_ablation_is_by_scenario_and_features(spark, sf_dir):
-    made = {(r.stress_scenario, r.policy_name): r for r in jobs.feature_ablation(registry.indexed(spark, sf_dir), ROUNDS).collect()}
-    assert set(made) == set(itertools.product(("base", "burst", "outage"), ("temporal_only", "graph_only", "all_only")))
-    assert all(r.mean_regret_ms >= 0 and 0 <= r.best_path_match_rate <= 1 for r in made.values())
+    made = jobs.ablation_tables(registry.indexed(spark, sf_dir), ROUNDS)
+    rows = {(r.stress_scenario, r.policy_name): r for r in made["summary"].collect()}
+    assert set(rows) == set(itertools.product(("base", "burst", "outage"), jobs.ABLATION_POLICIES))
+    assert all(r.mean_regret_ms >= 0 and 0 <= r.best_path_match_rate <= 1 and r.regret_ms_ci_lower <= r.mean_regret_ms + 1e-9 and r.mean_regret_ms <= r.regret_ms_ci_upper + 1e-9 for r in rows.values())
+    tests = made["significance"].collect()
+    assert len(tests) == 3 * 2 * 2 and {r.comparison_name for r in tests} == {"full_vs_temporal", "full_vs_graph_only"}
+    # the temporal policy is least squares of base rows
+    table = jobs.scenario_table(registry.indexed(spark, sf_dir), ("base", "burst", "outage")).toPandas()
+    temporal = jobs.temporal_columns(jobs.scenario_table(registry.indexed(spark, sf_dir), ("base",)))
+    train, test = table[(table.stress_scenario == "base") & (table.split != "test")], table[table.split == "test"].copy()
+    test["said"] = _fitted(train, test, temporal)
+    for scenario, own in test.groupby("stress_scenario"):
+        got = rows[scenario, "predictive_temporal_only"]
+        assert np.allclose((got.mean_realized_latency_ms, got.mean_regret_ms, got.best_path_match_rate), _summary(own, "said", ["session_bin_index"]))
+
+
+def test_three_hundred_rounds_and_no_files_left(spark):
+    rng = random.Random(7)
+    rows = [(x := rng.random(), y := rng.random(), 10 * x + (5 if y > 0.5 else 0)) for _ in range(300)]
+    table = jobs.materialise(spark.createDataFrame(rows, "x double, y double, target_next double"), "rounds")
+    model = models.boosted_fit(table, ["x", "y"], models.ROUNDS, 2)
+    assert model.getNumTrees == 300
+    said = models.with_boosted(table, model, ["x", "y"], "p").toPandas()
+    assert np.abs(said.p - said.target_next).mean() < 0.3
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert not [f for _, _, files in os.walk(folder) for f in files if f.startswith("part-")]
+
+
+def test_side_by_side_keeps_names_and_errors(spark):
+    made = models.side_by_side(spark, {str(k): lambda k=k: spark.range(k).count() for k in range(6)})
+    assert made == {str(k): k for k in range(6)} and models.side_by_side(spark, {}) == {}
+    with pytest.raises(ZeroDivisionError):
+        models.side_by_side(spark, {"a": lambda: 1, "b": lambda: 1 // 0})
 
 
 def test_trees_learn(table, plain):
@@ -118,7 +190,7 @@ def test_trees_learn(table, plain):
 def test_signed_rank_query(spark, sf_dir):
     deltas = registry.deltas(spark, sf_dir).toPandas()
     made = registry.queries()["signed_rank_test"](spark, sf_dir).collect()
-    assert len(made) == 6
+    assert len(made) == 14
     for r in made:
         d = deltas[(deltas.comparison_name == r.comparison_name) & (deltas.metric_name == r.metric_name)].delta.round(9)
         x = d[d != 0].to_numpy()
