@@ -45,6 +45,9 @@ BLOCK = 200_000  # tokens of one text that are held at once
 HIT = np.array([1.0, 1.0, 0.5])  # what an exact, a beginning and a misspelled hit count
 
 
+STATES = 250_000  # trie nodes in all states of an automaton (some 30 MB); beyond, they are made anew, which changes no result
+
+
 class LexiconAutomaton:
     """The terms' trie run together with Levenshtein automata; states are made on demand.
 
@@ -71,13 +74,18 @@ class LexiconAutomaton:
         for node in range(len(self.children) - 1, -1, -1):
             self.below[node] = max([self.ends[node], *(self.below[k] for k in self.children[node].values())])
         self.alphabet = frozenset(c for t in terms for c in t)
+        self._forget()
+        self.memo: dict[str, int] = {}
+
+    def _forget(self) -> None:
+        """Only the first two states are kept; others are made again when a word needs them."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.accepts: list[bool] = []
         self.moves: list[dict[str, int]] = []
+        self.held = 0
         self._state(frozenset())  # state 0: no way on
         self.start = self._state(self._closed({(0, 0)}))
-        self.memo: dict[str, int] = {}
 
     def _closed(self, at: set) -> frozenset:
         """With what a missing letter adds: a step down the trie for one error. Of a node, the fewest errors are kept."""
@@ -94,6 +102,7 @@ class LexiconAutomaton:
     def _state(self, at: frozenset) -> int:
         if at not in self.ids:
             self.ids[at] = len(self.states)
+            self.held += len(at) + 8
             self.states.append(at)
             self.accepts.append(any(0 <= e <= self.ends[n] for n, e in at))
             self.moves.append({})
@@ -113,6 +122,8 @@ class LexiconAutomaton:
             return 1
         if self.lengths and any(word[:n] in self.stems for n in self.lengths):
             return 2
+        if self.held > STATES:
+            self._forget()
         state = self.start
         for c in word:
             if c not in self.alphabet:

@@ -123,6 +123,22 @@ def test_automaton_against_levenshtein():
         assert automaton.look(word) == (1 if word in terms else 3 if allowed else 0), word
 
 
+def test_states_are_bounded_whatever_the_words(monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    terms, stems = sorted({word(rng.randint(3, 9)) for _ in range(600)}), ["abc"]
+    words = [w[: rng.randint(2, 9)] + word(rng.randint(0, 3)) for w in rng.choices(terms, k=4000)]
+    free = toxicity.LexiconAutomaton(terms, stems)
+    wanted = [free.look(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 5_000)
+    bounded, most = toxicity.LexiconAutomaton(terms, stems), 0
+    got = []
+    for w in words:
+        got.append(bounded.look(w))
+        most = max(most, bounded.held)
+    assert got == wanted and free.held > 20_000 > most and set(got) > {0, 1, 3}
+
+
 def test_quotation_is_not_abuse():
     automaton = toxicity.LexiconAutomaton(["badger"], ["stoa"])
     assert toxicity._hits(automaton, "you badger you bagder badgr stoaty").tolist() == [1, 1, 1, 0, 0, 0]
