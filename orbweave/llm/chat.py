@@ -25,14 +25,18 @@ def perspectives(turns: DataFrame, run: int = RUN) -> DataFrame:
     """conv_id, perspective, turn, role, name, segment, start, stop, train_start, train_stop (null where not trained on)."""
     speaker = F.when(F.coalesce(F.col("role"), F.lit("")) == "", "unknown").otherwise(F.col("role"))
     said = turns.select("conv_id", "turn", speaker.alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"))
+    said = said.withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / run))
+    # the speakers go to every run of their dialogue, so that turns meet them by run: a giant dialogue is many keys
     people = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("dialogue"), F.col("speaker").alias("perspective")).distinct()
-    seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("dialogue"))).drop("dialogue")
+    stretches = said.select(F.col("conv_id").alias("own"), F.col("run").alias("stretch")).distinct()
+    people = people.join(stretches, F.col("dialogue").eqNullSafe(F.col("own"))).drop("own")
+    seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("dialogue")) & (F.col("run") == F.col("stretch"))).drop("dialogue", "stretch")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     seen = seen.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
     plain = F.translate(F.replace("name", F.lit("<|"), F.lit("< |")), "\r\n", "  ")
     head = F.concat(F.lit("<|im_start|>"), "role", F.coalesce(F.concat(F.lit(" name="), plain), F.lit("")), F.lit("\n"))
     seen = seen.withColumn("head", F.length(head)).withColumn("segment", F.concat(head, "said", F.lit("<|im_end|>\n")))
-    seen = seen.withColumn("n", F.length("segment").cast("long")).withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / run)).drop("said")
+    seen = seen.withColumn("n", F.length("segment").cast("long")).drop("said")
 
     runs = seen.groupBy("conv_id", "perspective", "run").agg(F.sum("n").alias("run_n"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
