@@ -117,19 +117,25 @@ def base_spans(pieces: DataFrame) -> DataFrame:
 
 
 def _runs(pieces: DataFrame) -> DataFrame:
-    """uid, start, stop, said, before, after of consecutive groups of digits, up to 19 digits, from each group on."""
+    """uid, start, stop, said, before, after of consecutive groups of digits, up to 19 digits, from each group on.
+
+    Groups are first told apart by the run of joined groups that they stand in, so a group that joins nothing makes one row.
+    A group of more than 19 digits is no part of a run and parts its neighbours.
+    """
     order = Window.partitionBy("uid").orderBy("start")
-    gap = F.col("start") - F.lag("stop").over(order)
-    groups = _spans(pieces, "group").withColumn("gap", F.when(gap <= 2, F.right("before", gap.cast("int"))))
-    groups = groups.withColumn("joined", F.coalesce(F.col("gap").rlike(r"^[\x20().-]{1,2}$"), F.lit(False))).where(F.length("said") <= MOST_GROUPS)
-    # a longer group that was left out parts its neighbours: what follows it is not joined to what precedes it
-    ahead = F.collect_list(F.struct("joined", "gap", F.col("said").alias("group"), "start", "stop", "after")).over(order.rowsBetween(0, MOST_GROUPS - 1))
+    groups = _spans(pieces, "group").withColumn("long", F.length("said") > MOST_GROUPS)
+    between = F.col("start") - F.lag("stop").over(order)
+    gap = F.when(between <= 2, F.right("before", between.cast("int")))
+    joined = F.coalesce(gap.rlike(r"^[\x20().-]{1,2}$") & ~F.col("long") & ~F.lag("long").over(order), F.lit(False))
+    groups = groups.withColumns({"gap": gap, "first": (~joined).cast("int")}).withColumn("run", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("not long")
+    ahead = F.collect_list(F.struct("gap", F.col("said").alias("group"), "stop", "after")).over(Window.partitionBy("uid", "run").orderBy("start").rowsBetween(0, MOST_GROUPS - 1))
     rows = groups.select("uid", "start", "before", ahead.alias("g"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("g"))).alias("k")).withColumn("g", F.slice("g", F.lit(1), F.col("k")))
-    whole = F.forall(F.sequence(F.lit(1), F.col("k")), lambda i: (i == 1) | (F.get("g", i - 1)["joined"] & (F.get("g", i - 1)["start"] - F.get("g", i - 2)["stop"] <= 2)))
+    digits = F.transform("g", lambda x: F.length(x["group"]))
+    fits = F.filter(F.sequence(F.lit(1), F.size("g")), lambda k: F.aggregate(F.slice(digits, F.lit(1), k), F.lit(0), lambda a, n: a + n) <= MOST_GROUPS)
+    rows = rows.select("*", F.explode(fits).alias("k")).withColumn("g", F.slice("g", F.lit(1), F.col("k")))
     said = F.array_join(F.transform("g", lambda x, i: F.when(i == 0, x["group"]).otherwise(F.concat(x["gap"], x["group"]))), "")
     last = F.element_at("g", -1)
-    return rows.where(whole).select("uid", "start", last["stop"].alias("stop"), said.alias("said"), "before", last["after"].alias("after"))
+    return rows.select("uid", "start", last["stop"].alias("stop"), said.alias("said"), "before", last["after"].alias("after"))
 
 
 def _groups(said: Column) -> Column:

@@ -250,6 +250,28 @@ def test_a_text_with_very_many_spans(spark):
     assert got[2].n_phone == 2_000 and got[2].n_spans >= 2_000 and got[3].n_card == len(_base("1 2 3 " * 5_000))
 
 
+def _digit_runs(text):
+    """Consecutive groups of digits, from each on, tried one by one."""
+    groups = [m.span() for m in re.finditer("[0-9]+", text)]
+    out = []
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            if any(b - a > 19 for a, b in groups[i : j + 1]) or any(not re.fullmatch("[ ().-]{1,2}", text[groups[k][1] : groups[k + 1][0]]) for k in range(i, j)) or sum(b - a for a, b in groups[i : j + 1]) > 19:
+                break
+            out.append((groups[i][0], groups[j][1], text[groups[i][0] : groups[j][1]]))
+    return out
+
+
+def test_runs_of_digits_against_plain_search(spark):
+    rng = random.Random(4)
+    texts = ["", "no digits", "1" * 25 + " 2 3", "12 " + "3" * 20 + ".4-5", "1 2  3   4"] + ["".join(rng.choice(["1", "22", "333", " ", "-", ". ", "  ", "x", "4" * 20, "(", ")"]) for _ in range(30)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = materialise(pii._pieces(df), "pieces")
+    ids = {r.uid: r.doc_id for r in pieces.select("uid", "doc_id").collect()}
+    got = sorted((ids[r.uid], r.start, r.stop, r.said) for r in pii._runs(pieces).collect())
+    assert got == sorted((i, *x) for i, t in enumerate(texts) for x in _digit_runs(t))
+
+
 def test_personal_data_edge_cases(spark):
     df = spark.createDataFrame([(1, "no data here")], "doc_id long, text string")
     assert pii.find_personal_data(df.limit(0)).isEmpty()
