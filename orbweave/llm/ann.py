@@ -14,9 +14,10 @@
    for there as are to be expected in a sample. In small samples of large tables the nearest lies farther away than the
    neighbours in the whole table, so it errs on the side of more leaves.
 
-The search is a shuffle on cells: whole leaves of up to ``CELL`` vectors together, or a block of a larger leaf. A query is
-sent once to each cell that holds leaves of its own, and a cell's queries are cut into blocks too, so a task holds two
-blocks whatever the table's size or skew. Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
+The search is a shuffle on cells: whole leaves together, or a block of a larger leaf, of up to a 64th of the table and
+``CELL`` vectors at most. Every vector is sent once, to its cell, and a query once to each cell that holds leaves of its
+own. A task holds a cell and streams its queries past it, so its memory is that of a cell whatever the table's size or
+skew. Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
 that a result of ``k`` can need of them, so a vector that a third of the rows share costs nothing. What passes through the
 driver is the samples, the routers and a count for each leaf and cell: about sqrt(n) rows of the vectors' length.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from orbweave.storage import materialise
 
-CELL = 4_096
+CELL, SMALL_CELL = 65_536, 1_024  # vectors; 34 MB at 64 components
 HELD = 4_000_000  # probabilities held at once in a task
 WHOLE = 64  # vectors for which no router can be learnt
 
@@ -256,17 +257,17 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, p: AnnParams =
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _cells(counts: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each leaf its first cell and its number of cells; leaves share a cell of up to CELL vectors, or have several."""
+def _cells(counts: dict[int, int], leaves: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its first cell and its number of cells; leaves share a cell of up to ``most`` vectors, or have several."""
     cell, blocks, at, room = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), -1, 0
     for leaf in range(leaves):
         n = counts.get(leaf, 0)
-        if n > CELL:
-            cell[leaf], blocks[leaf] = at + 1, -(-n // CELL)
+        if n > most:
+            cell[leaf], blocks[leaf] = at + 1, -(-n // most)
             at, room = at + blocks[leaf], 0
             continue
         if n > room or at < 0:
-            at, room = at + 1, CELL
+            at, room = at + 1, most
         cell[leaf], room = at, room - n
     return cell, blocks
 
@@ -288,7 +289,7 @@ def _search_one(spark, base: DataFrame, asked: DataFrame, n: int, p: AnnParams)
 
     indexed = materialise(base.select("v", "ids", "key").mapInPandas(index, "v array<double>, ids array<long>, leaf int, key long"), "leaves")
     counts = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf
-    cell_of, blocks_of = _cells(counts, leaves)
+    cell_of, blocks_of = _cells(counts, leaves, min(CELL, max(SMALL_CELL, -(-n // 64))))
     filled = np.array([leaf in counts for leaf in range(leaves)])
     layout = spark.sparkContext.broadcast((cell_of, blocks_of, filled))
 
@@ -307,17 +308,28 @@ def _search_one(spark, base: DataFrame, asked: DataFrame, n: int, p: AnnParams)
             yield d[["id", "v", "visits"]]
 
     routed = asked.select("id", "v").mapInPandas(route, "id long, v array<double>, visits array<struct<cell: int, leaves: array<int>>>")
-    routed = materialise(routed.select("id", "v", F.explode("visits").alias("x")).select("id", "v", "x.cell", "x.leaves"), "routed")
-    asked_in = [(r.cell, -(-r["count"] // CELL)) for r in routed.groupBy("cell").count().collect()]  # a row per cell
-    groups = spark.createDataFrame(asked_in or [(-1, 1)], "cell int, nq int")
+    routed = routed.select(F.explode("visits").alias("x"), "v", "id").select("x.cell", F.lit(1).alias("asks"), "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("int").alias("leaf"), "id", "x.leaves")
     place = spark.createDataFrame([(int(leaf), int(cell_of[leaf]), int(blocks_of[leaf])) for leaf in counts] or [(-1, -1, 1)], "leaf int, cell int, blocks int")
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    # every block of a cell's queries meets the cell; both small tables have a row per leaf or cell
-    left = indexed.join(place, "leaf").select("v", "ids", "leaf", (F.col("cell") + deal("key", "blocks")).alias("cell")).join(groups, "cell")
-    left = left.select("cell", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "v", "ids", "leaf")
-    right = routed.join(groups, "cell").select("cell", deal("id", "nq").alias("qb"), "v", "id", "leaves")
-    meet = lambda rows, asked: _meet(rows, asked, p.k)
-    return left.groupBy("cell", "qb").cogroup(right.groupBy("cell", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    cell = (F.col("cell") + F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("cell")
+    held = indexed.join(place, "leaf").select(cell, F.lit(0).alias("asks"), "v", "ids", "leaf", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<int>").alias("leaves"))
+    met = held.unionByName(routed).repartition("cell").sortWithinPartitions("cell", "asks")
+    return met.mapInPandas(lambda batches: _stream(batches, p.k), "query_id long, vec_id long, score double")
+
+
+def _stream(batches, k: int):
+    """The best of every cell: first come its vectors, which are held, then its queries, which stream by."""
+    now, parts, rows = None, [], None
+    for d in batches:
+        for cell in pd.unique(d["cell"]):
+            own = d[d["cell"] == cell]
+            if cell != now:
+                now, parts, rows = cell, [], None
+            if (own["asks"] == 0).any():
+                parts.append(own[own["asks"] == 0])
+            asked = own[own["asks"] == 1]
+            if len(asked) and parts:
+                rows = pd.concat(parts) if rows is None else rows
+                yield _meet(rows, asked, k)
 
 
 def _visits(leaves: np.ndarray, cell: np.ndarray, blocks: np.ndarray, filled: np.ndarray) -> list[dict]:
