@@ -24,7 +24,8 @@ driver is the samples, the routers and a count for each leaf and cell: about sqr
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, neither as query nor as
 candidate; rows with a null id take no part; with fewer candidates than ``k`` a query gets all that it visits; up to
 ``WHOLE`` distinct vectors are one leaf; ties go to the smaller id; vectors of another length than most are indexed apart
-and compared with their own length only; repeated (id, vector) rows count once.
+and compared with their own length only; repeated (id, vector) rows count once; of different vectors with one id the least
+asks, and all are candidates.
 """
 
 from __future__ import annotations
@@ -243,7 +244,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, p: AnnParams =
     spark = vectors.sparkSession
     rows = materialise(usable(vectors), "vectors")
     asked = rows.where(F.col("id") % query_every == 0) if queries is None else usable(queries)
-    asked = asked.dropDuplicates(["id"])
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     base = materialise(distinct_vectors(rows, p.k), "distinct-vectors")
     size = F.size("v")
     lengths = [(r.n, r["count"]) for r in base.groupBy(size.alias("n")).count().orderBy(F.desc("count"), "n").collect()]

@@ -83,7 +83,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n_docs": [out.docs], "n_tokens": [out.tokens]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in by if c not in ("doc_id", "text"))).repartitionByRange(shards, *by).sortWithinPartitions(*by, "text")
+    # equal keys (null ids, say) stand in the order of a hash of the text, so that they may span shards
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in by if c not in ("doc_id", "text")), F.xxhash64("text").alias("__tie"))
+    ordered = hashed.repartitionByRange(shards, *by, "__tie").sortWithinPartitions(*by, "__tie", "text")
     stats = sorted(tuple(r) for r in ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long").collect())  # a row per shard
     bases = np.concatenate([[0], np.cumsum([n for _, _, n in stats])]).astype(int).tolist()
     shape = [(k, d, n, base) for (k, d, n), base in zip(stats, bases, strict=False)]
