@@ -193,6 +193,15 @@ def _fold_errors(rows: DataFrame, error, name: str, out: DataFrame | None) -> Da
     return one if out is None else out.join(one.drop("row_count"), "held_out_relative_path")
 
 
+def fold_deltas(folds: DataFrame, left: str = "temporal", right: str = "graph_context") -> DataFrame:
+    """``folds`` with the differences of MAE and RMSE (right minus left), and which of the two is better by MAE."""
+    a, b = F.col(f"{left}_mae"), F.col(f"{right}_mae")
+    return folds.withColumns({
+        "mae_delta_graph_minus_temporal": b - a, "rmse_delta_graph_minus_temporal": F.col(f"{right}_rmse") - F.col(f"{left}_rmse"),
+        f"{left}_better_mae": (a < b).cast("int"), f"{right}_better_mae": (b < a).cast("int"),
+    })
+
+
 def holdout_summary(folds: DataFrame, left: str = "temporal", right: str = "graph_context") -> DataFrame:
     a, b = F.col(f"{left}_mae"), F.col(f"{right}_mae")
     return folds.agg(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.functions.scalars import bucket, consensus, disagreement, feature_columns, fusion, human_bytes, rounded, static_features, utc_iso
+from orbweave.functions.scalars import bucket, consensus, disagreement, feature_columns, forecast_horizon, fusion, human_bytes, rounded, static_features, utc_iso
 from orbweave.operators import bins as B
 from orbweave.operators import features as X
 from orbweave.operators import inventory as I
@@ -466,6 +466,13 @@ def forecast_table(spark, sf_dir):
     return X.forecast_table(indexed(spark, sf_dir)).select(*FORECAST_OTHERS.split(), *FORECAST.split())
 
 
+@query(_rounded(f"{KEY} target_next_bin_epoch", "target_next", "SELECT relative_path, bin_epoch, lead(latency_mean_ms, 2) OVER w AS target_next, lead(bin_epoch, 2) OVER w AS target_next_bin_epoch FROM idx WINDOW w AS (PARTITION BY relative_path ORDER BY bin_epoch) QUALIFY target_next IS NOT NULL", "idx"), "forecast_horizon")
+def two_days_ahead(spark, sf_dir):
+    """A horizon of a day and a half in bins of a day, rounded up: targets two bins ahead."""
+    ahead = X.forecast_table(indexed(spark, sf_dir), horizon=forecast_horizon(1.5 * bindings.DAY, bindings.DAY))
+    return ahead.select(*KEY.split(), "target_next_bin_epoch", "target_next")
+
+
 @query(Q.query("SELECT relative_path, bin_epoch, split FROM fc", "fc"))
 def chronological_split(spark, sf_dir):
     return forecast(spark, sf_dir).select(*KEY.split(), "split")
@@ -709,7 +716,7 @@ def _folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def session_holdout(spark, sf_dir):
-    return _folds(spark, sf_dir)
+    return M.fold_deltas(_folds(spark, sf_dir))
 
 
 @query()

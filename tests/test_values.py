@@ -77,6 +77,8 @@ def test_leave_one_session_out(table, plain):
     summary = models.holdout_summary(folds).first()
     mae = np.array([[r.temporal_mae, r.graph_context_mae] for r in rows.values()])
     assert summary.fold_count == len(rows) and np.allclose([summary.temporal_mae_mean, summary.graph_context_mae_mean], mae.mean(0))
+    for r in models.fold_deltas(folds).collect():
+        assert math.isclose(r.mae_delta_graph_minus_temporal, r.graph_context_mae - r.temporal_mae) and (r.temporal_better_mae, r.graph_context_better_mae) == (int(r.temporal_mae < r.graph_context_mae), int(r.temporal_mae > r.graph_context_mae))
     assert np.allclose([summary.temporal_mae_std, summary.graph_context_mae_std], mae.std(0)) and math.isclose(summary.mean_mae_delta, (mae[:, 1] - mae[:, 0]).mean(), abs_tol=1e-9)
     assert (summary.temporal_better_fold_count, summary.graph_context_better_fold_count) == ((mae[:, 0] < mae[:, 1]).sum(), (mae[:, 1] < mae[:, 0]).sum())
 
