@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMALLEST = 1e-6  # of a denominator
-NUDGE = 3e-10  # before rounding
 
 
 def human_bytes(size: str | Column) -> Column:
@@ -84,11 +83,3 @@ def uniform(seed: int, key: Column, tag: str) -> Column:
 def draw_between(u: Column, low: Column, high: Column) -> Column:
     """A whole number from ``low`` to ``high``, both included."""
     return low + F.floor(u * (high - low + 1))
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """All doubles rounded (and minus zero made zero), so that the order of summation does not show.
-
-    Means of short decimals often end in an exact 5 at the place of rounding; a tiny nudge sends all those the same way.
-    """
-    return df.select(*[(F.round(F.col(f.name) + F.lit(NUDGE), places) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])

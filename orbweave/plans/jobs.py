@@ -1,8 +1,9 @@
 """Jobs that compose the operators: logs to tables, tables to forecasts, forecasts to decisions under stress.
 
-    python -m orbweave.plans tables LOGS OUT
+    python -m orbweave.plans tables LOGS OUT [MANIFEST [MAX_FILES]]
     python -m orbweave.plans forecasts BINS OUT
     python -m orbweave.plans robustness BINS OUT
+    python -m orbweave.plans ablation BINS OUT
 """
 
 from __future__ import annotations

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from orbweave.functions.scalars import NUDGE
-
 # each step may use those above it
 STEPS = {
     "o": """
@@ -232,11 +230,15 @@ def _draws(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def nudged(text: str, nudge: float) -> str:
+    """The final roundings of a query with a nudge before them."""
+    return re.sub(r"round\(((?:(?!round\().)+?), 6\) \+ 0\.0::DOUBLE", rf"round(({chr(92)}1) + {nudge}, 6) + 0.0::DOUBLE", text)
+
+
 def query(final: str, last: str) -> str:
     """``final`` after the steps up to ``last``."""
     names = list(STEPS)
     used = names[: names.index(last) + 1]
-    final = re.sub(r"round\(((?:(?!round\().)+?), 6\) \+ 0\.0::DOUBLE", rf"round(({chr(92)}1) + {NUDGE}, 6) + 0.0::DOUBLE", final)
     return _draws("WITH " + ",\n".join(f"{n} AS ({STEPS[n]})" for n in used) + f"\n{final}")
 
 
