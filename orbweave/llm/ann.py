@@ -14,10 +14,10 @@
    for there as are to be expected in a sample. In small samples of large tables the nearest lies farther away than the
    neighbours in the whole table, so it errs on the side of more leaves.
 
-The search is a shuffle on cells: whole leaves together, or a block of a larger leaf, of up to a 64th of the table and
+The search is a shuffle on cells: whole leaves together, or a block of a larger leaf, of up to a 16th of the table and
 ``CELL`` vectors at most. Every vector is sent once, to its cell, and a query once to each cell that holds leaves of its
-own. A task holds a cell and streams its queries past it, so its memory is that of a cell whatever the table's size or
-skew. Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
+own; what comes back is a list of ``k`` for each query and cell, so cells are large. A task holds a cell and streams its
+queries past it, so its memory is that of a cell whatever the table's size or skew. Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
 that a result of ``k`` can need of them, so a vector that a third of the rows share costs nothing. What passes through the
 driver is the samples, the routers and a count for each leaf and cell: about sqrt(n) rows of the vectors' length.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from orbweave.storage import materialise
 
-CELL, SMALL_CELL = 65_536, 1_024  # vectors; 34 MB at 64 components
+CELL, SMALL_CELL = 65_536, 4_096  # vectors; 34 MB at 64 components
 HELD = 4_000_000  # probabilities held at once in a task
 WHOLE = 64  # vectors for which no router can be learnt
 
@@ -290,7 +290,7 @@ def _search_one(spark, base: DataFrame, asked: DataFrame, n: int, p: AnnParams)
 
     indexed = materialise(base.select("v", "ids", "key").mapInPandas(index, "v array<double>, ids array<long>, leaf int, key long"), "leaves")
     counts = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # a row per leaf
-    cell_of, blocks_of = _cells(counts, leaves, min(CELL, max(SMALL_CELL, -(-n // 64))))
+    cell_of, blocks_of = _cells(counts, leaves, min(CELL, max(SMALL_CELL, -(-n // 16))))
     filled = np.array([leaf in counts for leaf in range(leaves)])
     layout = spark.sparkContext.broadcast((cell_of, blocks_of, filled))
 
