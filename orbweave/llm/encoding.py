@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # the white space of the tokenizer's patterns (Unicode White_Space); str.split() also splits at U+001C to U+001F
 WORD = re.compile("[^\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-MEMO = 350_000  # distinct words remembered in a Python worker, and as many again of those met before them
+MEMO = 500_000  # distinct words remembered in a Python worker, and as many again of those met before them
 BLOCK = 200_000  # words of one text that are looked up at once
 RUN = 512  # new cores encoded as one text
 PARTED = re.compile("([A-Za-zÀ-ÖØ-öø-\\u012f\\u0131-\\u017e]+)([.,;:!?]*)").fullmatch  # without U+0130, which lower-cases to two characters
