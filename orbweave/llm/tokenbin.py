@@ -28,17 +28,11 @@ from pyspark.sql import functions as F
 from pyarrow import fs
 
 from orbweave.llm.encoding import WordEncoder
+from orbweave.storage import open_folder
 
 NO_ID = -(1 << 63)
 
 
-def open_folder(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI of the shared folder, and the path in it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 class _ShardWriter:
     def __init__(self, folder: str, shard: int, attempt: int, width: int):
         self.width = width

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.sources.logs import HEADER, REPLY, WHITE, file_listing, plain_path
+from orbweave.sources.logs import HEADER, REPLY, WHITE, file_listing, listed_in_few_tasks, plain_path
 
 # fixed values: notes, and the columns of a log
 REPLY_COLUMNS = ["epoch", "icmp_seq", "ttl", "latency_ms", "reply_ip"]
@@ -21,6 +21,7 @@ TEXT_LIKE = (".json", ".jsonl", ".log")
 
 MAX_ROWS = 25
 RECORD = 1 << 20  # characters of one quoted record that are looked at
+DELIMITED = "*.{[cC][sS][vV],[tT][sS][vV]}"
 READ = "*.{[cC][sS][vV],[tT][sS][vV],[tT][xX][tT]}"
 
 
@@ -101,13 +102,14 @@ def suffix_of(path: str) -> str:
     return (re.search(r"[^/](\.[^./]+)$", path) or [None, ""])[1].lower()
 
 
-def file_heads(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def file_heads(spark: SparkSession, root: str, max_rows: int = MAX_ROWS, glob: str = READ) -> DataFrame:
     """path, sampled, columns, row_sample_count and notes of the logs and delimited files below ``root`` that have a line.
 
     Files are read as lines, so any store of Spark's will do. A file's first split tells it all: its task stops as soon as
     it knows, and the tasks of further whole splits stop at once (a split that doesn't end its file has a task of its own).
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", READ).text(root)
+    with listed_in_few_tasks(spark):
+        lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
     meta = [F.col(f"_metadata.{c}").alias(c) for c in ("file_block_start", "file_block_length", "file_size")]
     source = lines.select(plain_path().alias("path"), *meta, F.col("value").cast("binary").alias("line"))
 
@@ -153,11 +155,14 @@ def file_summary(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> Da
 
     A file that can't be read as its kind has a note instead of columns; other kinds aren't opened.
     """
-    listed = file_listing(spark, root)
+    return _summary(root, file_listing(spark, root), file_heads(spark, root, max_rows))
+
+
+def _summary(root: str, listed: DataFrame, found: DataFrame) -> DataFrame:
     inside = F.regexp_replace("path", rf"^.*?{re.escape(root.rstrip('/').split('/')[-1])}/", "")
     suffix = F.lower(F.regexp_extract("path", r"[^/](\.[^./]+)$", 1))
     kind = F.when(suffix.isin(*SEPARATORS), FAILED + "no columns").when(suffix == ".txt", NOT_FOUND).when(suffix.isin(*TEXT_LIKE), SKIPPED).otherwise(UNSUPPORTED)
-    joined = listed.join(file_heads(spark, root, max_rows), "path", "left")
+    joined = listed.join(found, "path", "left")
     return joined.select(
         inside.alias("relative_path"), F.when(suffix == "", "<no_ext>").otherwise(suffix).alias("suffix"), F.col("length").alias("size_bytes"), F.coalesce("sampled", F.lit(False)).alias("sampled"),
         F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), F.coalesce("row_sample_count", F.lit(0)).cast("int").alias("row_sample_count"), F.coalesce("notes", kind).alias("notes"),
@@ -165,5 +170,6 @@ def file_summary(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> Da
 
 
 def csv_schema_sample(spark: SparkSession, root: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """relative_path, columns and row_sample_count of the delimited files below ``root`` that can be read."""
-    return file_summary(spark, root, max_rows).where(F.col("suffix").isin(*SEPARATORS) & F.col("sampled")).select("relative_path", "columns", "row_sample_count")
+    """relative_path, columns and row_sample_count of the delimited files below ``root`` that can be read; no others are opened."""
+    delimited = file_listing(spark, root).where(F.col("path").rlike(r"(?i)\.(csv|tsv)$"))
+    return _summary(root, delimited, file_heads(spark, root, max_rows, DELIMITED)).where(F.col("suffix").isin(*SEPARATORS) & F.col("sampled")).select("relative_path", "columns", "row_sample_count")
