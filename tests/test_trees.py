@@ -12,6 +12,27 @@ from orbweave.plans.jobs import logs as job_logs
 from orbweave.sources import bindings, logs
 
 
+def test_sizes_count_in_scanned_candidates(spark, sf_dir, tmp_path):
+    """1.2 million orders of one priority make a file of more than one step of 50 MB, as do those of the tables at 1 GB."""
+    shutil.copytree(sf_dir, tmp_path / "t")
+    n = 1_200_000
+    few = pq.read_table(f"{sf_dir}/orders.parquet")
+    many = pa.table({c: few.column(c).take(pa.array([0] * n)) for c in few.column_names}).set_column(few.column_names.index("o_orderkey"), "o_orderkey", pa.array(range(n), pa.int64()))
+    os.chmod(tmp_path / "t", 0o755)
+    os.remove(tmp_path / "t" / "orders.parquet")
+    pq.write_table(many, tmp_path / "t" / "orders.parquet")
+    folder, name = str(tmp_path / "t"), "scanned_candidates"
+    got = registry.queries()[name](spark, folder).toArrow()
+    assert canonical(got) == canonical(arrow(connection(folder).sql(registry.oracle_sql()[name])))
+    assert [r["candidate_score"] for r in got.to_pylist() if r["folder"].startswith("orders/")] == [96]
+
+
+def test_sizes_are_those_of_the_files(spark, sf_dir):
+    listed = {r.relative_path: r.size_bytes for r in registry._summarised(spark, sf_dir).collect()}
+    expected = arrow(connection(sf_dir).sql(registry.Q.query(registry.SIZES, "obs"))).to_pylist()
+    assert len(expected) > 10 and all(listed[r["folder"]] == r["size_bytes"] for r in expected)
+
+
 def test_a_log_is_a_file_and_not_a_folder(spark, sf_dir, tmp_path):
     bindings.write_logs(spark, sf_dir, str(tmp_path / "logs"))
     files = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "logs") for f in names]
