@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orbweave.operators import models, trees
+from orbweave.plans import jobs
 from orbweave.storage import materialise
 
 
@@ -79,3 +80,16 @@ def test_odd_rows(spark):
     assert {r.p for r in models.with_boosted(table, nothing, ["x", "y"], "p").collect()} == {0.0}
     with pytest.raises(Exception, match="no finite number"):
         models.boosted_fit(table.withColumn("target_next", F.lit(None).cast("double")), ["x", "y"], 3, 2)
+
+
+def test_experts_of_a_job_learn_in_step(spark, few, monkeypatch):
+    """The trees of both phases (or feature lists) are one call, and each still learns from its own rows and columns."""
+    seen, fits = [], models.boosted_fits
+    monkeypatch.setattr(models, "boosted_fits", lambda of, *a: seen.append(set(of)) or fits(of, *a))
+    calls = {"val graph": (jobs.boosted_trees(COLUMNS, 3), few.where("c5 < 9")), "test graph": (jobs.boosted_trees(COLUMNS[:4], 3), few), "plain": (jobs.one_column("c0"), few)}
+    learnt = jobs._learnt(spark, calls)
+    assert seen == [{"val graph", "test graph"}] and set(learnt) == set(calls)
+    for name in seen[0]:
+        expert, rows = calls[name]
+        alone = models.with_boosted(few, fits({0: (rows, expert.columns)}, 3)[0], expert.columns, "p")
+        assert sorted(r.p for r in learnt[name](few, "p").select("p").collect()) == sorted(r.p for r in alone.select("p").collect())
