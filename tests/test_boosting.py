@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,38 @@ def test_experts_of_a_job_learn_in_step(spark, few, monkeypatch):
         expert, rows = calls[name]
         alone = models.with_boosted(few, fits({0: (rows, expert.columns)}, 3)[0], expert.columns, "p")
         assert sorted(r.p for r in learnt[name](few, "p").select("p").collect()) == sorted(r.p for r in alone.select("p").collect())
+
+
+def test_all_rounds_are_one_stage_of_tasks_that_agree(spark, few, monkeypatch):
+    """However many rounds, the jobs are the same few; and four tasks grow the trees of one."""
+    fits = {"all": (few, COLUMNS), "some": (few.where("c5 < 9"), COLUMNS[:4])}
+    alone = models.boosted_fits(fits, 8, 4)
+    monkeypatch.setattr(trees, "ROWS_A_TASK", 1000)
+    context, jobs_of = spark.sparkContext, {}
+    for rounds in (2, 8):
+        context.setJobGroup(f"growing-{rounds}", "")
+        try:
+            together = models.boosted_fits(fits, rounds, 4)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        jobs_of[rounds] = len(context.statusTracker().getJobIdsForGroup(f"growing-{rounds}"))
+    assert jobs_of[2] == jobs_of[8] and all(_same(together[k], alone[k]) for k in fits)
+
+
+def test_quantiles_of_many_values_are_near_the_exact_ones(monkeypatch):
+    monkeypatch.setattr(trees, "CHUNK", 4096)
+    rng = np.random.default_rng(5)
+    values = np.sort(rng.exponential(size=400_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(values)), pa.array([None, float("nan")] * 200_000), pa.array(values), pa.array(range(400_000)), pa.array([1] * 400_000)], ["f0", "f1", "y", "h", "of"])
+    rows = pa.Table.from_batches(list(trees._summaries([0], (batch.slice(i, 10_000) for i in range(0, 400_000, 10_000))))).to_pandas()
+    told = trees._quantiles(rows[rows.column == 0].reset_index()).told[0]
+    assert np.abs(values.searchsorted(told) / 400_000 - np.arange(1, 256) / 256).max() < 1 / 1024
+    assert set(trees._quantiles(rows[rows.column == 1].reset_index()).told[0]) == {0.0}
+    assert trees._quantiles(rows[rows.column == -1].reset_index()).told[0] == pytest.approx([400_000, values.mean(), values[0], values[-1]])
+
+
+def test_fits_of_rows_named_by_a_condition_are_those_of_these_rows(few):
+    named = {k: (few, COLUMNS) for k in (0, 1)}
+    conditions = {0: F.col("c5") < 9, 1: F.col("c5") > 4}
+    shared = models.boosted_fits(named, 4, 3, where=conditions)
+    assert all(_same(shared[k], models.boosted_fit(few.where(conditions[k]), COLUMNS, 4, 3)) for k in named)
