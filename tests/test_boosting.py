@@ -129,3 +129,16 @@ def test_fits_of_rows_named_by_a_condition_are_those_of_these_rows(few):
     conditions = {0: F.col("c5") < 9, 1: F.col("c5") > 4}
     shared = models.boosted_fits(named, 4, 3, where=conditions)
     assert all(_same(shared[k], models.boosted_fit(few.where(conditions[k]), COLUMNS, 4, 3)) for k in named)
+
+
+def test_sums_of_products_travel_as_one_row_a_key(few, monkeypatch):
+    """Not as a row per key and product, of which a session of 26 rows has some fifteen hundred."""
+    monkeypatch.setattr(models, "KEYS_HELD", 3)
+    rows = few.withColumn("relative_path", F.concat(F.lit("s"), (F.col("bin_epoch") % 40).cast("string")))
+    made = models.gram_sums(rows, COLUMNS, np.arange(6.0), "relative_path")
+    assert "Generate" not in made._jdf.queryExecution().toString()
+    got, table = {r.k: models._square(r.g, 8) for r in made.collect()}, rows.toPandas()
+    assert len(got) == 40
+    for k, own in table.groupby("relative_path"):
+        x = np.column_stack([np.ones(len(own)), own[COLUMNS].to_numpy(float) - np.arange(6.0), own.target_next])
+        assert np.allclose(got[k], x.T @ x)
