@@ -142,3 +142,30 @@ def test_sums_of_products_travel_as_one_row_a_key(few, monkeypatch):
     for k, own in table.groupby("relative_path"):
         x = np.column_stack([np.ones(len(own)), own[COLUMNS].to_numpy(float) - np.arange(6.0), own.target_next])
         assert np.allclose(got[k], x.T @ x)
+
+
+def test_another_attempt_goes_on_from_the_trees_kept(few, monkeypatch, tmp_path):
+    fits = {"all": (few, COLUMNS)}
+    alone, grown, mark = models.boosted_fits(fits, 8, 3), trees._grown, str(tmp_path / "lost")
+
+    def lost_once(*args):  # in the tasks
+        import os
+
+        kept = trees._Exchange.__dict__["keep"]
+
+        def keep(self, what):
+            kept(self, what)
+            if len(what[0]) == 6 and not os.path.exists(mark):
+                open(mark, "w").close()
+                raise RuntimeError("lost")
+
+        trees._Exchange.keep = keep
+        try:
+            yield from grown(*args)
+        finally:
+            trees._Exchange.keep = kept
+
+    monkeypatch.setattr(trees, "ROWS_A_TASK", 1000)
+    monkeypatch.setattr(trees, "CHECKPOINT_EVERY", 3)
+    monkeypatch.setattr(trees, "_grown", lost_once)
+    assert _same(models.boosted_fits(fits, 8, 3)["all"], alone["all"]) and (tmp_path / "lost").exists()
